@@ -8,11 +8,11 @@ from tidemark.functions.partitions import (
     path_values,
     time_parts,
 )
-from tidemark.functions.typed_attributes import decode_attributes
+from tidemark.functions.typed_attributes import attribute_schema
 
 __all__ = [
     "TIME_KEYS",
-    "decode_attributes",
+    "attribute_schema",
     "hash_uniform",
     "partition_path",
     "path_value",

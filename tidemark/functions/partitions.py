@@ -29,8 +29,7 @@ def path_values(path: Column) -> Column:
 
 def path_value(path: Column, key: str) -> Column:
     """Value of one partition key in an object path, null when the key is absent."""
-    value = F.regexp_extract(path, rf"(?:^|/){key}=([^/]*)/", 1)
-    return F.when(path.rlike(rf"(?:^|/){key}=[^/]*/"), value)
+    return F.nullif(F.regexp_extract(path, rf"(?:^|/){key}=([^/]*)/", 1), F.lit(""))
 
 
 def partition_path(parts: Mapping[str, Column], root: str = "") -> Column:

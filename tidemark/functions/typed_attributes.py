@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tag that marks a number; numbers travel as text.
 NUMBER_TAG = "N"
 
 
-def decode_attributes(col: Column, fields: Sequence[str]) -> dict[str, Column]:
-    """One double column per number attribute; missing or unreadable values are null."""
-    schema = "struct<" + ", ".join(f"`{f}`: struct<{NUMBER_TAG}: string>" for f in fields) + ">"
-    parsed = F.from_json(col, schema)
-    return {f: parsed.getField(f).getField(NUMBER_TAG).try_cast("double") for f in fields}
+def attribute_schema(fields: Sequence[str]) -> T.StructType:
+    """Schema of the JSON that holds the given number attributes."""
+    number = T.StructType([T.StructField(NUMBER_TAG, T.StringType())])
+    return T.StructType([T.StructField(f, number) for f in fields])

@@ -10,7 +10,13 @@ from tidemark.operators.detections import (
     label_lookup,
     score_threshold,
 )
-from tidemark.operators.metrics import m_of_n_alarm, per_minute_lag, per_minute_sums
+from tidemark.operators.metrics import (
+    alarm_states,
+    m_of_n_alarm,
+    per_minute_lag,
+    per_minute_sums,
+    period_averages,
+)
 from tidemark.operators.nested import flatten_columns, flatten_paths
 from tidemark.operators.notices import require_fields, row_to_event, split_images, unnest_notifications
 from tidemark.operators.orders import clean_orders, order_fields, revenue_by_state, synthetic_orders, top_sku
@@ -30,6 +36,7 @@ from tidemark.operators.shape import apply_mapping, drop_null_fields, resolve_ch
 __all__ = [
     "OBJECT_NAMES",
     "SENSOR_RANGES",
+    "alarm_states",
     "apply_mapping",
     "batch_record_count",
     "best_score_per_class",
@@ -50,6 +57,7 @@ __all__ = [
     "partition_values_from_path",
     "per_minute_lag",
     "per_minute_sums",
+    "period_averages",
     "require_fields",
     "resolve_choice",
     "revenue_by_state",

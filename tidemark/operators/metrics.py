@@ -46,8 +46,17 @@ def per_minute_lag(
     )
 
 
-def period_averages(df: DataFrame, ts: str, value: str, keys: Sequence[str], period: str = ALARM_PERIOD) -> DataFrame:
+def period_averages(
+    df: DataFrame,
+    ts: str,
+    value: str,
+    keys: Sequence[str] = (),
+    period: str = ALARM_PERIOD,
+    watermark: str | None = None,
+) -> DataFrame:
     """Average per key and period; the part of the alarm that also runs on a stream."""
+    if watermark:
+        df = df.withWatermark(ts, watermark)
     return (
         df.groupBy(F.window(ts, period).alias("_w"), *keys)
         .agg(F.avg(value).alias("average"))
@@ -55,6 +64,19 @@ def period_averages(df: DataFrame, ts: str, value: str, keys: Sequence[str], per
     )
 
 
+def alarm_states(
+    averages: DataFrame,
+    keys: Sequence[str] = (),
+    m: int = ALARM_POINTS,
+    n: int = ALARM_PERIODS,
+    threshold: float = ALARM_THRESHOLD,
+) -> DataFrame:
+    """Alarm state per period from averages ``(period, keys, average)``, e.g. those a stream has written."""
+    last_n = Window.partitionBy(*keys).orderBy("period").rowsBetween(1 - n, 0)
+    breach = (F.col("average") > threshold).cast("int")
+    return averages.withColumn("breaches", F.sum(breach).over(last_n)).withColumn("alarm", F.col("breaches") >= m)
+
+
 def m_of_n_alarm(
     df: DataFrame,
     ts: str,
@@ -71,9 +93,4 @@ def m_of_n_alarm(
     window, so a key reaches its task as one row per period (about 105,000 a year
     at five minutes) however many rows it holds.
     """
-    averages = period_averages(df, ts, value, keys, period)
-    last_n = Window.partitionBy(*keys).orderBy("period").rowsBetween(1 - n, 0)
-    breach = (F.col("average") > threshold).cast("int")
-    return averages.withColumn("breaches", F.sum(breach).over(last_n)).withColumn(
-        "alarm", F.col("breaches") >= m
-    )
+    return alarm_states(period_averages(df, ts, value, keys, period), keys, m, n, threshold)

@@ -62,8 +62,10 @@ def order_fields(
     the row id only, so a retried task gives the same orders.
     """
     keep = df.columns
-    u = [uniform(F.col(row_id), seed, draw) for draw in range(6)]
-    drawn = df.select(
+    # Draws get columns of their own, or each branch of a choice would compute them again.
+    drawn = df.select("*", *[uniform(F.col(row_id), seed, draw).alias(f"_u{draw}") for draw in range(6)])
+    u = [F.col(f"_u{draw}") for draw in range(6)]
+    drawn = drawn.select(
         "*",
         weighted_choice(u[0], {n: c.weight for n, c in CATEGORIES.items()}).alias("_category"),
         F.when(u[1] > ANONYMOUS_SHARE, weighted_choice(u[2], customers)).alias("customer_id"),

@@ -77,12 +77,12 @@ def resolve_choice(
     columns = []
     for name, group in members.items():
         typed = F.try_variant_get(F.col(variant_col), path, _MEMBER_TYPES[group[0]])
-        columns.append(F.when(_kind(value).isin(*group), typed).alias(name))
+        columns.append(F.when(F.col("_kind").isin(*group), typed).alias(name))
     if not columns:
         resolved = F.lit(None).cast("string")
     else:
         resolved = columns[0] if len(columns) == 1 else F.struct(*columns)
-    return df.withColumn(field or variant_col, resolved)
+    return df.withColumn("_kind", _kind(value)).withColumn(field or variant_col, resolved).drop("_kind")
 
 
 def drop_null_fields(df: DataFrame, probe_rows: int = 64) -> DataFrame:

@@ -17,9 +17,10 @@ from tidemark.operators.detections import (
 from tidemark.operators.notices import require_fields, row_to_event, unnest_notifications
 from tidemark.operators.partitions import stale_partitions
 from tidemark.operators.shape import Mapping4, apply_mapping, drop_null_fields, resolve_choice
+from tidemark.session import broadcast_if_small
 from tidemark.sinks.files import write_partitioned_parquet
 from tidemark.sinks.tables import register_external_table
-from tidemark.sources.files import scan_csv_header, scan_partitioned_json
+from tidemark.sources.files import object_listing, scan_csv_header, scan_partitioned_json
 
 # Columns and types of the curated sensor table.
 SENSOR_MAPPING: list[Mapping4] = [
@@ -34,6 +35,12 @@ SENSOR_MAPPING: list[Mapping4] = [
 ]
 
 
+# A task packs files up to 128 MB, so files from this size on come from at most four folders.
+SMALL_FILE_BYTES = 32 * 1024 * 1024
+# Object names are at most about 1 KB long, so this many fit in 20 MB.
+MAX_BROADCAST_NAMES = 20_000
+
+
 def curate(
     spark: SparkSession,
     source: str,
@@ -45,20 +52,27 @@ def curate(
     choices: Sequence[str] = (),
     folders: str | None = None,
     mode: str = "append",
+    compact: bool | None = None,
 ) -> None:
     """Raw JSON to curated Parquet: scan, map, resolve conflicts, drop empty columns, write.
 
-    ``choices`` names fields declared ``variant`` in the schema. The scan hands each
-    task whole folders or parts of one, so rows are written where they were read,
-    without a shuffle.
+    ``choices`` names fields declared ``variant`` in the schema. When the raw files
+    are large, a task reads few folders and its rows are written where they were
+    read, without a shuffle. Small files are rebalanced by the keys, or each task
+    would leave a small file in many folders. ``compact`` fixes the choice; by
+    default the average file size decides.
     """
+    if compact is None:
+        listed = object_listing(spark, f"{source.rstrip('/')}/{folders}" if folders else source)
+        average = listed.agg(F.avg("length")).first()[0]
+        compact = average is not None and average < SMALL_FILE_BYTES
     raw = scan_partitioned_json(spark, source, schema, partition_schema, folders)
     mapped = apply_mapping(raw, mappings)
     for field in choices:
         mapped = resolve_choice(mapped, field)
     keep = [c for c in mapped.columns if c not in keys]
     filled = drop_null_fields(mapped.select(*keep)).columns
-    write_partitioned_parquet(mapped.select(*filled, *keys), target, keys, mode, rebalance=False)
+    write_partitioned_parquet(mapped.select(*filled, *keys), target, keys, mode, rebalance=compact)
 
 
 def refresh_tables(
@@ -89,20 +103,28 @@ def ingest_uploads(
     """CSV files named by file-arrival notices, as row events; and the notices that name none.
 
     Files are matched by a semi join on their path below ``root``, so no list of
-    names passes through the driver and a file announced twice is read once.
+    names passes through the driver and a file announced twice is read once. A few
+    names are broadcast and the rows stay where they are read; many names join by
+    shuffle, where adaptive execution splits the rows of a hot file.
     """
     kept, rejected = require_fields(unnest_notifications(notices, body), ["key", "bucket", "arn"])
     rows = scan_csv_header(spark, root, recursive=True)
     data = rows.columns
     file_path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     below_root = F.substring_index(file_path, f"{root.rstrip('/')}/", -1)
-    named = kept.select(F.concat_ws("/", "bucket", "key").alias("_object"))
+    named = kept.select(F.concat_ws("/", "bucket", "key").alias("_object")).distinct()
+    named = broadcast_if_small(named, MAX_BROADCAST_NAMES)
     found = rows.withColumn("_object", below_root).join(named, "_object", "left_semi")
     return row_to_event(found.select(*data)), rejected
 
 
 def detections_report(
     records: DataFrame, payload: str = "payload", threshold: float = SCORE_THRESHOLD
-) -> DataFrame:
-    """Encoded detection records to the best score of every named class in each record, without a shuffle."""
-    return label_lookup(best_scores_in_record(decode_payload(records, payload), "prediction", threshold))
+) -> tuple[DataFrame, DataFrame]:
+    """Encoded detection records to the best score of every named class in each record.
+
+    Nothing is shuffled: a record carries all its predictions. The second result
+    holds the records whose payload does not decode.
+    """
+    decoded, unreadable = require_fields(decode_payload(records, payload), ["prediction"])
+    return label_lookup(best_scores_in_record(decoded, "prediction", threshold)), unreadable

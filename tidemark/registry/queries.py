@@ -521,5 +521,5 @@ def ingested_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def detections_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = plans.detections_report(inputs.payloads(table(spark, sf_dir, "embeddings")))
+    report, _ = plans.detections_report(inputs.payloads(table(spark, sf_dir, "embeddings")))
     return report.select("vec_id", "stream_name", "class", "class_name", "score")

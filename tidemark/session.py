@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Partition counts are left to adaptive execution: it starts from
 # spark.sql.shuffle.partitions and merges or splits towards the advisory size.
@@ -50,3 +51,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             _local_root = tempfile.mkdtemp(prefix="tidemark-")
         root = _local_root
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast a side only after counting that it is small; otherwise leave the join to Spark.
+
+    Counting stops just past the bound. For narrow columns of bounded width only.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

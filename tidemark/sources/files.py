@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -53,15 +54,25 @@ def scan_inferred_json(spark: SparkSession, path: str, sampling_ratio: float = 1
     return spark.read.option("samplingRatio", str(sampling_ratio)).json(path)
 
 
+def _has_open_quotes(spark: SparkSession, path: str | list[str], recursive: bool) -> bool:
+    """Whether a line has an odd number of quotes, as the first line of a record that spans lines does."""
+    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
 def scan_csv_header(
-    spark: SparkSession, path: str | list[str], multi_line: bool = True, recursive: bool = False
+    spark: SparkSession, path: str | list[str], multi_line: bool | None = None, recursive: bool = False
 ) -> DataFrame:
     """Comma-separated text with a header line; every column is a string.
 
-    Quoted values may span lines, which makes a file one unit of work. Pass
-    ``multi_line=False`` when records never do, and large files are split.
-    Files whose header differs from the first one raise instead of mixing columns.
+    Files with a quoted value that spans lines are one unit of work each; without
+    one, large files are split. By default a pass over the lines finds out, and
+    stops at the first such value; ``multi_line`` tells it beforehand. Files whose
+    header differs from the first one raise instead of mixing columns.
     """
+    if multi_line is None:
+        multi_line = _has_open_quotes(spark, path, recursive)
     return (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -76,7 +87,9 @@ def scan_csv_header(
 def object_listing(spark: SparkSession, path: str) -> DataFrame:
     """Objects below a location as rows ``(path, length, modified)``.
 
-    File contents are not read: the ``content`` column is pruned from the scan.
+    File contents are not read: the ``content`` column is pruned from the scan. Spark
+    still plans tasks by file size, so they are merged into as many as a shuffle has.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", files.modificationTime.alias("modified"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "length", F.col("modificationTime").alias("modified")).coalesce(tasks)

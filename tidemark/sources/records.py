@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.typed_attributes import decode_attributes
+from tidemark.functions.typed_attributes import NUMBER_TAG, attribute_schema
 
 # The change-record layout. An image maps attribute name to {type tag: text}.
 CHANGE_RECORD_SCHEMA = (
@@ -17,8 +17,13 @@ CHANGE_RECORD_SCHEMA = (
 
 
 def decode_typed_attributes(df: DataFrame, col: str, fields: Sequence[str]) -> DataFrame:
-    """Add one double column per number attribute found in the JSON text column ``col``."""
-    return df.withColumns(decode_attributes(F.col(col), fields))
+    """Add one double column per number attribute found in the JSON text column ``col``.
+
+    Missing or unreadable numbers are null.
+    """
+    parsed = df.withColumn("_attributes", F.from_json(F.col(col), attribute_schema(fields)))
+    numbers = {f: F.col("_attributes").getField(f).getField(NUMBER_TAG).try_cast("double") for f in fields}
+    return parsed.withColumns(numbers).drop("_attributes")
 
 
 def scan_change_images(df: DataFrame, body: str = "body") -> DataFrame:

@@ -15,6 +15,7 @@ from tidemark.functions.partitions import time_parts
 # Buffering of the landing stream.
 BUFFER_INTERVAL = "60 seconds"
 BUFFER_BYTES = 128 * 1024 * 1024
+CORRUPT = "_corrupt_record"
 
 
 def _triggered(writer: DataStreamWriter, interval: str, available_now: bool) -> DataStreamWriter:
@@ -40,6 +41,27 @@ def stream_to_parquet(
     return _triggered(writer, interval, available_now).start()
 
 
+def _parse_records(df: DataFrame, schema: T.StructType, value: str) -> DataFrame:
+    """Add the parsed record ``_r`` and the flag ``_failed``.
+
+    The parse goes through a one-element generator: a plain column would be copied
+    into every filter on it, and each copy would parse the record again.
+    """
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parse = F.from_json(F.col(value), with_corrupt, options)
+    blank = F.coalesce(F.trim(F.col(value)) == "", F.lit(True))
+    failed = blank | F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
+    return df.select("*", F.explode(F.array(parse)).alias("_r")).select("*", failed.alias("_failed"))
+
+
+def _split_records(
+    parsed: DataFrame, schema: T.StructType, value: str, keep: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    fields = [F.col("_r").getField(f.name).alias(f.name) for f in schema.fields]
+    return parsed.filter(~F.col("_failed")).select(*keep, *fields), parsed.filter("_failed").select(*keep, value)
+
+
 def route_malformed(
     df: DataFrame, schema: T.StructType, value: str = "value"
 ) -> tuple[DataFrame, DataFrame]:
@@ -49,23 +71,21 @@ def route_malformed(
     Unknown fields are ignored, missing ones are null. Other columns are kept on
     both sides; failed records keep their text.
     """
-    corrupt = "_corrupt_record"
-    with_corrupt = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
     keep = [c for c in df.columns if c != value]
-    parsed = df.withColumn("_r", F.from_json(F.col(value), with_corrupt, options))
-    blank = F.coalesce(F.trim(F.col(value)) == "", F.lit(True))
-    failed = blank | F.col("_r").isNull() | F.col(f"_r.{corrupt}").isNotNull()
-    good = parsed.filter(~failed).select(*keep, *[F.col("_r").getField(f.name).alias(f.name) for f in schema.fields])
-    return good, parsed.filter(failed).select(*keep, value)
+    return _split_records(_parse_records(df, schema, value), schema, value, keep)
 
 
-def _batch_folder(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/batch_id={batch_id}"
+def _batch_folder(path: str, stream_id: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/stream_id={stream_id}/batch_id={batch_id}"
 
 
 def stream_raw_backup(
-    batch: DataFrame, path: str, batch_id: int, value: str = "value", arrival: Column | None = None
+    batch: DataFrame,
+    path: str,
+    stream_id: str,
+    batch_id: int,
+    value: str = "value",
+    arrival: Column | None = None,
 ) -> None:
     """Unconverted copy of every record of a micro-batch, under its arrival time.
 
@@ -74,7 +94,7 @@ def stream_raw_backup(
     """
     parts = time_parts(F.current_timestamp() if arrival is None else arrival)
     lines = batch.select(F.col(value).alias("value"), *[c.alias(k) for k, c in parts.items()])
-    lines.write.mode("overwrite").partitionBy(*parts).text(_batch_folder(path, batch_id))
+    lines.write.mode("overwrite").partitionBy(*parts).text(_batch_folder(path, stream_id, batch_id))
 
 
 def land_stream(
@@ -91,26 +111,28 @@ def land_stream(
 ) -> StreamingQuery:
     """Text records to curated Parquet, a raw copy and an error route.
 
-    Each micro-batch is read once and feeds three writes. They are separate, so
+    Each micro-batch is read and parsed once and feeds three writes. They are separate, so
     each overwrites the folder of its batch: a batch that is replayed after a
-    failure replaces what the first attempt left.
+    failure replaces what the first attempt left. The folder also carries the id
+    Spark keeps in the checkpoint, as a new checkpoint counts its batches from zero.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        stream_id = batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id
         arrived = F.current_timestamp() if arrival is None else arrival
         stamped = batch.select(F.col(value).alias("value"), arrived.alias("_arrived"))
-        stamped = stamped.persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = _parse_records(stamped, schema, "value").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            stream_raw_backup(stamped, raw, batch_id, arrival=F.col("_arrived"))
-            for part, path, writer in zip(
-                route_malformed(stamped, schema), (curated, failed), ("parquet", "text"), strict=True
-            ):
-                keys = time_parts(F.col("_arrived"))
-                part.withColumns(keys).drop("_arrived").write.format(writer).mode("overwrite").partitionBy(
-                    *keys
-                ).save(_batch_folder(path, batch_id))
+            stream_raw_backup(parsed, raw, stream_id, batch_id, arrival=F.col("_arrived"))
+            good, bad = _split_records(parsed, schema, "value", ["_arrived"])
+            keys = time_parts(F.col("_arrived"))
+            for part, path, data_format in ((good, curated, "parquet"), (bad, failed, "text")):
+                rows = part.withColumns(keys).drop("_arrived")
+                rows.write.format(data_format).mode("overwrite").partitionBy(*keys).save(
+                    _batch_folder(path, stream_id, batch_id)
+                )
         finally:
-            stamped.unpersist()
+            parsed.unpersist()
 
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return _triggered(writer, interval, available_now).start()

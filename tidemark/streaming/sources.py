@@ -23,13 +23,17 @@ def stream_source(
     max_bytes: int | None = None,
     data_format: str = "json",
     glob: str | None = None,
+    marker: str | None = None,
 ) -> DataFrame:
-    """Stream of files below a folder.
+    """Stream of files below a folder. ``max_files`` or ``max_bytes`` (not both) bounds a micro-batch.
 
-    ``latest`` takes only files that appear from now on. ``max_files`` or
-    ``max_bytes`` (not both) bounds a micro-batch.
+    ``latest`` takes only files that appear after the stream is first started. That
+    time is kept in the folder ``marker``, so a restarted stream does not skip what
+    arrived while it was down.
     """
     _check_start(start)
+    if start == "latest" and marker is None:
+        raise ValueError("start='latest' needs a marker folder to keep the time of the first start")
     reader = spark.readStream.format(data_format).schema(schema)
     options = {"maxFilesPerTrigger": max_files, "maxBytesPerTrigger": max_bytes, "pathGlobFilter": glob}
     for key, value in options.items():
@@ -37,8 +41,10 @@ def stream_source(
             reader = reader.option(key, value)
     stream = reader.load(path)
     if start == "latest":
-        now = spark.sql("SELECT current_timestamp()").first()[0]
-        stream = stream.filter(F.col("_metadata.file_modification_time") >= F.lit(now))
+        now = spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("started"))
+        now.write.mode("ignore").parquet(marker)
+        since = F.timestamp_micros(F.lit(spark.read.parquet(marker).first().started))
+        stream = stream.filter(F.col("_metadata.file_modification_time") >= since)
     return stream
 
 
