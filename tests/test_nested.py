@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import operators as ops
-from tidemark.operators.nested import json_depth
+from tidemark.operators.nested import depth_bound
 
 NESTED = '{"a":[1,{"b":null}],"c":{"d":[],"e":"z"}}'
 
@@ -55,17 +55,29 @@ def test_flatten_paths_keeps_what_lies_below_a_given_depth(spark):
     ]
 
 
-def test_json_depth_ignores_brackets_in_text(spark):
-    df = spark.createDataFrame([(NESTED,), ('{"x":"[[[[{{{{\\"[["}',), ("{" * 0 + "5",)], "j string")
-    assert json_depth(df, "j") == 3
-    long_text = '{"t":"' + "a\\n" * 20000 + "[" * 5000 + '"}'
-    assert json_depth(spark.createDataFrame([(long_text,)], "j string"), "j") == 1
+def test_depth_bound(spark):
+    def bound(*texts):
+        return depth_bound(spark.createDataFrame([(t,) for t in texts], "j string"), "j")
+
+    assert bound("5") == 0 and bound("[]", None) == 1
+    assert 3 <= bound(NESTED) <= 6
+    # Brackets inside text do not count once a text is measured.
+    assert bound('{"x":"[[[[{{{{\\"[["}') == 1
+    assert bound('{"t":"' + "a\\n" * 20000 + "[" * 5000 + '"}') == 1
+    assert bound("[" * 40 + "]" * 40) == 40
+
+
+def test_flatten_paths_deep(spark):
+    text = "[" * 12 + "7" + "]" * 12
+    df = spark.createDataFrame([(1, f'{{"k":{text}}}')], "id int, j string")
+    assert rows(ops.flatten_paths(df, "id", "j")) == [(1, "k" + ".0" * 12, "7")]
 
 
 def test_flatten_paths_plan_reads_once_without_shuffle(spark):
-    df = spark.range(3).select("id", F.lit(NESTED).alias("j"))
+    df = spark.range(3).select("id", F.concat(F.lit('{"a":[{"b":'), F.col("id").cast("string"), F.lit("}]}")).alias("j"))
     plan = ops.flatten_paths(df, "id", "j")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Union" not in plan and plan.count("Range") == 1
+    assert "Exchange" not in plan and "Union" not in plan
+    assert plan.count("Range") == 1 and plan.lower().count("parsejson") == 1
 
 
 def test_flatten_columns(spark):

@@ -1,6 +1,7 @@
 """Column-level building blocks."""
 
 from tidemark.functions.draws import hash_uniform, weighted_choice
+from tidemark.functions.once import computed_once
 from tidemark.functions.partitions import (
     TIME_KEYS,
     partition_path,
@@ -13,6 +14,7 @@ from tidemark.functions.typed_attributes import attribute_schema
 __all__ = [
     "TIME_KEYS",
     "attribute_schema",
+    "computed_once",
     "hash_uniform",
     "partition_path",
     "path_value",

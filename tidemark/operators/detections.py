@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import computed_once
+
 # Payload layout, score threshold, and the 80 class names by class number.
 PAYLOAD_SCHEMA = (
     "struct<fragmentMetaData: string, frameMetaData: string, streamName: string, sageMakerOutput: string>"
@@ -29,16 +31,20 @@ OBJECT_NAMES = (
 
 
 def decode_payload(df: DataFrame, col: str = "payload") -> DataFrame:
-    """Replace a base64 payload by ``fragment, frame, stream_name, prediction``; other columns are kept."""
+    """Replace a base64 payload by ``fragment, frame, stream_name, prediction``; other columns are kept.
+
+    A payload that does not decode gives nulls.
+    """
     outer = F.from_json(F.decode(F.unbase64(F.col(col)), "UTF-8"), PAYLOAD_SCHEMA)
-    keep = [c for c in df.columns if c != col]
     inner = F.from_json(F.decode(F.unbase64(F.col("_p.sageMakerOutput")), "UTF-8"), PREDICTION_SCHEMA)
-    return df.select(*keep, outer.alias("_p")).select(
+    keep = [c for c in df.columns if c != col]
+    decoded = computed_once(computed_once(df, "_p", outer).drop(col), "_q", inner)
+    return decoded.select(
         *keep,
         F.col("_p.fragmentMetaData").alias("fragment"),
         F.col("_p.frameMetaData").alias("frame"),
         F.col("_p.streamName").alias("stream_name"),
-        inner.getField("prediction").alias("prediction"),
+        F.col("_q.prediction").alias("prediction"),
     )
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.once import computed_once
+
+# Up to this many opening brackets, levels too many cost less than measuring.
+FEW_BRACKETS = 6
+
 Reach = Callable[[Callable[[Column], Column]], Column]
 
 
@@ -70,18 +75,25 @@ def flatten_columns(df: DataFrame, array_sizes: Mapping[str, int] | None = None)
     return df.select(*columns.values())
 
 
-def json_depth(df: DataFrame, json_col: str) -> int:
-    """Deepest nesting found in a JSON text column, in one pass with one result row."""
-    plain = F.regexp_replace(F.col(json_col), r"\\.", "")
-    plain = F.regexp_replace(plain, r'"[^"]*"', "")
-    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]", ""), "")
-    step = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+def depth_bound(df: DataFrame, json_col: str) -> int:
+    """Upper bound of the nesting in a JSON text column, in one pass with one result row.
+
+    A text with few opening brackets cannot be nested deeper than their number.
+    Only texts with more are measured exactly.
+    """
+    text = F.col(json_col)
+    openers = F.length(text) - F.length(F.replace(F.replace(text, F.lit("["), F.lit("")), F.lit("{"), F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
 
     def advance(acc: Column, char: Column) -> Column:
         now = acc["now"] + F.when(char.isin("[", "{"), 1).when(char.isin("]", "}"), -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
 
-    return df.agg(F.max(F.aggregate(brackets, step, advance, lambda acc: acc["top"]))).first()[0] or 0
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    exact = F.aggregate(brackets, start, advance, lambda acc: acc["top"])
+    bound = F.when(F.col("_openers") <= FEW_BRACKETS, F.col("_openers")).otherwise(exact)
+    return df.select(text, openers.alias("_openers")).agg(F.max(bound)).first()[0] or 0
 
 
 def flatten_paths(df: DataFrame, id_col: str, json_col: str, max_depth: int | None = None) -> DataFrame:
@@ -89,13 +101,14 @@ def flatten_paths(df: DataFrame, id_col: str, json_col: str, max_depth: int | No
 
     Each level is one generator in the same stage: the input is read once and
     nothing is shuffled. Empty lists and objects give no row, null leaves a null
-    value. The depth is measured when not given; below a given depth, what is left
-    is kept as JSON text. Text that does not parse is kept under a null path.
+    value. Without ``max_depth`` a pass over the text bounds it; below a given depth,
+    what is left is kept as JSON text. Text that does not parse is kept under a null path.
     """
-    depth = json_depth(df, json_col) if max_depth is None else max_depth
+    depth = depth_bound(df, json_col) if max_depth is None else max_depth
     spark = df.sparkSession
     text = F.col(json_col)
-    rows = df.filter(text.isNotNull()).select(F.col(id_col).alias("_id"), text.alias("_text"), F.try_parse_json(text).alias("_v"))
+    rows = df.filter(text.isNotNull()).select(F.col(id_col).alias("_id"), text.alias("_text"))
+    rows = computed_once(rows, "_v", F.try_parse_json("_text"))
     parsed = F.col("_v").isNotNull()
     rows = rows.select("_id", F.when(parsed, "").alias("_path"), F.when(~parsed, F.col("_text")).alias("_text"), "_v")
     for level in range(depth):

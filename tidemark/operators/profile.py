@@ -11,6 +11,8 @@ from tidemark.sources.files import object_listing
 def table_profile(spark: SparkSession, path: str) -> DataFrame:
     """One row: objects, records, total bytes and average record size of line-based files.
 
+    ``record_bytes`` leaves out line ends; the average counts them.
+
     Objects and bytes come from the listing, records from one scan that keeps only
     running totals, so each task sends a single row.
     """
@@ -23,5 +25,5 @@ def table_profile(spark: SparkSession, path: str) -> DataFrame:
     )
     both = objects.unionByName(records, allowMissingColumns=True)
     totals = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
-    average = F.expr("try_divide(record_bytes, records)").alias("average_record_size")
+    average = F.try_divide("total_bytes", "records").alias("average_record_size")
     return totals.select("objects", "records", "total_bytes", "record_bytes", average)

@@ -162,7 +162,7 @@ ORACLE: dict[str, str] = {
     "batch_record_count": "SELECT strftime(ts, '%Y-%m-%d %H') AS batch, count(*) AS records FROM events GROUP BY 1",
     "table_profile": """WITH t AS (SELECT octet_length(encode(translate(text, chr(13) || chr(10), '  '))) AS n FROM documents)
       SELECT count(*) AS records, CAST(sum(n + 1) AS BIGINT) AS total_bytes, CAST(sum(n) AS BIGINT) AS record_bytes,
-        round(sum(n) / count(*), 6) AS average FROM t""",
+        round(sum(n + 1) / count(*), 6) AS average FROM t""",
     "per_minute_sums": """SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS records,
       CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY ALL""",
     "per_minute_lag": """WITH e AS (SELECT event_type, ts, ts + to_milliseconds((event_id * 37) % 5000) AS arrived FROM events)

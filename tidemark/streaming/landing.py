@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tidemark.functions.once import computed_once
 from tidemark.functions.partitions import time_parts
 
 # Buffering of the landing stream.
@@ -42,17 +43,13 @@ def stream_to_parquet(
 
 
 def _parse_records(df: DataFrame, schema: T.StructType, value: str) -> DataFrame:
-    """Add the parsed record ``_r`` and the flag ``_failed``.
-
-    The parse goes through a one-element generator: a plain column would be copied
-    into every filter on it, and each copy would parse the record again.
-    """
+    """Add the parsed record ``_r`` and the flag ``_failed``."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parse = F.from_json(F.col(value), with_corrupt, options)
     blank = F.coalesce(F.trim(F.col(value)) == "", F.lit(True))
     failed = blank | F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
-    return df.select("*", F.explode(F.array(parse)).alias("_r")).select("*", failed.alias("_failed"))
+    return computed_once(df, "_r", parse).select("*", failed.alias("_failed"))
 
 
 def _split_records(
