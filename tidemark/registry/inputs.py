@@ -52,21 +52,32 @@ def landed_copy(spark: SparkSession, sf_dir: str, name: str, write: Callable[[st
     return _landed[key]
 
 
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
+    parts = [c.alias(k) for k, c in time_parts(F.col("ts")).items()]
+    return table(spark, sf_dir, "events").select("event_id", text, "user_id", "event_type", "value", "props", *parts)
+
+
 def landed_events(spark: SparkSession, sf_dir: str) -> str:
     """``events`` as JSON lines below padded ``year=/month=/day=/hour=`` folders."""
 
     def write(path: str) -> None:
-        events = table(spark, sf_dir, "events")
-        text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
-        rows = events.withColumns(time_parts(F.col("ts"))).select(
-            "event_id", text, "user_id", "event_type", "value", "props", *TIME_KEYS
-        )
         # Hundreds of tiny folders: ranges of time and id let several tasks share them.
-        write_json_events(rows.repartitionByRange(32, *TIME_KEYS, "event_id"), path, list(TIME_KEYS))
+        rows = _event_rows(spark, sf_dir).repartitionByRange(32, *TIME_KEYS, "event_id")
+        write_json_events(rows, path, list(TIME_KEYS))
 
     return landed_copy(spark, sf_dir, "landed_events", write)
 
 
+def landed_records(spark: SparkSession, sf_dir: str) -> str:
+    """``events`` as JSON lines in one folder, as a stream delivers them."""
+
+    def write(path: str) -> None:
+        write_json_events(_event_rows(spark, sf_dir).select(*EVENT_SCHEMA.names), path)
+
+    return landed_copy(spark, sf_dir, "landed_records", write)
+
+
 def event_lines(events: DataFrame) -> DataFrame:
     """One text record per event; some have a wrong type, some are not JSON."""
     number = F.col("event_id").cast("string")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import operators as ops
 from tidemark import plans, sinks, sources, streaming
@@ -23,7 +24,7 @@ def _query(run: Query) -> Query:
     return run
 
 
-def _ntz(col: str):
+def _ntz(col: str) -> Column:
     return F.col(col).cast("timestamp_ntz").alias(col)
 
 
@@ -92,8 +93,8 @@ def _drained(spark: SparkSession, stream: DataFrame, name: str, keys: tuple[str,
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.stream_source(
-        spark, inputs.landed_events(spark, sf_dir), EVENT_SCHEMA, max_bytes=streaming.BUFFER_BYTES
-    ).select(*EVENT_SCHEMA.names)
+        spark, inputs.landed_records(spark, sf_dir), EVENT_SCHEMA, max_bytes=streaming.BUFFER_BYTES
+    )
 
 
 @_query
@@ -173,7 +174,7 @@ def write_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def register_external_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     location = inputs.landed_events(spark, sf_dir)
-    schema = inputs.T.StructType(EVENT_SCHEMA.fields + TEXT_PARTITIONS.fields)
+    schema = T.StructType(EVENT_SCHEMA.fields + TEXT_PARTITIONS.fields)
     sinks.register_external_table(spark, "tidemark_events", schema, list(TIME_KEYS), location)
     return spark.sql(
         "SELECT year, month, day, hour, event_type, count(*) AS records, max(value) AS max_value "
@@ -462,7 +463,7 @@ def m_of_n_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def curated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw JSON to curated Parquet, read back as rows by type and day."""
     target = scratch_dir(spark, "curated")
-    schema = inputs.T.StructType([*EVENT_SCHEMA.fields, inputs.T.StructField("note", inputs.T.StringType())])
+    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("note", T.StringType())])
     mapping = [
         ("event_id", "bigint", "event_id", "bigint"),
         ("ts", "string", "datetime", "string"),
@@ -485,7 +486,7 @@ def curated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables to refresh, chosen from event times, then registered and counted."""
     location = inputs.landed_events(spark, sf_dir)
-    schema = inputs.T.StructType(EVENT_SCHEMA.fields + TEXT_PARTITIONS.fields)
+    schema = T.StructType(EVENT_SCHEMA.fields + TEXT_PARTITIONS.fields)
     definitions = {name: (schema, list(TIME_KEYS), location) for name in ("click", "error", "view")}
     changes = _events(spark, sf_dir).select(F.col("event_type").alias("name"), "ts")
     late = F.expr("INTERVAL 1 DAY")
