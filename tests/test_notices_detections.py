@@ -150,15 +150,17 @@ def test_detections(spark):
     assert "hashpartitioning" not in plan
 
 
-def test_ingest_uploads(spark, tmp_path):
-    for bucket, key in (("b", "in/one file.csv"), ("b", "two+2.csv"), ("c", "one file.csv")):
+@pytest.mark.parametrize("max_files", [100, 1], ids=["by name", "by join"])
+def test_ingest_uploads(spark, tmp_path, max_files):
+    for bucket, key in (("b", "in/one file.csv"), ("b", "two+[2].csv"), ("c", "one file.csv")):
         path = tmp_path / bucket / key
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(f"id,file\n1,{bucket}-{key}\n")
-    notices = spark.createDataFrame(
-        [(notice(record(key="in/one file.csv"), record(key="two+2.csv")),), (notice(record(key="two+2.csv")),), ("{}",)],
-        "body string",
-    )
-    events, rejected = plans.ingest_uploads(spark, notices, str(tmp_path))
-    assert rows(events.select("data")) == [("1,b-in/one file.csv",), ("1,b-two+2.csv",)]
+    first = notice(record(key="in/one file.csv"), record(key="two+[2].csv"), record(key="gone.csv"))
+    notices = spark.createDataFrame([(first,), (notice(record(key="two+[2].csv")),), ("{}",)], "body string")
+    events, rejected = plans.ingest_uploads(spark, notices, str(tmp_path), max_files=max_files)
+    assert rows(events.select("data")) == [("1,b-in/one file.csv",), ("1,b-two+[2].csv",)]
     assert rejected.count() == 1
+    assert ("Join" in events._jdf.queryExecution().optimizedPlan().toString()) == (max_files == 1)
+    nothing, _ = plans.ingest_uploads(spark, notices.filter("body = '{}'"), str(tmp_path))
+    assert nothing.columns == events.columns and nothing.isEmpty()

@@ -15,6 +15,7 @@ NOTICE_SCHEMA = (
     "bucket: struct<name: string, arn: string>>>>>"
 )
 EVENT_STATUS = "extracted"
+EVENT_SCHEMA = "status string, headers string, data string, fields array<string>"
 
 
 def unnest_notifications(df: DataFrame, body: str = "body", first_only: bool = False) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +15,9 @@ from tidemark.operators.detections import (
     decode_payload,
     label_lookup,
 )
-from tidemark.operators.notices import require_fields, row_to_event, unnest_notifications
+from tidemark.operators.notices import EVENT_SCHEMA, require_fields, row_to_event, unnest_notifications
 from tidemark.operators.partitions import stale_partitions
 from tidemark.operators.shape import Mapping4, apply_mapping, drop_null_fields, resolve_choice
-from tidemark.session import broadcast_if_small
 from tidemark.sinks.files import write_partitioned_parquet
 from tidemark.sinks.tables import register_external_table
 from tidemark.sources.files import object_listing, scan_csv_header, scan_partitioned_json
@@ -37,8 +37,8 @@ SENSOR_MAPPING: list[Mapping4] = [
 
 # A task packs files up to 128 MB, so files from this size on come from at most four folders.
 SMALL_FILE_BYTES = 32 * 1024 * 1024
-# Object names are at most about 1 KB long, so this many fit in 20 MB.
-MAX_BROADCAST_NAMES = 20_000
+# Object names are at most about 1 KB long, so the driver holds 10 MB of them.
+MAX_NAMED_FILES = 10_000
 
 
 def curate(
@@ -97,25 +97,38 @@ def refresh_tables(
     return names
 
 
+def _below(root: str, path: Column) -> Column:
+    return F.substring_index(path, f"{root.rstrip('/')}/", -1)
+
+
+def _literal_path(path: str) -> str:
+    """Escape what a reader would take for a glob."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def ingest_uploads(
-    spark: SparkSession, notices: DataFrame, root: str, body: str = "body"
+    spark: SparkSession, notices: DataFrame, root: str, body: str = "body", max_files: int = MAX_NAMED_FILES
 ) -> tuple[DataFrame, DataFrame]:
     """CSV files named by file-arrival notices, as row events; and the notices that name none.
 
-    Files are matched by a semi join on their path below ``root``, so no list of
-    names passes through the driver and a file announced twice is read once. A few
-    names are broadcast and the rows stay where they are read; many names join by
-    shuffle, where adaptive execution splits the rows of a hot file.
+    Names are matched against a listing, which reads no contents. Up to ``max_files``
+    files are then read by name and nothing else is scanned. Beyond that no list of
+    names passes through the driver: the folder is scanned and its rows are kept by
+    a semi join on their file, where adaptive execution splits a hot file. A file
+    announced twice is read once.
     """
     kept, rejected = require_fields(unnest_notifications(notices, body), ["key", "bucket", "arn"])
+    named = kept.select(F.concat_ws("/", "bucket", "key").alias("_object")).distinct()
+    listed = object_listing(spark, root).select("path", _below(root, F.col("path")).alias("_object"))
+    files = listed.join(named, "_object", "left_semi").select("path").limit(max_files + 1).collect()
+    if not files:
+        return spark.createDataFrame([], EVENT_SCHEMA), rejected
+    if len(files) <= max_files:
+        return row_to_event(scan_csv_header(spark, [_literal_path(f.path) for f in files])), rejected
     rows = scan_csv_header(spark, root, recursive=True)
-    data = rows.columns
     file_path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    below_root = F.substring_index(file_path, f"{root.rstrip('/')}/", -1)
-    named = kept.select(F.concat_ws("/", "bucket", "key").alias("_object")).distinct()
-    named = broadcast_if_small(named, MAX_BROADCAST_NAMES)
-    found = rows.withColumn("_object", below_root).join(named, "_object", "left_semi")
-    return row_to_event(found.select(*data)), rejected
+    found = rows.withColumn("_object", _below(root, file_path)).join(named, "_object", "left_semi")
+    return row_to_event(found.select(*rows.columns)), rejected
 
 
 def detections_report(

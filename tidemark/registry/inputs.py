@@ -194,8 +194,8 @@ def payloads(embeddings: DataFrame) -> DataFrame:
     return predictions(embeddings).select("vec_id", F.base64(F.encode(F.to_json(outer), "UTF-8")).alias("payload"))
 
 
-def md5_uniform(row_id: Column, seed: int, draw: int) -> Column:
-    """A draw that plain SQL can repeat."""
-    digest = F.md5(F.concat_ws("-", row_id.cast("string"), F.lit(str(seed)), F.lit(str(draw))))
-    bits = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
-    return (bits + 0.5) / float(2**48)
+def sha_uniform(row_id: Column, seed: int, draw: int) -> Column:
+    """A draw that plain SQL can repeat: ten hex digits of one digest per row."""
+    digest = F.sha2(F.concat_ws("-", row_id.cast("string"), F.lit(str(seed))), 256)
+    bits = F.conv(F.substring(digest, 1 + 10 * draw, 10), 16, 10).cast("double")
+    return (bits + 0.5) / float(2**40)

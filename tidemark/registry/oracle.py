@@ -42,8 +42,8 @@ _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(OBJECT_NAMES))
 
 
 def _draw(seed: int, number: int) -> str:
-    digest = f"md5(CAST(o_orderkey AS VARCHAR) || '-{seed}-{number}')"
-    return f"(CAST(CAST('0x' || substr({digest}, 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0"
+    digits = f"substr(sha256(CAST(o_orderkey AS VARCHAR) || '-{seed}'), {1 + 10 * number}, 10)"
+    return f"(CAST(CAST('0x' || {digits} AS BIGINT) AS DOUBLE) + 0.5) / 1099511627776.0"
 
 
 def _weighted(u: str, weights: dict[str, int]) -> str:

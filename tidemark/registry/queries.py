@@ -337,7 +337,7 @@ def partition_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def synthetic_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    drawn = ops.order_fields(orders, "o_orderkey", F.col("o_orderdate"), 1, uniform=inputs.md5_uniform)
+    drawn = ops.order_fields(orders, "o_orderkey", F.col("o_orderdate"), 1, uniform=inputs.sha_uniform)
     return drawn.withColumn("price", F.round("price", 4)).drop("o_orderdate")
 
 
@@ -346,7 +346,7 @@ def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "orders").schema
     rows = streaming.stream_source(spark, sf_dir, schema, data_format="parquet", glob="orders.parquet")
     ticks = rows.select("o_orderkey", "o_orderdate")
-    drawn = ops.order_fields(ticks, "o_orderkey", F.col("o_orderdate"), 2, uniform=inputs.md5_uniform)
+    drawn = ops.order_fields(ticks, "o_orderkey", F.col("o_orderdate"), 2, uniform=inputs.sha_uniform)
     return _drained(spark, drawn.withColumn("price", F.round("price", 4)).drop("o_orderdate"), "order_stream")
 
 
