@@ -23,6 +23,7 @@ from tidemark.operators.orders import clean_orders, order_fields, revenue_by_sta
 from tidemark.operators.partitions import (
     SENSOR_RANGES,
     distinct_partitions,
+    distinct_time_partitions,
     normalise_partition_keys,
     partition_gaps,
     partition_grid,
@@ -44,6 +45,7 @@ __all__ = [
     "clean_orders",
     "decode_payload",
     "distinct_partitions",
+    "distinct_time_partitions",
     "drop_null_fields",
     "explode_predictions",
     "flatten_columns",

@@ -80,6 +80,18 @@ def distinct_partitions(df: DataFrame, keys: Sequence[str] = tuple(TIME_KEYS)) -
     return df.select(*keys).distinct()
 
 
+def distinct_time_partitions(
+    df: DataFrame, ts: str, by: Sequence[str] = (), keys: Sequence[str] = tuple(TIME_KEYS)
+) -> DataFrame:
+    """Time partitions present in a table, per ``by``; ``keys`` run from coarse to fine.
+
+    Timestamps are cut to the finest key before duplicates are removed, so that text
+    is made once per partition instead of once per row.
+    """
+    cut = df.select(*by, F.date_trunc(keys[-1], ts).alias("_ts")).distinct()
+    return time_partition_columns(cut, "_ts", keys).drop("_ts")
+
+
 def partition_gaps(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected partitions that are absent.
 

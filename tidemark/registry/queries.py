@@ -361,8 +361,8 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def partition_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = ops.time_partition_columns(_events(spark, sf_dir).select("event_type", "ts"), "ts")
-    actual = ops.normalise_partition_keys(parts, "int")
+    present = ops.distinct_time_partitions(_events(spark, sf_dir), "ts", ["event_type"])
+    actual = ops.normalise_partition_keys(present, "int")
     bounds = actual.groupBy("event_type").agg(
         *[f(k).alias(f"{k}_{f.__name__}") for k in TIME_KEYS for f in (F.min, F.max)]
     )

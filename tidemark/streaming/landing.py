@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -114,19 +115,22 @@ def land_stream(
     Spark keeps in the checkpoint, as a new checkpoint counts its batches from zero.
     """
 
+    @cache
+    def stream_id() -> str:
+        return stream.sparkSession.read.json(f"{checkpoint}/metadata").first().id
+
     def land(batch: DataFrame, batch_id: int) -> None:
-        stream_id = batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id
         arrived = F.current_timestamp() if arrival is None else arrival
         stamped = batch.select(F.col(value).alias("value"), arrived.alias("_arrived"))
         parsed = _parse_records(stamped, schema, "value").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            stream_raw_backup(parsed, raw, stream_id, batch_id, arrival=F.col("_arrived"))
+            stream_raw_backup(parsed, raw, stream_id(), batch_id, arrival=F.col("_arrived"))
             good, bad = _split_records(parsed, schema, "value", ["_arrived"])
             keys = time_parts(F.col("_arrived"))
             for part, path, data_format in ((good, curated, "parquet"), (bad, failed, "text")):
                 rows = part.withColumns(keys).drop("_arrived")
                 rows.write.format(data_format).mode("overwrite").partitionBy(*keys).save(
-                    _batch_folder(path, stream_id, batch_id)
+                    _batch_folder(path, stream_id(), batch_id)
                 )
         finally:
             parsed.unpersist()
