@@ -28,6 +28,11 @@ def _ntz(col: str) -> Column:
     return F.col(col).cast("timestamp_ntz").alias(col)
 
 
+def _wide(df: DataFrame, *cols: str) -> DataFrame:
+    """Whole numbers as the type SQL gives date parts."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
@@ -273,7 +278,7 @@ def normalise_partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).select("event_id", *[c.alias(k) for k, c in unpadded.items()])
     padded = ops.normalise_partition_keys(events, "padded")
     both = padded.select("event_id", *TIME_KEYS, *[F.col(k).alias(f"{k}_text") for k in TIME_KEYS])
-    return ops.normalise_partition_keys(both, "int")
+    return _wide(ops.normalise_partition_keys(both, "int"), *TIME_KEYS)
 
 
 # Filters
@@ -331,7 +336,8 @@ def partition_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min(F.year("ts")).alias("first_year"), F.max(F.year("ts")).alias("last_year"))
     )
     ranges = {**ops.SENSOR_RANGES, "year": (F.col("first_year"), F.col("last_year"))}
-    return ops.partition_grid(years, ranges, root="sensors").drop("first_year", "last_year")
+    grid = ops.partition_grid(years, ranges, root="sensors").drop("first_year", "last_year")
+    return _wide(grid, *TIME_KEYS)
 
 
 @_query
@@ -368,7 +374,7 @@ def partition_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ranges = {k: (F.col(f"{k}_min"), F.col(f"{k}_max")) for k in TIME_KEYS}
     expected = ops.partition_grid(bounds, ranges).select("event_type", *TIME_KEYS)
-    return ops.partition_gaps(expected, actual, ["event_type", *TIME_KEYS])
+    return _wide(ops.partition_gaps(expected, actual, ["event_type", *TIME_KEYS]), *TIME_KEYS)
 
 
 @_query
@@ -474,7 +480,7 @@ def curated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     plans.curate(spark, inputs.landed_events(spark, sf_dir), target, schema, TEXT_PARTITIONS, mapping)
     curated = spark.read.parquet(target)
-    return curated.groupBy("event_type", "day").agg(
+    return _wide(curated, "day").groupBy("event_type", "day").agg(
         F.count("*").alias("records"),
         F.min("datetime").alias("first_datetime"),
         F.max("value").alias("max_value"),
