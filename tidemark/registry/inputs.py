@@ -133,8 +133,8 @@ def notices(documents: DataFrame) -> DataFrame:
         key = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(suffix))
         key = F.when(kind == 4, "").when(kind != 5, key)
         arn = F.when(kind != 3, F.concat(F.lit("arn:"), bucket))
-        s3 = F.struct(F.struct(key.alias("key")).alias("object"), F.struct(bucket.alias("name"), arn.alias("arn")).alias("bucket"))
-        return F.struct(s3.alias("s3"))
+        place = F.struct(bucket.alias("name"), arn.alias("arn")).alias("bucket")
+        return F.struct(F.struct(F.struct(key.alias("key")).alias("object"), place).alias("s3"))
 
     one, two = F.array(record(".txt")), F.array(record(".txt"), record(".meta"))
     records = F.when(kind == 1, F.slice(one, 1, 0)).when(kind == 2, two).otherwise(one)

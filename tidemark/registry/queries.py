@@ -457,9 +457,8 @@ def top_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def m_of_n_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     alarm = ops.m_of_n_alarm(_events(spark, sf_dir), "ts", "value", ["event_type"])
-    return alarm.select(
-        _ntz("period"), "event_type", F.round("average", 6).alias("average"), F.col("breaches").cast("bigint").alias("breaches"), "alarm"
-    )
+    average = F.round("average", 6).alias("average")
+    return _wide(alarm.select(_ntz("period"), "event_type", average, "breaches", "alarm"), "breaches")
 
 
 # Whole jobs
@@ -522,7 +521,8 @@ def ingested_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("s3")
     )
     message = F.to_json(F.struct(F.array(record, record).alias("Records")))
-    events, _ = plans.ingest_uploads(spark, listed.select(F.to_json(F.struct(message.alias("Message"))).alias("body")), root)
+    bodies = listed.select(F.to_json(F.struct(message.alias("Message"))).alias("body"))
+    events, _ = plans.ingest_uploads(spark, bodies, root)
     return events.select("status", "headers", "data")
 
 
