@@ -51,8 +51,10 @@ def test_change_images(spark):
             ]
         }
     )
-    images = sources.scan_change_images(spark.createDataFrame([(body,)], "body string"))
-    assert images.count() == 4
+    bad = ["not json", '{"Records":null}', body + " tail", None]
+    df = spark.createDataFrame([(body,), ('{"Records":[]}',), *[(b,) for b in bad]], "body string")
+    images, unreadable = sources.scan_change_images(df)
+    assert images.count() == 4 and {r.body for r in unreadable.collect()} == set(bad)
     split = ops.split_images(images).selectExpr("kind", "image['id']['N'] AS id")
     assert rows(split) == [("new", "1"), ("new", "3"), ("old", "2"), ("old", "4")]
 
@@ -67,7 +69,7 @@ def test_typed_attributes(spark):
 
 def test_csv_quotes_empty_values_and_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('ID,Street,Town\n1,"Main, Street","say ""hi"""\n2,,"two\nlines"\n')
-    df = sources.scan_csv_header(spark, str(tmp_path))
+    df = sources.scan_csv_header(spark, str(tmp_path), multi_line=True)
     assert df.columns == ["ID", "Street", "Town"]
     assert {f.dataType.simpleString() for f in df.schema} == {"string"}
     assert rows(df) == [("1", "Main, Street", 'say "hi"'), ("2", None, "two\nlines")]
@@ -79,15 +81,33 @@ def test_csv_quotes_empty_values_and_line_breaks(spark, tmp_path):
     assert sorted(len(r.fields) for r in events.collect()) == [3, 3]
 
 
-def test_csv_is_split_only_when_no_value_spans_lines(spark, tmp_path):
-    (tmp_path / "flat").mkdir()
-    (tmp_path / "flat/a.csv").write_text('id,v\n1,"a ""b"", c"\n')
-    flat = sources.scan_csv_header(spark, str(tmp_path / "flat"))
+def test_csv_is_split_unless_values_span_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,v\n1,"a ""b"", c"\n')
+    flat = sources.scan_csv_header(spark, str(tmp_path))
     assert rows(flat) == [("1", 'a "b", c')]
-    assert sources.files._has_open_quotes(spark, str(tmp_path / "flat"), False) is False
-    (tmp_path / "flat/b.csv").write_text('id,v\n2,"a\n\nb"\n')
-    both = sources.scan_csv_header(spark, str(tmp_path / "flat"))
-    assert rows(both) == [("1", 'a "b", c'), ("2", "a\n\nb")]
+    (tmp_path / "b.csv").write_text('id,v\n1,5" pipe\n2,"two\n\nlines"\n3,6"\n')
+    both = sources.scan_csv_header(spark, str(tmp_path), multi_line=True)
+    assert rows(both) == [("1", '5" pipe'), ("1", 'a "b", c'), ("2", "two\n\nlines"), ("3", '6"')]
+
+
+def test_ragged_csv_keeps_all_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,2\n3,4,5\n6\n"7,x",8,"9 ""q""",\n')
+    found = sources.scan_csv_header(spark, str(tmp_path), ragged="all").collect()
+    assert [(r.a, r.b, r["all"]) for r in found] == [
+        ("1", "2", None), ("3", "4", ["3", "4", "5"]), ("6", None, ["6"]), ("7,x", "8", ["7,x", "8", '9 "q"', ""])
+    ]
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_files_with_their_own_headers(spark, tmp_path, multi_line):
+    (tmp_path / "a b.csv").write_text("a,b\n1,2\n3,4,5\n")
+    (tmp_path / "c+d.csv").write_text('x,y,z\n1,"2,3",\n')
+    (tmp_path / "other.csv").write_text("q\n1\n")
+    only = spark.createDataFrame([("a b.csv",), ("c+d.csv",), ("gone.csv",)], "name string")
+    found = sources.scan_headed_files(spark, str(tmp_path), multi_line, only)
+    assert rows(found) == [
+        ("a b.csv", "a,b", ["1", "2"]), ("a b.csv", "a,b", ["3", "4", "5"]), ("c+d.csv", "x,y,z", ["1", "2,3", ""])
+    ]
 
 
 def test_csv_files_with_other_headers_are_not_mixed(spark, tmp_path):
@@ -150,17 +170,40 @@ def test_detections(spark):
     assert "hashpartitioning" not in plan
 
 
-@pytest.mark.parametrize("max_files", [100, 1], ids=["by name", "by join"])
-def test_ingest_uploads(spark, tmp_path, max_files):
+def test_ingest_uploads(spark, tmp_path):
     for bucket, key in (("b", "in/one file.csv"), ("b", "two+[2].csv"), ("c", "one file.csv")):
         path = tmp_path / bucket / key
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(f"id,file\n1,{bucket}-{key}\n")
+    (tmp_path / "b/x.csv").write_text("x,y,z\n1,2,3\n4,5\n6,7,8,9\n")
     first = notice(record(key="in/one file.csv"), record(key="two+[2].csv"), record(key="gone.csv"))
-    notices = spark.createDataFrame([(first,), (notice(record(key="two+[2].csv")),), ("{}",)], "body string")
-    events, rejected = plans.ingest_uploads(spark, notices, str(tmp_path), max_files=max_files)
-    assert rows(events.select("data")) == [("1,b-in/one file.csv",), ("1,b-two+[2].csv",)]
-    assert rejected.count() == 1
-    assert ("Join" in events._jdf.queryExecution().optimizedPlan().toString()) == (max_files == 1)
+    second, tail = notice(record(key="two+[2].csv"), record(key="x.csv")), notice(record(key="x.csv")) + "{}"
+    bodies = [(first,), (second,), ("{}",), (tail,), ("not json",)]
+    notices = spark.createDataFrame(bodies, "body string")
+    events, rejected = plans.ingest_uploads(spark, notices, str(tmp_path))
+    assert rows(events.select("headers", "data")) == [
+        ("id,file", "1,b-in/one file.csv"), ("id,file", "1,b-two+[2].csv"),
+        ("x,y,z", "1,2,3"), ("x,y,z", "4,5"), ("x,y,z", "6,7,8,9"),
+    ]
+    # What names no object, or one that is not there, keeps its body.
+    assert sorted((r.key or "", r.body) for r in rejected.collect()) == sorted(
+        [("gone.csv", first), ("", "{}"), ("", tail), ("", "not json")]
+    )
     nothing, _ = plans.ingest_uploads(spark, notices.filter("body = '{}'"), str(tmp_path))
     assert nothing.columns == events.columns and nothing.isEmpty()
+
+
+def test_broken_payloads_do_not_stop_the_report(spark):
+    inner = base64.b64encode(b"\xff\xfe").decode()
+    outer = base64.b64encode(json.dumps({"sageMakerOutput": inner}).encode()).decode()
+    bad = ["a", "%%%", base64.b64encode(b"\xff\xfe").decode(), outer, "", None]
+    nan = base64.b64encode(json.dumps({"sageMakerOutput": base64.b64encode(b'{"prediction":[[1,"NaN"],[1,0.5]]}').decode()}).encode())
+    data = [(i, p) for i, p in enumerate(bad)] + [(9, encoded([[2.0, 0.5]])), (10, nan.decode())]
+    report, unreadable = plans.detections_report(spark.createDataFrame(data, "id int, payload string"))
+    assert rows(report.select("id", "score")) == sorted([(9, 0.5), (10, 0.5)], key=repr)
+    assert {(r.id, r.payload) for r in unreadable.collect()} == set(enumerate(bad))
+
+
+def test_nan_is_not_above_the_threshold(spark):
+    df = spark.createDataFrame([(1, float("nan")), (1, 0.2), (1, None)], "id int, score double")
+    assert rows(ops.score_threshold(df)) == [(1, 0.2)]

@@ -235,3 +235,42 @@ def test_lag(spark):
     )
     out = ops.per_minute_lag(df, "sent", "got").orderBy("minute").collect()
     assert [(r.max_lag_ms, r.avg_lag_ms) for r in out] == [(300, 200.0), (61000, 61000.0)]
+
+
+def test_wide_keys_stay_whole(spark):
+    df = spark.createDataFrame([("20201", "123", "8", "100")], "year string, month string, day string, hour string")
+    assert tuple(ops.normalise_partition_keys(df).first()) == ("20201", "123", "08", "100")
+    grid = ops.partition_grid(spark, {"month": (99, 101)}, {"month": 2})
+    assert [r.location for r in grid.collect()] == ["month=99", "month=100", "month=101"]
+
+
+def test_expected_hours_follow_the_calendar(spark):
+    df = spark.sql("SELECT TIMESTAMP'2023-02-28 22:59:00' AS ts UNION ALL SELECT TIMESTAMP'2023-03-01 01:00:00'")
+    hours = [tuple(r) for r in ops.expected_hours(df, "ts").collect()]
+    assert sorted(hours) == [(2023, 2, 28, 22), (2023, 2, 28, 23), (2023, 3, 1, 0), (2023, 3, 1, 1)]
+
+
+def test_periods_without_an_average_are_left_out(spark):
+    averages = spark.createDataFrame([(i, a) for i, a in enumerate([70.0, None, 70.0])], "period int, average double")
+    found = [tuple(r) for r in ops.alarm_states(averages, m=2, n=2).orderBy("period").collect()]
+    assert found == [(0, 70.0, 1, False), (2, 70.0, 2, True)]
+
+
+def test_registration_adds_new_partitions_only(spark, tmp_path):
+    location = f"{tmp_path}/it's"
+    schema = T.StructType().add("s", "struct<`b c`:int>").add("day", "string")
+
+    def put(day, value):
+        spark.range(1).selectExpr(f"named_struct('b c', {value}) AS s").write.json(f"{location}/day={day}")
+
+    try:
+        put("01", 1)
+        table = sinks.register_external_table(spark, "added_test", schema, ["day"], location)
+        assert [r.s[0] for r in table.collect()] == [1]
+        put("02", 2)
+        assert sorted(r.s[0] for r in sinks.register_external_table(spark, "added_test", schema, ["day"], location).collect()) == [1, 2]
+        days = sinks.table_partitions(spark, "added_test", ["day"])
+        assert sorted(r.day for r in days.collect()) == ["01", "02"]
+        assert sinks.add_partitions(spark, "added_test", days, ["day"]) == 0
+    finally:
+        spark.sql("DROP TABLE IF EXISTS added_test")

@@ -1,5 +1,5 @@
 """Spark-native operators for a sensor and event data lake."""
 
-from tidemark.session import build_session, scratch_dir
+from tidemark.session import build_session, clear_scratch, scratch_dir
 
-__all__ = ["build_session", "scratch_dir"]
+__all__ = ["build_session", "clear_scratch", "scratch_dir"]

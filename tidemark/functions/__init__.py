@@ -1,6 +1,7 @@
 """Column-level building blocks."""
 
 from tidemark.functions.draws import hash_uniform, weighted_choice
+from tidemark.functions.json_text import is_one_value
 from tidemark.functions.once import computed_once
 from tidemark.functions.partitions import (
     TIME_KEYS,
@@ -8,6 +9,7 @@ from tidemark.functions.partitions import (
     path_value,
     path_values,
     time_parts,
+    zero_padded,
 )
 from tidemark.functions.typed_attributes import attribute_schema
 
@@ -16,9 +18,11 @@ __all__ = [
     "attribute_schema",
     "computed_once",
     "hash_uniform",
+    "is_one_value",
     "partition_path",
     "path_value",
     "path_values",
     "time_parts",
     "weighted_choice",
+    "zero_padded",
 ]

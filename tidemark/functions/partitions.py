@@ -21,6 +21,11 @@ def time_parts(ts: Column, keys: Sequence[str] = tuple(TIME_KEYS)) -> dict[str,
     return {k: F.date_format(ts, TIME_KEYS[k][0]) for k in keys}
 
 
+def zero_padded(text: Column, width: int) -> Column:
+    """Text with zeros put before it up to ``width``; longer text stays whole."""
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def path_values(path: Column) -> Column:
     """``root/a=1/b=2/file`` to ``["1", "2"]``: text after ``=`` of every inner folder."""
     folders = F.filter(F.split(path, "/"), lambda part: part.contains("="))

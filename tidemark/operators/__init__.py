@@ -18,13 +18,14 @@ from tidemark.operators.metrics import (
     period_averages,
 )
 from tidemark.operators.nested import flatten_columns, flatten_paths
-from tidemark.operators.notices import require_fields, row_to_event, split_images, unnest_notifications
+from tidemark.operators.notices import read_notices, require_fields, row_to_event, split_images, unnest_notifications
 from tidemark.operators.orders import clean_orders, order_fields, revenue_by_state, synthetic_orders, top_sku
 from tidemark.operators.partitions import (
     SENSOR_RANGES,
     distinct_partitions,
     distinct_time_partitions,
     normalise_partition_keys,
+    expected_hours,
     partition_gaps,
     partition_grid,
     partition_values_from_path,
@@ -54,12 +55,14 @@ __all__ = [
     "m_of_n_alarm",
     "normalise_partition_keys",
     "order_fields",
+    "expected_hours",
     "partition_gaps",
     "partition_grid",
     "partition_values_from_path",
     "per_minute_lag",
     "per_minute_sums",
     "period_averages",
+    "read_notices",
     "require_fields",
     "resolve_choice",
     "revenue_by_state",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.once import computed_once
@@ -30,15 +30,20 @@ OBJECT_NAMES = (
 )
 
 
-def decode_payload(df: DataFrame, col: str = "payload") -> DataFrame:
+def base64_text(text: Column) -> Column:
+    """Text in base64, null if it is not base64 of UTF-8."""
+    return F.try_validate_utf8(F.try_to_binary(text, F.lit("base64")).cast("string"))
+
+
+def decode_payload(df: DataFrame, col: str = "payload", keep_payload: bool = False) -> DataFrame:
     """Replace a base64 payload by ``fragment, frame, stream_name, prediction``; other columns are kept.
 
-    A payload that does not decode gives nulls.
+    A payload that does not decode gives nulls. ``keep_payload`` keeps it too.
     """
-    outer = F.from_json(F.decode(F.unbase64(F.col(col)), "UTF-8"), PAYLOAD_SCHEMA)
-    inner = F.from_json(F.decode(F.unbase64(F.col("_p.sageMakerOutput")), "UTF-8"), PREDICTION_SCHEMA)
-    keep = [c for c in df.columns if c != col]
-    decoded = computed_once(computed_once(df, "_p", outer).drop(col), "_q", inner)
+    outer = F.from_json(base64_text(F.col(col)), PAYLOAD_SCHEMA)
+    inner = F.from_json(base64_text(F.col("_p.sageMakerOutput")), PREDICTION_SCHEMA)
+    keep = [c for c in df.columns if keep_payload or c != col]
+    decoded = computed_once(computed_once(df, "_p", outer), "_q", inner)
     return decoded.select(
         *keep,
         F.col("_p.fragmentMetaData").alias("fragment"),
@@ -56,9 +61,14 @@ def explode_predictions(df: DataFrame, prediction: str = "prediction") -> DataFr
     )
 
 
+def _above(score: Column, threshold: float) -> Column:
+    # Spark orders NaN above all numbers.
+    return (score > threshold) & ~F.isnan(score)
+
+
 def score_threshold(df: DataFrame, score: str = "score", threshold: float = SCORE_THRESHOLD) -> DataFrame:
-    """Rows whose score is strictly above the threshold."""
-    return df.filter(F.col(score) > threshold)
+    """Rows whose score is strictly above the threshold; NaN is not."""
+    return df.filter(_above(F.col(score), threshold))
 
 
 def best_score_per_class(
@@ -85,14 +95,16 @@ def best_scores_in_record(
     nothing is shuffled.
     """
     keep = [c for c in df.columns if c != prediction]
-    above = F.filter(prediction, lambda p: F.get(p, F.lit(1)) > threshold)
-    classes = F.array_distinct(F.transform("_above", lambda p: F.get(p, F.lit(0))))
-    same = F.filter("_above", lambda p: F.get(p, F.lit(0)).eqNullSafe(F.col("class")))
-    best = F.array_max(F.transform(same, lambda p: F.get(p, F.lit(1))))
+    above = F.filter(prediction, lambda p: _above(F.get(p, F.lit(1)), threshold))
+    # Sorted by class and score, the last of each run of a class is its best.
+    pairs = F.transform(above, lambda p: F.struct(F.get(p, F.lit(0)).alias("class"), F.get(p, F.lit(1)).alias("score")))
+    after = F.get("_pairs", F.col("_at") + 1)
+    last = after.isNull() | ~after["class"].eqNullSafe(F.col("_pair.class"))
     return (
-        df.select(*keep, above.alias("_above"))
-        .select(*keep, "_above", F.explode(classes).alias("class"))
-        .select(*keep, "class", best.alias("score"))
+        computed_once(df.select(*keep, prediction), "_pairs", F.array_sort(pairs))
+        .select(*keep, "_pairs", F.posexplode("_pairs").alias("_at", "_pair"))
+        .filter(last)
+        .select(*keep, "_pair.class", "_pair.score")
     )
 
 

@@ -71,7 +71,11 @@ def alarm_states(
     n: int = ALARM_PERIODS,
     threshold: float = ALARM_THRESHOLD,
 ) -> DataFrame:
-    """Alarm state per period from averages ``(period, keys, average)``, e.g. those a stream has written."""
+    """Alarm state per period from averages ``(period, keys, average)``, e.g. those a stream has written.
+
+    Periods without an average are left out, as those without data are.
+    """
+    averages = averages.filter(F.col("average").isNotNull())
     last_n = Window.partitionBy(*keys).orderBy("period").rowsBetween(1 - n, 0)
     breach = (F.col("average") > threshold).cast("int")
     return averages.withColumn("breaches", F.sum(breach).over(last_n)).withColumn("alarm", F.col("breaches") >= m)

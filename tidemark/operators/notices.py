@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.json_text import is_one_value
+from tidemark.functions.once import computed_once
+
 # Layout of a queue body, of the notice inside it, and of a row event.
 BODY_SCHEMA = "struct<Message: string>"
 NOTICE_SCHEMA = (
@@ -18,18 +21,22 @@ EVENT_STATUS = "extracted"
 EVENT_SCHEMA = "status string, headers string, data string, fields array<string>"
 
 
-def unnest_notifications(df: DataFrame, body: str = "body", first_only: bool = False) -> DataFrame:
+def unnest_notifications(
+    df: DataFrame, body: str = "body", first_only: bool = False, keep_body: bool = False
+) -> DataFrame:
     """One row ``(key, bucket, arn)`` per object named in a queue body; other columns are kept.
 
     The body is JSON whose ``Message`` is JSON again. A body without a message or
-    without records gives one row of nulls, for the caller to reject.
-    ``first_only`` takes just the first record of each notice.
+    without records, or one that is not exactly one JSON value, gives one row of nulls,
+    for the caller to reject. ``first_only`` takes just the first record of each notice.
+    ``keep_body`` keeps the body too, so that a reject can be read again.
     """
-    message = F.from_json(F.col(body), BODY_SCHEMA).getField("Message")
-    records = F.from_json(message, NOTICE_SCHEMA).getField("Records")
+    message = F.when(is_one_value(F.col(body)), F.from_json(F.col(body), BODY_SCHEMA)).getField("Message")
+    records = F.when(is_one_value(F.col("_message")), F.from_json("_message", NOTICE_SCHEMA)).getField("Records")
     if first_only:
         records = F.slice(records, 1, 1)
-    keep = [c for c in df.columns if c != body]
+    keep = [c for c in df.columns if keep_body or c != body]
+    df = computed_once(df, "_message", message)
     return df.select(*keep, F.explode_outer(records).alias("_record")).select(
         *keep,
         F.col("_record.s3.object.key").alias("key"),
@@ -38,6 +45,13 @@ def unnest_notifications(df: DataFrame, body: str = "body", first_only: bool = F
     )
 
 
+def read_notices(df: DataFrame, body: str = "body", first_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Objects with key, bucket and arn; and what names none, with the body as it came."""
+    found = unnest_notifications(df, body, first_only, keep_body=True)
+    kept, rejected = require_fields(found, ["key", "bucket", "arn"])
+    return kept.drop(body), rejected
+
+
 def require_fields(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Split into rows with every field present and the rest. Empty text counts as present."""
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])

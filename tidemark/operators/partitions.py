@@ -7,7 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.partitions import TIME_KEYS, partition_path, path_value, path_values, time_parts
+from tidemark.functions.partitions import (
+    TIME_KEYS,
+    partition_path,
+    path_value,
+    path_values,
+    time_parts,
+    zero_padded,
+)
 
 # Ranges the raw sensor layout may hold.
 SENSOR_RANGES: dict[str, tuple[int, int]] = {
@@ -40,13 +47,16 @@ def partition_values_from_path(
 def normalise_partition_keys(
     df: DataFrame, style: str = "padded", keys: Sequence[str] = tuple(TIME_KEYS)
 ) -> DataFrame:
-    """Bring ``08``, ``8`` and the number 8 to one form: ``padded`` text or ``int``."""
+    """Bring ``08``, ``8`` and the number 8 to one form: ``padded`` text or ``int``.
+
+    Numbers wider than their key stay whole; what is not a number becomes null.
+    """
     if style not in ("padded", "int"):
         raise ValueError(f"unknown style: {style}")
 
     def form(key: str) -> Column:
         number = F.col(key).try_cast("int")
-        return number if style == "int" else F.lpad(number.cast("string"), TIME_KEYS[key][1], "0")
+        return number if style == "int" else zero_padded(number.cast("string"), TIME_KEYS[key][1])
 
     return df.withColumns({k: form(k) for k in keys})
 
@@ -70,7 +80,7 @@ def partition_grid(
         grid = grid.select("*", F.explode(F.sequence(*bounds)).alias(key))
     widths = template or {}
     parts = {
-        k: F.lpad(F.col(k).cast("string"), widths[k], "0") if k in widths else F.col(k) for k in ranges
+        k: zero_padded(F.col(k).cast("string"), widths[k]) if k in widths else F.col(k) for k in ranges
     }
     return grid.withColumn("location", partition_path(parts, root))
 
@@ -92,6 +102,18 @@ def distinct_time_partitions(
     return time_partition_columns(cut, "_ts", keys).drop("_ts")
 
 
+def expected_hours(df: DataFrame, ts: str, by: Sequence[str] = ()) -> DataFrame:
+    """Every hour from the first to the last one present, per ``by``, as integer time keys.
+
+    Hours follow the calendar, so that no impossible date is among them.
+    """
+    hour = F.date_trunc("hour", ts)
+    bounds = df.groupBy(*by).agg(F.min(hour).alias("_first"), F.max(hour).alias("_last"))
+    step = F.expr("INTERVAL 1 HOUR")
+    hours = bounds.select(*by, F.explode(F.sequence("_first", "_last", step)).alias("_ts"))
+    return normalise_partition_keys(time_partition_columns(hours, "_ts").drop("_ts"), "int")
+
+
 def partition_gaps(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected partitions that are absent.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,17 +10,21 @@ from pyspark.sql import functions as F
 
 Mapping4 = tuple[str, str, str, str]
 
-# Kinds a JSON value can have, with the Spark type of the struct member that holds it.
-_MEMBER_TYPES = {
-    "BIGINT": "bigint",
-    "BOOLEAN": "boolean",
-    "DECIMAL": "double",
-    "DOUBLE": "double",
-    "STRING": "string",
-    "OBJECT": "string",
-    "ARRAY": "string",
+# Struct member and Spark type for each kind a variant can hold; numbers with a fixed point keep all their digits.
+_MEMBERS = {
+    "BIGINT": ("bigint", "bigint"),
+    "BOOLEAN": ("boolean", "boolean"),
+    "FLOAT": ("float", "float"),
+    "DOUBLE": ("double", "double"),
+    "STRING": ("string", "string"),
+    "DATE": ("date", "date"),
+    "TIMESTAMP": ("timestamp", "timestamp"),
+    "TIMESTAMP_NTZ": ("timestamp_ntz", "timestamp_ntz"),
+    "BINARY": ("binary", "binary"),
+    "OBJECT": ("object", "string"),
+    "ARRAY": ("array", "string"),
 }
-_MEMBER_NAMES = {"DECIMAL": "double", "OBJECT": "object", "ARRAY": "array"}
+_DECIMAL = re.compile(r"DECIMAL\((\d+),\s*(\d+)\)")
 
 
 def apply_mapping(df: DataFrame, mappings: Iterable[Mapping4]) -> DataFrame:
@@ -38,7 +43,9 @@ def apply_mapping(df: DataFrame, mappings: Iterable[Mapping4]) -> DataFrame:
 
 
 def _kind(value: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    """Kind of a variant value; decimals with their precision and scale."""
+    schema = F.schema_of_variant(value)
+    return F.regexp_extract(schema, r"^(DECIMAL\(.*\)|[A-Z_]+)", 1)
 
 
 def _field_path(field: str | None) -> str:
@@ -46,10 +53,29 @@ def _field_path(field: str | None) -> str:
 
 
 def observed_kinds(df: DataFrame, variant_col: str, field: str | None = None) -> list[str]:
-    """Kinds of value found in one field. At most one row per kind reaches the driver."""
+    """Kinds of value found in one field, nulls left out.
+
+    At most one row per kind, precision and scale reaches the driver. Decimals become one kind that
+    holds the digits of all.
+    """
     value = F.try_variant_get(F.col(variant_col), _field_path(field), "variant")
-    rows = df.select(_kind(value).alias("kind")).distinct().collect()
-    return sorted(r.kind for r in rows if r.kind in _MEMBER_TYPES)
+    found = {r.kind for r in df.select(_kind(value).alias("kind")).distinct().collect() if r.kind} - {"VOID"}
+    sizes = [tuple(map(int, m.groups())) for k in found if (m := _DECIMAL.fullmatch(k))]
+    kinds = sorted(k for k in found if not _DECIMAL.fullmatch(k))
+    if sizes:
+        scale = max(s for _, s in sizes)
+        kinds.append(f"DECIMAL({max(p - s for p, s in sizes) + scale},{scale})")
+    return kinds
+
+
+def _member(kind: str) -> tuple[str, str]:
+    if found := _DECIMAL.fullmatch(kind):
+        if int(found[1]) > 38:
+            raise ValueError(f"no decimal type holds the digits of all values: {kind}")
+        return "decimal", kind.lower()
+    if kind not in _MEMBERS:
+        raise ValueError(f"no struct member for values of kind {kind}")
+    return _MEMBERS[kind]
 
 
 def resolve_choice(
@@ -63,26 +89,29 @@ def resolve_choice(
 
     The field is ``field`` inside the variant column, or the column itself. Reading a
     variant also converts (number 1 reads as text ``1``), so each member is gated on
-    the kind the value really has. Pass ``kinds`` to skip the pass that finds them.
-    A single kind is no conflict and gives a plain column.
+    the kind the value really has. Pass ``kinds`` to skip the pass that finds them
+    (decimals as ``DECIMAL(p,s)``). A kind that has no member, or that is met but not
+    among ``kinds``, raises; no value is lost. A single kind is no conflict and gives a plain column.
     """
     if action != "make_struct":
         raise ValueError(f"unsupported action: {action}")
     kinds = observed_kinds(df, variant_col, field) if kinds is None else list(kinds)
     path = _field_path(field)
     value = F.try_variant_get(F.col(variant_col), path, "variant")
-    members: dict[str, list[str]] = {}
-    for kind in kinds:
-        members.setdefault(_MEMBER_NAMES.get(kind, _MEMBER_TYPES[kind]), []).append(kind)
+    base = F.regexp_extract("_kind", "^[A-Z_]+", 0)
     columns = []
-    for name, group in members.items():
-        typed = F.try_variant_get(F.col(variant_col), path, _MEMBER_TYPES[group[0]])
-        columns.append(F.when(F.col("_kind").isin(*group), typed).alias(name))
+    for kind in kinds:
+        name, dtype = _member(kind)
+        typed = F.try_variant_get(F.col(variant_col), path, dtype)
+        columns.append(F.when(base == kind.partition("(")[0], typed).alias(name))
     if not columns:
         resolved = F.lit(None).cast("string")
     else:
         resolved = columns[0] if len(columns) == 1 else F.struct(*columns)
-    return df.withColumn("_kind", _kind(value)).withColumn(field or variant_col, resolved).drop("_kind")
+    known = F.coalesce(base.isin("VOID", "", *(k.partition("(")[0] for k in kinds)), F.lit(True))
+    message = F.concat(F.lit("unexpected kind of value: "), "_kind")
+    checked = df.withColumn("_kind", _kind(value)).filter(F.when(known, True).otherwise(F.raise_error(message).cast("boolean")))
+    return checked.withColumn(field or variant_col, resolved).drop("_kind")
 
 
 def drop_null_fields(df: DataFrame, probe_rows: int = 64) -> DataFrame:

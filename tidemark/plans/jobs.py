@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +14,12 @@ from tidemark.operators.detections import (
     decode_payload,
     label_lookup,
 )
-from tidemark.operators.notices import EVENT_SCHEMA, require_fields, row_to_event, unnest_notifications
+from tidemark.operators.notices import EVENT_STATUS, require_fields, unnest_notifications
 from tidemark.operators.partitions import stale_partitions
 from tidemark.operators.shape import Mapping4, apply_mapping, drop_null_fields, resolve_choice
 from tidemark.sinks.files import write_partitioned_parquet
 from tidemark.sinks.tables import register_external_table
-from tidemark.sources.files import object_listing, scan_csv_header, scan_partitioned_json
+from tidemark.sources.files import object_listing, scan_headed_files, scan_partitioned_json
 
 # Columns and types of the curated sensor table.
 SENSOR_MAPPING: list[Mapping4] = [
@@ -35,12 +34,6 @@ SENSOR_MAPPING: list[Mapping4] = [
 ]
 
 
-# A task packs files up to 128 MB, so files from this size on come from at most four folders.
-SMALL_FILE_BYTES = 32 * 1024 * 1024
-# Object names are at most about 1 KB long, so the driver holds 10 MB of them.
-MAX_NAMED_FILES = 10_000
-
-
 def curate(
     spark: SparkSession,
     source: str,
@@ -52,20 +45,14 @@ def curate(
     choices: Sequence[str] = (),
     folders: str | None = None,
     mode: str = "append",
-    compact: bool | None = None,
+    compact: bool = True,
 ) -> None:
     """Raw JSON to curated Parquet: scan, map, resolve conflicts, drop empty columns, write.
 
-    ``choices`` names fields declared ``variant`` in the schema. When the raw files
-    are large, a task reads few folders and its rows are written where they were
-    read, without a shuffle. Small files are rebalanced by the keys, or each task
-    would leave a small file in many folders. ``compact`` fixes the choice; by
-    default the average file size decides.
+    ``choices`` names fields declared ``variant`` in the schema. Rows are rebalanced by the
+    keys, or each task would leave a small file in many folders; without ``compact`` they are
+    written where they were read, which saves the shuffle for files of one folder each.
     """
-    if compact is None:
-        listed = object_listing(spark, f"{source.rstrip('/')}/{folders}" if folders else source)
-        average = listed.agg(F.avg("length")).first()[0]
-        compact = average is not None and average < SMALL_FILE_BYTES
     raw = scan_partitioned_json(spark, source, schema, partition_schema, folders)
     mapped = apply_mapping(raw, mappings)
     for field in choices:
@@ -97,38 +84,27 @@ def refresh_tables(
     return names
 
 
-def _below(root: str, path: Column) -> Column:
-    return F.substring_index(path, f"{root.rstrip('/')}/", -1)
-
-
-def _literal_path(path: str) -> str:
-    """Escape what a reader would take for a glob."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
-
-
 def ingest_uploads(
-    spark: SparkSession, notices: DataFrame, root: str, body: str = "body", max_files: int = MAX_NAMED_FILES
+    spark: SparkSession, notices: DataFrame, root: str, body: str = "body", multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """CSV files named by file-arrival notices, as row events; and the notices that name none.
+    """CSV files named by file-arrival notices, as row events; and the notices that name none, with their body.
 
-    Names are matched against a listing, which reads no contents. Up to ``max_files``
-    files are then read by name and nothing else is scanned. Beyond that no list of
-    names passes through the driver: the folder is scanned and its rows are kept by
-    a semi join on their file, where adaptive execution splits a hot file. A file
-    announced twice is read once.
+    Each event has the header of its own file and all values of its row. A file announced twice is read
+    once. Rejected are notices without key, bucket or arn, and those of objects that are not there.
+    Names are matched by joins, so that there is one way for any number of files and none pass through the driver.
     """
-    kept, rejected = require_fields(unnest_notifications(notices, body), ["key", "bucket", "arn"])
-    named = kept.select(F.concat_ws("/", "bucket", "key").alias("_object")).distinct()
-    listed = object_listing(spark, root).select("path", _below(root, F.col("path")).alias("_object"))
-    files = listed.join(named, "_object", "left_semi").select("path").limit(max_files + 1).collect()
-    if not files:
-        return spark.createDataFrame([], EVENT_SCHEMA), rejected
-    if len(files) <= max_files:
-        return row_to_event(scan_csv_header(spark, [_literal_path(f.path) for f in files])), rejected
-    rows = scan_csv_header(spark, root, recursive=True)
-    file_path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    found = rows.withColumn("_object", _below(root, file_path)).join(named, "_object", "left_semi")
-    return row_to_event(found.select(*rows.columns)), rejected
+    found = unnest_notifications(notices, body, keep_body=True)
+    kept, rejected = require_fields(found, ["key", "bucket", "arn"])
+    there = object_listing(spark, root)
+    there = there.select(F.substring_index("path", f"{root.rstrip('/')}/", -1).alias("_object"))
+    kept = kept.withColumn("_object", F.concat_ws("/", "bucket", "key"))
+    absent = kept.join(there, "_object", "left_anti").drop("_object")
+    wanted = kept.select("_object").distinct()
+    rows = scan_headed_files(spark, root, multi_line, wanted)
+    events = rows.select(
+        F.lit(EVENT_STATUS).alias("status"), "headers", F.array_join("fields", ",").alias("data"), "fields"
+    )
+    return events, rejected.unionByName(absent)
 
 
 def detections_report(
@@ -137,7 +113,9 @@ def detections_report(
     """Encoded detection records to the best score of every named class in each record.
 
     Nothing is shuffled: a record carries all its predictions. The second result
-    holds the records whose payload does not decode.
+    holds the records whose payload does not decode, as they came.
     """
-    decoded, unreadable = require_fields(decode_payload(records, payload), ["prediction"])
-    return label_lookup(best_scores_in_record(decoded, "prediction", threshold)), unreadable
+    decoded = decode_payload(records, payload, keep_payload=True)
+    good, bad = require_fields(decoded, ["prediction"])
+    best = best_scores_in_record(good.drop(payload), "prediction", threshold)
+    return label_lookup(best), bad.select(*records.columns)

@@ -79,14 +79,17 @@ def landed_records(spark: SparkSession, sf_dir: str) -> str:
 
 
 def event_lines(events: DataFrame) -> DataFrame:
-    """One text record per event; some have a wrong type, some are not JSON."""
+    """One text record per event; some have a wrong type, are not JSON, or have more text after the value."""
     number = F.col("event_id").cast("string")
     head = F.concat(F.lit('{"event_id":'), number, F.lit(',"event_type":"'), "event_type", F.lit('","value":'))
     kind = F.pmod("event_id", F.lit(7))
+    good = F.concat(head, F.col("value").cast("string"), F.lit("}"))
     line = (
-        F.when(kind == 3, F.concat(head, F.lit('"oops"}')))
+        F.when(kind == 2, F.concat(good, good))
+        .when(kind == 3, F.concat(head, F.lit('"oops"}')))
         .when(kind == 5, F.concat(F.lit("event "), number))
-        .otherwise(F.concat(head, F.col("value").cast("string"), F.lit("}")))
+        .when(kind == 6, F.concat(good, F.lit(" tail")))
+        .otherwise(good)
     )
     return events.select(line.alias("value"))
 
@@ -110,20 +113,50 @@ def landed_documents(spark: SparkSession, sf_dir: str) -> str:
     return landed_copy(spark, sf_dir, "landed_documents", write)
 
 
+UPLOADED = {
+    "automobile": ["c_custkey", "c_name"],
+    "building": ["c_mktsegment", "c_nationkey", "c_custkey"],
+}
+WHOLE_UPLOAD = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
 def landed_uploads(spark: SparkSession, sf_dir: str) -> str:
-    """``customer`` as one CSV upload folder per market segment: ``root/uploads/<segment>/file``."""
+    """``customer`` as one CSV upload folder per market segment, with three kinds of header."""
 
     def write(path: str) -> None:
-        customer = table(spark, sf_dir, "customer")
         segment = F.lower("c_mktsegment").alias("segment")
-        rows = customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", segment)
-        rows.hint("rebalance", F.col("segment")).write.partitionBy("segment").option("header", True).csv(
-            f"{path}/uploads"
-        )
+        customer = table(spark, sf_dir, "customer").select("*", segment)
+        groups = [(F.col("segment") == name, columns) for name, columns in UPLOADED.items()]
+        groups.append((~F.col("segment").isin(*UPLOADED), WHOLE_UPLOAD))
+        for chosen, columns in groups:
+            rows = customer.filter(chosen).select(*columns, "segment").hint("rebalance", F.col("segment"))
+            rows.write.mode("append").partitionBy("segment").option("header", True).csv(f"{path}/uploads")
 
     return landed_copy(spark, sf_dir, "landed_uploads", write)
 
 
+def landed_ragged(spark: SparkSession, sf_dir: str) -> str:
+    """``customer`` as CSV of key and name, where some rows have a third value and some the key only."""
+
+    def write(path: str) -> None:
+        key, kind = F.col("c_custkey").cast("string"), F.pmod("c_custkey", F.lit(7))
+        line = F.concat_ws(",", key, F.when(kind != 1, F.col("c_name")), F.when(kind == 0, F.lit("more")))
+        rows = table(spark, sf_dir, "customer").select(line.alias("c_custkey,c_name"))
+        rows.write.option("header", True).option("sep", "\u0001").csv(path)
+
+    return landed_copy(spark, sf_dir, "landed_ragged", write)
+
+
+def landed_types(spark: SparkSession, sf_dir: str) -> str:
+    """``events`` as JSON lines, each event type below a location of its own."""
+
+    def write(path: str) -> None:
+        rows = _event_rows(spark, sf_dir).repartitionByRange(32, "event_type", *TIME_KEYS, "event_id")
+        write_json_events(rows, path, ["event_type", *TIME_KEYS])
+
+    return landed_copy(spark, sf_dir, "landed_types", write)
+
+
 def notices(documents: DataFrame) -> DataFrame:
     """A queue body per document: none, one or two records, some with a missing part."""
     kind = F.pmod("doc_id", F.lit(10))
@@ -143,7 +176,7 @@ def notices(documents: DataFrame) -> DataFrame:
 
 
 def change_records(orders: DataFrame) -> DataFrame:
-    """A change batch per order: inserts, then for some a change or a removal."""
+    """A change batch per order: inserts, then for some a change or a removal; some are unreadable."""
 
     def image(status: Column) -> Column:
         def tagged(tag: str, value: Column) -> Column:
@@ -169,7 +202,14 @@ def change_records(orders: DataFrame) -> DataFrame:
         .when(F.col("o_orderstatus") == "F", F.array(record(before, None), record(now, before)))
         .otherwise(F.array(record(now, before), record(None, now)))
     )
-    return orders.select("o_orderkey", F.to_json(F.struct(records.alias("Records"))).alias("body"))
+    kind = F.pmod("o_orderkey", F.lit(17))
+    body = (
+        F.when(kind == 0, F.concat(F.lit("not json "), F.col("o_orderkey").cast("string")))
+        .when(kind == 1, '{"Records":null}')
+        .when(kind == 2, '{"Records":[]} tail')
+        .otherwise(F.to_json(F.struct(records.alias("Records"))))
+    )
+    return orders.select("o_orderkey", body.alias("body"))
 
 
 def predictions(embeddings: DataFrame) -> DataFrame:
@@ -182,7 +222,7 @@ def predictions(embeddings: DataFrame) -> DataFrame:
 
 
 def payloads(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, payload)``: predictions as base64 JSON inside base64 JSON."""
+    """``(vec_id, payload)``: predictions as base64 JSON inside base64 JSON; some are broken in three ways."""
     number = F.col("vec_id").cast("string")
     inner = F.base64(F.encode(F.to_json(F.struct("prediction")), "UTF-8"))
     outer = F.struct(
@@ -191,7 +231,10 @@ def payloads(embeddings: DataFrame) -> DataFrame:
         F.lit("camera").alias("streamName"),
         inner.alias("sageMakerOutput"),
     )
-    return predictions(embeddings).select("vec_id", F.base64(F.encode(F.to_json(outer), "UTF-8")).alias("payload"))
+    kind = F.pmod("vec_id", F.lit(11))
+    broken = F.when(kind == 0, "%%%").when(kind == 1, "a").when(kind == 2, "//4=")  # the last is no UTF-8
+    payload = F.coalesce(broken, F.base64(F.encode(F.to_json(outer), "UTF-8")))
+    return predictions(embeddings).select("vec_id", payload.alias("payload"))
 
 
 def sha_uniform(row_id: Column, seed: int, draw: int) -> Column:

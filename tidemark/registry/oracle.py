@@ -15,18 +15,20 @@ _RAW = (
 )
 _ID = "CAST(event_id AS VARCHAR)"
 _HEAD = f"""'{{"event_id":' || {_ID} || ',"event_type":"' || event_type || '","value":'"""
+_GOOD = f"({_HEAD} || CAST(value AS VARCHAR) || '}}')"
 _LINES = f"""SELECT event_id, event_type, value, event_id % 7 AS kind,
   CASE event_id % 7 WHEN 3 THEN {_HEAD} || '"oops"}}' WHEN 5 THEN 'event ' || {_ID}
-  ELSE {_HEAD} || CAST(value AS VARCHAR) || '}}' END AS line FROM events"""
-_ROUTED = f"""SELECT CASE WHEN kind NOT IN (3, 5) THEN event_id END AS event_id,
-  CASE WHEN kind NOT IN (3, 5) THEN event_type END AS event_type,
-  CASE WHEN kind NOT IN (3, 5) THEN value END AS value,
-  CASE WHEN kind IN (3, 5) THEN line END AS failed_text FROM ({_LINES})"""
-_CHANGES = """SELECT o_orderkey, 'N' AS new_status, o_totalprice AS new_total, CAST(NULL AS VARCHAR) AS old_status
-  FROM orders WHERE o_orderstatus = 'F'
-  UNION ALL SELECT o_orderkey, 'O', o_totalprice, NULL FROM orders WHERE o_orderstatus = 'O'
-  UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, 'N' FROM orders WHERE o_orderstatus <> 'O'
-  UNION ALL SELECT o_orderkey, NULL, NULL, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')"""
+  WHEN 2 THEN {_GOOD} || {_GOOD} WHEN 6 THEN {_GOOD} || ' tail' ELSE {_GOOD} END AS line FROM events"""
+_ROUTED = f"""SELECT CASE WHEN kind IN (0, 1, 4) THEN event_id END AS event_id,
+  CASE WHEN kind IN (0, 1, 4) THEN event_type END AS event_type,
+  CASE WHEN kind IN (0, 1, 4) THEN value END AS value,
+  CASE WHEN kind NOT IN (0, 1, 4) THEN line END AS failed_text FROM ({_LINES})"""
+_READABLE = "(SELECT * FROM orders WHERE o_orderkey % 17 > 2)"
+_CHANGES = f"""SELECT o_orderkey, 'N' AS new_status, o_totalprice AS new_total, CAST(NULL AS VARCHAR) AS old_status
+  FROM {_READABLE} WHERE o_orderstatus = 'F'
+  UNION ALL SELECT o_orderkey, 'O', o_totalprice, NULL FROM {_READABLE} WHERE o_orderstatus = 'O'
+  UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, 'N' FROM {_READABLE} WHERE o_orderstatus <> 'O'
+  UNION ALL SELECT o_orderkey, NULL, NULL, o_orderstatus FROM {_READABLE} WHERE o_orderstatus NOT IN ('O', 'F')"""
 _NOTICES = """SELECT doc_id,
   CASE WHEN kind IN (0, 1, 5) THEN NULL WHEN kind = 4 THEN ''
     ELSE source || '/' || CAST(doc_id AS VARCHAR) || suffix END AS key,
@@ -75,14 +77,21 @@ def _orders(seed: int) -> str:
 
 ORACLE: dict[str, str] = {
     "scan_partitioned_json": _RAW,
-    "scan_inferred_json": """SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n
+    "scan_inferred_json": """SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, 'k' AS fields
       FROM events GROUP BY ALL""",
+    "scan_ragged_csv": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
+      CASE WHEN c_custkey % 7 <> 1 THEN c_name END AS c_name,
+      CASE c_custkey % 7 WHEN 0 THEN concat(c_custkey, '|', c_name, '|more') WHEN 1 THEN CAST(c_custkey AS VARCHAR)
+      END AS all_values FROM customer""",
     "scan_csv_header": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source,
       CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
     "decode_typed_attributes": """SELECT s_suppkey,
       CASE WHEN s_nationkey <> 0 THEN CAST(s_suppkey * 3 AS DOUBLE) END AS lat,
       CASE WHEN s_nationkey NOT IN (0, 1) THEN s_acctbal END AS lng FROM supplier""",
-    "scan_change_images": _CHANGES,
+    "scan_change_images": f"""SELECT *, CAST(NULL AS VARCHAR) AS failed_text FROM ({_CHANGES})
+      UNION ALL SELECT o_orderkey, NULL, NULL, NULL, CASE o_orderkey % 17 WHEN 0 THEN 'not json ' ||
+        CAST(o_orderkey AS VARCHAR) WHEN 1 THEN '{{"Records":null}}' ELSE '{{"Records":[]}} tail' END
+      FROM orders WHERE o_orderkey % 17 <= 2""",
     "stream_source": """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value, props
       FROM events""",
     "write_partitioned_parquet": f"SELECT *, {_KEYS} FROM events",
@@ -97,28 +106,54 @@ ORACLE: dict[str, str] = {
     "apply_mapping": """SELECT c_custkey AS customer_id, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation,
       c_acctbal AS balance, TRY_CAST(c_mktsegment AS INTEGER) AS segment_number FROM customer""",
     "resolve_choice": """SELECT event_id,
-      CASE WHEN event_type <> 'error' AND event_id % 3 = 2 THEN user_id END AS p_bigint,
-      CASE WHEN event_type <> 'error' AND event_id % 3 = 0 THEN value END AS p_double,
-      CASE WHEN event_type <> 'error' AND event_id % 3 = 1 THEN event_type END AS p_string FROM events""",
+      CASE WHEN event_type <> 'error' AND event_id % 7 <> 0 AND event_id % 3 = 2 THEN user_id END AS p_bigint,
+      CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 7 = 0 THEN '12345678901234567891.2500'
+        WHEN event_id % 3 = 0 THEN CAST(CAST(value AS DECIMAL(38, 4)) AS VARCHAR) END AS p_decimal,
+      CASE WHEN event_type <> 'error' AND event_id % 7 <> 0 AND event_id % 3 = 1 THEN event_type END AS p_string
+      FROM events""",
     "drop_null_fields": "SELECT * FROM part",
     "flatten_columns": "SELECT vec_id, "
     + ", ".join(f"embedding[{i + 1}] AS embedding_{i}" for i in range(64))
     + ", label FROM embeddings",
-    "flatten_paths": """SELECT event_id, 'p.k' AS path, json_extract_string(props, '$.k') AS value FROM events
-      UNION ALL SELECT event_id, 't.0', event_type FROM events
-      UNION ALL SELECT event_id, 't.1', NULL FROM events""",
+    "flatten_map_columns": """SELECT o_orderkey,
+      CASE o_orderstatus WHEN 'F' THEN o_totalprice END AS m_is_F_total,
+      CASE o_orderstatus WHEN 'O' THEN o_totalprice END AS m_is_O_total,
+      CASE o_orderstatus WHEN 'P' THEN o_totalprice END AS m_is_P_total,
+      CAST(o_custkey AS DOUBLE) AS m_key_total FROM orders""",
+    "flatten_paths": """WITH e AS (SELECT * FROM events WHERE event_id % 50 > 1)
+      SELECT event_id, 'p.k' AS path, json_extract_string(props, '$.k') AS value FROM e
+      UNION ALL SELECT event_id, 't.0', event_type FROM e
+      UNION ALL SELECT event_id, 't.1', NULL FROM e
+      UNION ALL SELECT event_id, NULL, repeat('[', 200) FROM events WHERE event_id % 50 = 0
+      UNION ALL SELECT event_id, rtrim(repeat('0.', 30), '.'), '1' FROM events WHERE event_id % 50 = 1""",
     "row_to_event": """SELECT 'extracted' AS status, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS headers,
       concat_ws(',', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) AS data,
-      CAST(5 AS BIGINT) AS n_fields FROM customer""",
+      concat_ws('|', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) AS fields FROM customer""",
     "decode_payload": f"""SELECT vec_id, 'fragment-' || CAST(vec_id AS VARCHAR) AS fragment,
       'frame-' || CAST(vec_id AS VARCHAR) AS frame, 'camera' AS stream_name,
-      count(*) AS n_predictions, max(score) AS top_score FROM ({_SCORES}) GROUP BY vec_id""",
+      count(*) AS n_predictions, max(score) AS top_score, sum(class) AS sum_class, round(sum(score), 6) AS sum_score
+      FROM ({_SCORES}) WHERE vec_id % 11 > 2 GROUP BY vec_id
+      UNION ALL SELECT vec_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM embeddings WHERE vec_id % 11 <= 2""",
+    "unreadable_detections": """SELECT vec_id, CASE vec_id % 11 WHEN 0 THEN '%%%' WHEN 1 THEN 'a' ELSE '//4=' END
+      AS payload FROM embeddings WHERE vec_id % 11 <= 2""",
     "partition_values_from_path": f"SELECT event_id, {_KEYS}, strftime(ts, '%Y/%m/%d/%H') AS parts FROM events",
     "time_partition_columns": f"SELECT event_id, ts, {_KEYS} FROM events",
-    "normalise_partition_keys": f"""SELECT event_id, {_INT_KEYS}, strftime(ts, '%Y') AS year_text,
-      strftime(ts, '%m') AS month_text, strftime(ts, '%d') AS day_text, strftime(ts, '%H') AS hour_text FROM events""",
+    "normalise_partition_keys": """WITH e AS (SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d,
+        hour(ts) AS h, event_id % 13 = 0 AS wide FROM events),
+      n AS (SELECT event_id, wide, CASE WHEN wide THEN 10 * y + 1 ELSE y END AS year,
+        CASE WHEN wide THEN 10 * m + 1 ELSE m END AS month, CASE WHEN wide THEN 10 * d + 1 ELSE d END AS day,
+        CASE WHEN wide THEN 10 * h + 1 ELSE h END AS hour FROM e)
+      SELECT event_id, year, month, day, hour, CAST(year AS VARCHAR) AS year_text,
+        CASE WHEN month < 10 THEN '0' ELSE '' END || CAST(month AS VARCHAR) AS month_text,
+        CASE WHEN day < 10 THEN '0' ELSE '' END || CAST(day AS VARCHAR) AS day_text,
+        CASE WHEN hour < 10 THEN '0' ELSE '' END || CAST(hour AS VARCHAR) AS hour_text FROM n""",
     "require_fields": f"""SELECT *, CASE WHEN key IS NOT NULL AND bucket IS NOT NULL AND arn IS NOT NULL
-      THEN 'kept' ELSE 'rejected' END AS outcome FROM ({_NOTICES})""",
+      THEN 'kept' ELSE 'rejected' END AS outcome, CASE doc_id % 10 WHEN 0 THEN '{{}}'
+        WHEN 1 THEN '{{"Message":"{{\\"Records\\":[]}}"}}'
+        WHEN 3 THEN '{{"Message":"{{\\"Records\\":[{{\\"s3\\":{{\\"object\\":{{\\"key\\":\\"' || key ||
+          '\\"}},\\"bucket\\":{{\\"name\\":\\"' || bucket || '\\"}}}}}}]}}"}}'
+        WHEN 5 THEN '{{"Message":"{{\\"Records\\":[{{\\"s3\\":{{\\"object\\":{{}},\\"bucket\\":{{\\"name\\":\\"' || bucket ||
+          '\\",\\"arn\\":\\"' || arn || '\\"}}}}}}]}}"}}' END AS body FROM ({_NOTICES})""",
     "split_images": f"""SELECT o_orderkey, 'new' AS kind, new_status AS status FROM ({_CHANGES})
       WHERE new_status IS NOT NULL
       UNION ALL SELECT o_orderkey, 'old', old_status FROM ({_CHANGES}) WHERE old_status IS NOT NULL""",
@@ -141,13 +176,9 @@ ORACLE: dict[str, str] = {
     "label_lookup": f"""SELECT vec_id, label * 9 - 1 AS class, name AS class_name FROM embeddings
       LEFT JOIN (VALUES {_NAMES}) AS n(number, name) ON label * 9 - 1 = number""",
     "partition_gaps": f"""WITH a AS (SELECT DISTINCT event_type, {_INT_KEYS} FROM events),
-      m AS (SELECT event_type, min(year) AS y0, max(year) AS y1, min(month) AS m0, max(month) AS m1,
-        min(day) AS d0, max(day) AS d1, min(hour) AS h0, max(hour) AS h1 FROM a GROUP BY 1),
-      y AS (SELECT *, unnest(range(y0, y1 + 1)) AS year FROM m),
-      mo AS (SELECT *, unnest(range(m0, m1 + 1)) AS month FROM y),
-      d AS (SELECT *, unnest(range(d0, d1 + 1)) AS day FROM mo),
-      h AS (SELECT *, unnest(range(h0, h1 + 1)) AS hour FROM d)
-      SELECT event_type, year, month, day, hour FROM h EXCEPT SELECT event_type, year, month, day, hour FROM a""",
+      m AS (SELECT event_type, date_trunc('hour', min(ts)) AS lo, date_trunc('hour', max(ts)) AS hi FROM events GROUP BY 1),
+      h AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM m)
+      SELECT event_type, {_INT_KEYS} FROM h EXCEPT SELECT event_type, year, month, day, hour FROM a""",
     "stale_partitions": """WITH s AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, max(o_orderdate) AS newest_source
         FROM orders GROUP BY 1),
       l AS (SELECT *, CASE month(newest_source) % 3 WHEN 1 THEN newest_source - INTERVAL 1 DAY
@@ -161,7 +192,7 @@ ORACLE: dict[str, str] = {
     "distinct_partitions": f"SELECT DISTINCT {_KEYS} FROM events",
     "batch_record_count": "SELECT strftime(ts, '%Y-%m-%d %H') AS batch, count(*) AS records FROM events GROUP BY 1",
     "table_profile": """WITH t AS (SELECT octet_length(encode(translate(text, chr(13) || chr(10), '  '))) AS n FROM documents)
-      SELECT count(*) AS records, CAST(sum(n + 1) AS BIGINT) AS total_bytes, CAST(sum(n) AS BIGINT) AS record_bytes,
+      SELECT CAST(4 AS BIGINT) AS objects, count(*) AS records, CAST(sum(n + 1) AS BIGINT) AS total_bytes, CAST(sum(n) AS BIGINT) AS record_bytes,
         round(sum(n + 1) / count(*), 6) AS average FROM t""",
     "per_minute_sums": """SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS records,
       CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY ALL""",
@@ -179,11 +210,16 @@ ORACLE: dict[str, str] = {
     "curated_events": """SELECT event_type, day(ts) AS day, count(*) AS records,
       min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS first_datetime, max(value) AS max_value, false AS has_note
       FROM events GROUP BY 1, 2""",
-    "refreshed_tables": """SELECT name, count(*) AS records FROM (VALUES ('tidemark_click'), ('tidemark_error')) AS t(name),
-      events GROUP BY name""",
-    "ingested_uploads": """SELECT 'extracted' AS status, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS headers,
-      concat_ws(',', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) AS data FROM customer
-      WHERE lower(c_mktsegment) <> 'machinery'""",
+    "refreshed_tables": """SELECT 'tidemark_' || event_type AS name, count(*) AS records FROM events
+      WHERE event_type IN ('click', 'error') GROUP BY event_type""",
+    "ingested_uploads": """SELECT 'extracted' AS status, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'c_custkey,c_name'
+        WHEN 'BUILDING' THEN 'c_mktsegment,c_nationkey,c_custkey'
+        ELSE 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' END AS headers,
+      CASE c_mktsegment WHEN 'AUTOMOBILE' THEN concat_ws(',', c_custkey, c_name)
+        WHEN 'BUILDING' THEN concat_ws(',', c_mktsegment, c_nationkey, c_custkey)
+        ELSE concat_ws(',', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) END AS data
+      FROM customer WHERE lower(c_mktsegment) <> 'machinery'
+      UNION ALL SELECT 'rejected', 'absent.csv', NULL FROM (SELECT unnest([1, 2]))""",
     "detections_report": f"""SELECT vec_id, 'camera' AS stream_name, class, name AS class_name, score FROM ({_BEST})
-      LEFT JOIN (VALUES {_NAMES}) AS n(number, name) ON class = number""",
+      LEFT JOIN (VALUES {_NAMES}) AS n(number, name) ON class = number WHERE vec_id % 11 > 2""",
 }

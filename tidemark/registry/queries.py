@@ -55,12 +55,18 @@ def scan_inferred_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "inferred")
     _events(spark, sf_dir).select(F.col("props").alias("value")).write.text(path)
     df = sources.scan_inferred_json(spark, path)
-    return df.groupBy("k").agg(F.count("*").alias("n"))
+    return df.groupBy("k").agg(F.count("*").alias("n"), F.lit(",".join(df.columns)).alias("fields"))
 
 
 @_query
 def scan_csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.scan_csv_header(spark, inputs.landed_documents(spark, sf_dir))
+    return sources.scan_csv_header(spark, inputs.landed_documents(spark, sf_dir), multi_line=True)
+
+
+@_query
+def scan_ragged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.scan_csv_header(spark, inputs.landed_ragged(spark, sf_dir), ragged="all_values")
+    return rows.withColumn("all_values", F.array_join("all_values", "|"))
 
 
 @_query
@@ -80,13 +86,14 @@ def decode_typed_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def scan_change_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = sources.scan_change_images(inputs.change_records(table(spark, sf_dir, "orders")))
-    return images.select(
+    images, unreadable = sources.scan_change_images(inputs.change_records(table(spark, sf_dir, "orders")))
+    read = images.select(
         "o_orderkey",
         F.col("new_image")["status"]["S"].alias("new_status"),
         F.col("new_image")["total"]["N"].try_cast("double").alias("new_total"),
         F.col("old_image")["status"]["S"].alias("old_status"),
     )
+    return read.unionByName(unreadable.withColumnRenamed("body", "failed_text"), allowMissingColumns=True)
 
 
 def _drained(spark: SparkSession, stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -209,14 +216,15 @@ def resolve_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.pmod("event_id", F.lit(3))
     text = (
         F.when(F.col("event_type") == "error", '{"p":null}')
+        .when(F.pmod("event_id", F.lit(7)) == 0, '{"p":12345678901234567891.25}')
         .when(kind == 0, F.concat(F.lit('{"p":'), F.col("value").cast("string"), F.lit("}")))
         .when(kind == 1, F.concat(F.lit('{"p":"'), F.col("event_type"), F.lit('"}')))
         .otherwise(F.concat(F.lit('{"p":'), F.col("user_id").cast("string"), F.lit("}")))
     )
     boxed = _events(spark, sf_dir).select("event_id", F.parse_json(text).alias("box"))
     resolved = ops.resolve_choice(boxed, "box", "p")
-    members = ("bigint", "double", "string")
-    return resolved.select("event_id", *[F.col("p").getField(m).alias(f"p_{m}") for m in members])
+    exact = F.col("p.decimal").cast("decimal(38,4)").cast("string").alias("p_decimal")
+    return resolved.select("event_id", F.col("p.bigint").alias("p_bigint"), exact, F.col("p.string").alias("p_string"))
 
 
 @_query
@@ -231,18 +239,29 @@ def flatten_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
 
 
+@_query
+def flatten_map_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.concat(F.lit("is_"), F.col("o_orderstatus"))
+    boxed = F.create_map(status, F.struct(F.col("o_totalprice").alias("total")), F.lit("key"), F.struct(F.col("o_custkey").cast("double").alias("total")))
+    flat = ops.flatten_columns(table(spark, sf_dir, "orders").select("o_orderkey", boxed.alias("m")))
+    return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
+
+
 @_query
 def flatten_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         F.lit('{"p":'), F.col("props"), F.lit(',"t":["'), F.col("event_type"), F.lit('",null,[]],"e":{}}')
     )
+    kind = F.pmod("event_id", F.lit(50))
+    deep = F.concat(F.repeat(F.lit("["), F.lit(30)), F.lit("1"), F.repeat(F.lit("]"), F.lit(30)))
+    text = F.when(kind == 0, F.repeat(F.lit("["), F.lit(200))).when(kind == 1, deep).otherwise(text)
     return ops.flatten_paths(_events(spark, sf_dir).select("event_id", text.alias("json")), "event_id", "json")
 
 
 @_query
 def row_to_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = ops.row_to_event(table(spark, sf_dir, "customer"))
-    return events.select("status", "headers", "data", F.size("fields").cast("bigint").alias("n_fields"))
+    return events.select("status", "headers", "data", F.array_join("fields", "|").alias("fields"))
 
 
 @_query
@@ -255,9 +274,17 @@ def decode_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stream_name",
         F.size("prediction").cast("bigint").alias("n_predictions"),
         F.array_max(F.transform("prediction", lambda p: p[1])).alias("top_score"),
+        F.aggregate("prediction", F.lit(0.0), lambda a, p: a + p[0]).alias("sum_class"),
+        F.round(F.aggregate("prediction", F.lit(0.0), lambda a, p: a + p[1]), 6).alias("sum_score"),
     )
 
 
+@_query
+def unreadable_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, unreadable = plans.detections_report(inputs.payloads(table(spark, sf_dir, "embeddings")))
+    return unreadable
+
+
 @_query
 def partition_values_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = partition_path(time_parts(F.col("ts")), "sensors")
@@ -275,7 +302,9 @@ def time_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def normalise_partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     unpadded = {k: F.date_format("ts", f) for k, f in zip(TIME_KEYS, ("y", "M", "d", "H"), strict=True)}
-    events = _events(spark, sf_dir).select("event_id", *[c.alias(k) for k, c in unpadded.items()])
+    # Some numbers are wider than their key.
+    wide = F.when(F.pmod("event_id", F.lit(13)) == 0, "1").otherwise("")
+    events = _events(spark, sf_dir).select("event_id", *[F.concat(c, wide).alias(k) for k, c in unpadded.items()])
     padded = ops.normalise_partition_keys(events, "padded")
     both = padded.select("event_id", *TIME_KEYS, *[F.col(k).alias(f"{k}_text") for k in TIME_KEYS])
     return _wide(ops.normalise_partition_keys(both, "int"), *TIME_KEYS)
@@ -286,14 +315,15 @@ def normalise_partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def require_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ops.unnest_notifications(inputs.notices(table(spark, sf_dir, "documents")))
-    kept, rejected = ops.require_fields(found, ["key", "bucket", "arn"])
-    return kept.withColumn("outcome", F.lit("kept")).unionByName(rejected.withColumn("outcome", F.lit("rejected")))
+    kept, rejected = ops.read_notices(inputs.notices(table(spark, sf_dir, "documents")))
+    kept = kept.withColumns({"outcome": F.lit("kept"), "body": F.lit(None).cast("string")})
+    return kept.unionByName(rejected.withColumn("outcome", F.lit("rejected")))
 
 
 @_query
 def split_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = ops.split_images(sources.scan_change_images(inputs.change_records(table(spark, sf_dir, "orders"))))
+    read, _ = sources.scan_change_images(inputs.change_records(table(spark, sf_dir, "orders")))
+    images = ops.split_images(read)
     return images.select("o_orderkey", "kind", F.col("image")["status"]["S"].alias("status"))
 
 
@@ -305,7 +335,8 @@ def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def partition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw_events(spark, sf_dir).filter(F.col("day") == "05")
+    folders = sources.projected_glob({"year": None, "month": None, "day": ["05"]})
+    return _raw_events(spark, sf_dir, folders=folders)
 
 
 @_query
@@ -369,11 +400,7 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     present = ops.distinct_time_partitions(_events(spark, sf_dir), "ts", ["event_type"])
     actual = ops.normalise_partition_keys(present, "int")
-    bounds = actual.groupBy("event_type").agg(
-        *[f(k).alias(f"{k}_{f.__name__}") for k in TIME_KEYS for f in (F.min, F.max)]
-    )
-    ranges = {k: (F.col(f"{k}_min"), F.col(f"{k}_max")) for k in TIME_KEYS}
-    expected = ops.partition_grid(bounds, ranges).select("event_type", *TIME_KEYS)
+    expected = ops.expected_hours(_events(spark, sf_dir), "ts", ["event_type"])
     return _wide(ops.partition_gaps(expected, actual, ["event_type", *TIME_KEYS]), *TIME_KEYS)
 
 
@@ -427,9 +454,9 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "documents_text")
     # One line per document: its text without line breaks.
     line = F.translate("text", "\r\n", "  ").alias("value")
-    table(spark, sf_dir, "documents").select(line).write.text(path)
+    table(spark, sf_dir, "documents").select(line).repartition(4).write.text(path)
     profile = ops.table_profile(spark, path)
-    return profile.select("records", "total_bytes", "record_bytes", F.round("average_record_size", 6).alias("average"))
+    return profile.select("objects", "records", "total_bytes", "record_bytes", F.round("average_record_size", 6).alias("average"))
 
 
 @_query
@@ -490,9 +517,11 @@ def curated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables to refresh, chosen from event times, then registered and counted."""
-    location = inputs.landed_events(spark, sf_dir)
-    schema = T.StructType(EVENT_SCHEMA.fields + TEXT_PARTITIONS.fields)
-    definitions = {name: (schema, list(TIME_KEYS), location) for name in ("click", "error", "view")}
+    root = inputs.landed_types(spark, sf_dir)
+    fields = [f for f in EVENT_SCHEMA.fields if f.name != "event_type"]
+    schema = T.StructType(fields + TEXT_PARTITIONS.fields)
+    names = ("click", "error", "view")
+    definitions = {name: (schema, list(TIME_KEYS), f"{root}/event_type={name}") for name in names}
     changes = _events(spark, sf_dir).select(F.col("event_type").alias("name"), "ts")
     late = F.expr("INTERVAL 1 DAY")
     loads = changes.filter(F.col("name") != "click").select(
@@ -510,7 +539,7 @@ def refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def ingested_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices for the upload files of all but one segment, and the rows of those files."""
+    """Notices for the upload files of all but one segment and for one that is not there; rows and rejects."""
     root = inputs.landed_uploads(spark, sf_dir)
     key = F.regexp_extract("path", "/uploads/(.*)$", 1)
     listed = sources.object_listing(spark, root).filter(~F.col("path").contains("segment=machinery"))
@@ -521,9 +550,11 @@ def ingested_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("s3")
     )
     message = F.to_json(F.struct(F.array(record, record).alias("Records")))
-    bodies = listed.select(F.to_json(F.struct(message.alias("Message"))).alias("body"))
-    events, _ = plans.ingest_uploads(spark, bodies, root)
-    return events.select("status", "headers", "data")
+    paths = listed.select("path").unionByName(listed.select(F.lit("/uploads/absent.csv").alias("path")).distinct())
+    bodies = paths.select(F.to_json(F.struct(message.alias("Message"))).alias("body"))
+    events, rejected = plans.ingest_uploads(spark, bodies, root)
+    missing = rejected.select(F.lit("rejected").alias("status"), F.col("key").alias("headers"), F.lit(None).alias("data"))
+    return events.select("status", "headers", "data").union(missing)
 
 
 @_query

@@ -21,6 +21,7 @@ SESSION_CONF = {
 }
 
 _local_root: str | None = None
+_made: dict[str, list[str]] = {}
 
 
 def build_session(
@@ -49,4 +50,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if _local_root is None:
             _local_root = tempfile.mkdtemp(prefix="tidemark-")
         root = _local_root
-    return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders of this session. Results that still read them can then not be used any more."""
+    context = spark.sparkContext
+    for path in _made.pop(context.applicationId, []):
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

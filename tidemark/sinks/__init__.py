@@ -1,6 +1,12 @@
 """Batch sinks."""
 
 from tidemark.sinks.files import write_json_events, write_partitioned_parquet
-from tidemark.sinks.tables import register_external_table
+from tidemark.sinks.tables import add_partitions, register_external_table, table_partitions
 
-__all__ = ["register_external_table", "write_json_events", "write_partitioned_parquet"]
+__all__ = [
+    "add_partitions",
+    "register_external_table",
+    "table_partitions",
+    "write_json_events",
+    "write_partitioned_parquet",
+]

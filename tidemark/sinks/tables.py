@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.partitions import distinct_partitions, partition_gaps, partition_values_from_path
+from tidemark.sources.files import object_listing
+
+PARTITIONS_PER_CALL = 200
+
 
 def _quoted(name: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def table_partitions(spark: SparkSession, name: str, keys: Sequence[str]) -> DataFrame:
+    """Partitions that the catalog has, one text column per key."""
+    shown = spark.sql(f"SHOW PARTITIONS {_quoted(name)}").withColumn("partition", F.concat("partition", F.lit("/")))
+    return partition_values_from_path(shown, "partition", keys).select(*keys)
+
+
+def add_partitions(spark: SparkSession, name: str, partitions: DataFrame, keys: Sequence[str]) -> int:
+    """Add partitions that the catalog does not have yet; the number added.
+
+    The table stays readable meanwhile. Only the keys of new partitions reach the driver, which is
+    what the catalog is told.
+    """
+    found = distinct_partitions(partitions.select(*[F.col(k).cast("string").alias(k) for k in keys]), keys)
+    new = partition_gaps(found, table_partitions(spark, name, keys), keys).collect()
+    for start in range(0, len(new), PARTITIONS_PER_CALL):
+        specs = (
+            "PARTITION (" + ", ".join(f"{_quoted(k)} = {_text(row[k])}" for k in keys) + ")"
+            for row in new[start : start + PARTITIONS_PER_CALL]
+        )
+        spark.sql(f"ALTER TABLE {_quoted(name)} ADD IF NOT EXISTS {' '.join(specs)}")
+    return len(new)
+
+
 def register_external_table(
     spark: SparkSession,
     name: str,
@@ -20,16 +54,25 @@ def register_external_table(
     location: str,
     data_format: str = "json",
 ) -> DataFrame:
-    """(Re)create an external table over a location and register all its partitions.
+    """External table over a location, with all partitions found there.
 
-    ``schema`` holds data and partition columns. Dropping an external table
-    leaves its files alone. Partition discovery lists folders in parallel.
+    ``schema`` holds data and partition columns. A table that is there already with this
+    schema and location is kept and gets the new partitions only; another definition replaces it (its files stay).
     """
-    columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    if spark.catalog.tableExists(name):
+        described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {_quoted(name)}").collect()}
+        same = {f.name: f.dataType for f in spark.table(name).schema} == {f.name: f.dataType for f in schema}
+        if not same or _bare(described.get("Location", "")) != _bare(location):
+            spark.sql(f"DROP TABLE {_quoted(name)}")
     partitioned = f" PARTITIONED BY ({', '.join(_quoted(k) for k in keys)})" if keys else ""
-    where = location.replace("'", "\\'")
-    spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
-    spark.sql(f"CREATE TABLE {_quoted(name)} ({columns}) USING {data_format}{partitioned} LOCATION '{where}'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {_quoted(name)} ({schema.toDDL()}) USING {data_format}{partitioned} "
+        f"LOCATION {_text(location)}"
+    )
     if keys:
-        spark.sql(f"MSCK REPAIR TABLE {_quoted(name)}")
+        add_partitions(spark, name, partition_values_from_path(object_listing(spark, location), "path", keys), keys)
     return spark.table(name)
+
+
+def _bare(location: str) -> str:
+    return re.sub("^file:/+", "/", location).rstrip("/")

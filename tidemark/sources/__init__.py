@@ -4,6 +4,7 @@ from tidemark.sources.files import (
     object_listing,
     projected_glob,
     scan_csv_header,
+    scan_headed_files,
     scan_inferred_json,
     scan_partitioned_json,
 )
@@ -15,6 +16,7 @@ __all__ = [
     "projected_glob",
     "scan_change_images",
     "scan_csv_header",
+    "scan_headed_files",
     "scan_inferred_json",
     "scan_partitioned_json",
 ]

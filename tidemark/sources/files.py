@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+CORRUPT = "_corrupt_record"
+
 
 def scan_partitioned_json(
     spark: SparkSession,
@@ -54,34 +56,79 @@ def scan_inferred_json(spark: SparkSession, path: str, sampling_ratio: float = 1
     return spark.read.option("samplingRatio", str(sampling_ratio)).json(path)
 
 
-def _has_open_quotes(spark: SparkSession, path: str | list[str], recursive: bool) -> bool:
-    """Whether a line has an odd number of quotes, as the first line of a record that spans lines does."""
-    lines = spark.read.option("recursiveFileLookup", recursive).text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
+def csv_values(record: Column) -> Column:
+    """Values of one comma-separated record of any number of values. Quoted values lose their quotes."""
+    value = r',("(?:[^"]|"")*"|[^,]*)'
+    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(value), F.lit(1))
+    bare = lambda v: F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda v: F.when(v.rlike(r'(?s)^".*"$'), bare(v)).otherwise(v))
 
 
 def scan_csv_header(
-    spark: SparkSession, path: str | list[str], multi_line: bool | None = None, recursive: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    multi_line: bool = False,
+    recursive: bool = False,
+    ragged: str | None = None,
 ) -> DataFrame:
     """Comma-separated text with a header line; every column is a string.
 
-    Files with a quoted value that spans lines are one unit of work each; without
-    one, large files are split. By default a pass over the lines finds out, and
-    stops at the first such value; ``multi_line`` tells it beforehand. Files whose
-    header differs from the first one raise instead of mixing columns.
+    With ``multi_line`` quoted values may span lines, and each file is one unit of work; without it large
+    files are split. A record with fewer values than the header gets nulls for the rest, one with more
+    would lose them: name a column ``ragged`` to keep all values of such records there, as an array.
+    Files whose header differs from the first one raise instead of mixing columns; see
+    :func:`scan_headed_files` for files with headers of their own.
+    """
+
+    def reader() -> DataFrameReader:
+        return (
+            spark.read.option("header", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", multi_line)
+            .option("enforceSchema", False)
+            .option("recursiveFileLookup", recursive)
+        )
+
+    rows = reader().csv(path)
+    if ragged is None:
+        return rows
+    schema = T.StructType([*rows.schema.fields, T.StructField(CORRUPT, T.StringType())])
+    marked = reader().schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    return marked.withColumn(ragged, csv_values(F.col(CORRUPT))).drop(CORRUPT)
+
+
+def scan_headed_files(
+    spark: SparkSession, path: str, multi_line: bool = False, only: DataFrame | None = None
+) -> DataFrame:
+    """Records of comma-separated files that each have a header of their own: rows ``(object, headers, fields)``.
+
+    All files are read in one scan, however many headers there are; records may have any number of
+    values. ``only`` is a table of the wanted files in one column, as paths below ``path``: the semi join with it comes
+    before anything else, and no names pass through the driver. ``headers`` is the first line of the file,
+    ``fields`` the values of a record. With ``multi_line`` quoted values may span lines; a file is then one row at first.
     """
-    if multi_line is None:
-        multi_line = _has_open_quotes(spark, path, recursive)
-    return (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("enforceSchema", False)
-        .option("recursiveFileLookup", recursive)
-        .csv(path)
-    )
+    reader = spark.read.option("recursiveFileLookup", True)
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.substring_index(name, f"{path.rstrip('/')}/", -1).alias("object")
+    if multi_line:
+        record = r'(?:[^"\r\n]|"(?:[^"]|"")*")+'
+        files = reader.text(path, wholetext=True).select(name, "value")
+        if only is not None:
+            files = files.join(only.toDF("object"), "object", "left_semi")
+        files = files.select("object", F.regexp_extract_all("value", F.lit(record), F.lit(0)).alias("records"))
+        headed = files.select("object", F.get("records", F.lit(0)).alias("headers"), F.posexplode("records").alias("at", "record"))
+        rows = headed.filter("at > 0")
+    else:
+        order = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at")
+        lines = reader.text(path).select(name, order, "value").filter(F.trim("value") != "")
+        if only is not None:
+            lines = lines.join(only.toDF("object"), "object", "left_semi")
+        # The first line of a file has the lowest number of its first block.
+        first = lines.groupBy("object").agg(F.min("at").alias("first"), F.min_by("value", "at").alias("headers"))
+        rows = lines.join(first, "object").filter(~F.col("at").eqNullSafe(F.col("first")))
+        rows = rows.withColumnRenamed("value", "record")
+    return rows.select("object", "headers", csv_values(F.col("record")).alias("fields"))
 
 
 def object_listing(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.json_text import is_one_value
+from tidemark.functions.once import computed_once
 from tidemark.functions.typed_attributes import NUMBER_TAG, attribute_schema
 
 # The change-record layout. An image maps attribute name to {type tag: text}.
@@ -26,16 +28,20 @@ def decode_typed_attributes(df: DataFrame, col: str, fields: Sequence[str]) -> D
     return parsed.withColumns(numbers).drop("_attributes")
 
 
-def scan_change_images(df: DataFrame, body: str = "body") -> DataFrame:
-    """One row ``(new_image, old_image)`` per change record; an absent image is null.
+def scan_change_images(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """One row ``(new_image, old_image)`` per change record, an absent image is null; and the unreadable bodies.
 
-    ``body`` is JSON text holding an array ``Records``; other columns are kept.
+    ``body`` is JSON text holding an array ``Records``; other columns are kept on both sides. A body
+    without that array, or with text after its value, is unreadable and stays as it is. An empty
+    array has no records and is no reject.
     """
-    parsed = F.from_json(F.col(body), CHANGE_RECORD_SCHEMA)
+    parsed = F.when(is_one_value(F.col(body)), F.from_json(F.col(body), CHANGE_RECORD_SCHEMA))
     keep = [c for c in df.columns if c != body]
-    exploded = df.select(*keep, F.explode(parsed.getField("Records")).alias("_record"))
-    return exploded.select(
+    read = computed_once(df, "_records", parsed.getField("Records"))
+    exploded = read.select(*keep, F.explode("_records").alias("_record"))
+    images = exploded.select(
         *keep,
         F.col("_record.dynamodb.NewImage").alias("new_image"),
         F.col("_record.dynamodb.OldImage").alias("old_image"),
     )
+    return images, read.filter(F.col("_records").isNull()).select(*keep, body)

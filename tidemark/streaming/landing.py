@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tidemark.functions.json_text import is_one_value
 from tidemark.functions.once import computed_once
 from tidemark.functions.partitions import time_parts
 
@@ -37,6 +38,9 @@ def stream_to_parquet(
     The time trigger is set here; bound the bytes of a batch at the source
     (``max_bytes=BUFFER_BYTES``).
     """
+    if keys:
+        # Else every task of a batch writes into every folder. A batch is bounded, so a hot folder is too.
+        stream = stream.repartition(*keys)
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if keys:
         writer = writer.partitionBy(*keys)
@@ -48,9 +52,9 @@ def _parse_records(df: DataFrame, schema: T.StructType, value: str) -> DataFrame
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parse = F.from_json(F.col(value), with_corrupt, options)
-    blank = F.coalesce(F.trim(F.col(value)) == "", F.lit(True))
-    failed = blank | F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
-    return computed_once(df, "_r", parse).select("*", failed.alias("_failed"))
+    parsed = computed_once(df, "_r", F.when(is_one_value(F.col(value)), parse))
+    failed = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
+    return parsed.select("*", failed.alias("_failed"))
 
 
 def _split_records(
@@ -65,7 +69,8 @@ def route_malformed(
 ) -> tuple[DataFrame, DataFrame]:
     """Split text records into parsed ones and those that do not convert.
 
-    A record fails when it is not JSON or when any field has the wrong type.
+    A record fails when it is not exactly one JSON value (also when more text follows the
+    value) or when any field has the wrong type.
     Unknown fields are ignored, missing ones are null. Other columns are kept on
     both sides; failed records keep their text.
     """

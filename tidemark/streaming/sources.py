@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,13 @@ def _check_start(start: str) -> None:
         raise ValueError(f"start must be earliest or latest, not {start}")
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def stream_source(
     spark: SparkSession,
     path: str,
@@ -29,11 +37,15 @@ def stream_source(
 
     ``latest`` takes only files that appear after the stream is first started. That
     time is kept in the folder ``marker``, so a restarted stream does not skip what
-    arrived while it was down.
+    arrived while it was down. Older files are listed once, in the first batch, and not
+    read: the bound on a micro-batch holds from the next start on, or the history would
+    be walked in batches of that size.
     """
     _check_start(start)
     if start == "latest" and marker is None:
         raise ValueError("start='latest' needs a marker folder to keep the time of the first start")
+    if start == "latest" and not _written(spark, marker):
+        max_files = max_bytes = None
     reader = spark.readStream.format(data_format).schema(schema)
     options = {"maxFilesPerTrigger": max_files, "maxBytesPerTrigger": max_bytes, "pathGlobFilter": glob}
     for key, value in options.items():
