@@ -131,7 +131,7 @@ def stream_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, stream, "stream_to_parquet", ("year", "month", "day"))
 
 
-def _land_lines(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+def land_lines(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Land all text records once per session and data folder."""
 
     def write(root: str) -> None:
@@ -158,7 +158,7 @@ def _land_lines(spark: SparkSession, sf_dir: str) -> dict[str, str]:
 
 @_query
 def stream_raw_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.text(_land_lines(spark, sf_dir)["raw"]).select("value")
+    return spark.read.text(land_lines(spark, sf_dir)["raw"]).select("value")
 
 
 @_query
@@ -169,7 +169,7 @@ def route_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def land_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = _land_lines(spark, sf_dir)
+    paths = land_lines(spark, sf_dir)
     good = spark.read.parquet(paths["curated"]).select(*LINE_SCHEMA.names)
     bad = spark.read.text(paths["failed"]).select(F.col("value").alias("failed_text"))
     return good.unionByName(bad, allowMissingColumns=True)
