@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.texts import arrow, per_text
@@ -19,7 +18,7 @@ from tidemark.llm.texts import arrow, per_text
 SPACE = "▁"
 FAR = np.iinfo(np.int64).max
 CACHED = 400_000
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 SLOTS = 1 << 20
 
 
@@ -75,8 +74,8 @@ class Pieces:
             self.left[part[:, 1]], self.right[part[:, 1]] = part[:, 2], part[:, 3]
             reached[part[:, 1]] = True
         known = [(p, i) for p, i in self.ids.items() if reached[i]]
-        self.known = np.array([i for _, i in known], dtype=np.int64)
-        self.lengths = np.array([len(p) for p, _ in known], dtype=np.int64)
+        self.known = np.array([i for _, i in known], dtype=np.int32)
+        self.lengths = np.array([len(p) for p, _ in known], dtype=np.int32)
         self.letters = np.zeros((len(known), self.longest), dtype=np.int64)
         for row, (p, _) in enumerate(known):
             self.letters[row, : len(p)] = [ord(c) for c in p]
@@ -86,7 +85,7 @@ class Pieces:
         self.tested, self.answer = np.full(SLOTS, -1, dtype=np.int64), np.zeros(SLOTS, dtype=bool)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * (self.size + 1) + right
+        key = left.astype(np.int64) * (self.size + 1) + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.key_rank[at], FAR)
 
@@ -113,7 +112,7 @@ class Pieces:
 
     def follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """apart() without a limit, with the answers kept in a table of fixed size."""
-        key = left * (self.size + 1) + right
+        key = left.astype(np.int64) * (self.size + 1) + right
         slot = (key * 0x9E3779B1 >> 7) & (SLOTS - 1)
         new = self.tested[slot] != key
         if new.any():
@@ -160,7 +159,8 @@ class Pieces:
             return low
 
         first, last = bound(False), bound(True)
-        return suffixes[ragged(first, last - first)], np.repeat(held, last - first)
+        places = suffixes[ragged(first, last - first)].astype(np.int32)
+        return places, np.repeat(held.astype(np.int32), last - first)
 
     def encode(self, chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks after one another, and how many each has.
@@ -177,18 +177,19 @@ class Pieces:
         gaps = np.ones(len(letters), dtype=bool)
         gaps[own] = False
         letters[gaps] = 0
-        offset = np.zeros(len(letters) + 1, dtype=np.int64)
+        offset = np.zeros(len(letters) + 1, dtype=np.int32)
         offset[own] = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         place, row = self.edges(letters)
         token, length = self.known[row], self.lengths[row]
+        del row
         single = np.zeros(len(letters), dtype=bool)
         single[place[length == 1]] = True
-        bare = own[~single[own]]  # characters without a piece
+        bare = own[~single[own]].astype(np.int32)  # characters without a piece
         place = np.concatenate([place, bare])
-        token = np.concatenate([token, np.full(len(bare), self.size)])
-        length = np.concatenate([length, np.ones(len(bare), dtype=np.int64)])
+        token = np.concatenate([token, np.full(len(bare), self.size, dtype=np.int32)])
+        length = np.concatenate([length, np.ones(len(bare), dtype=np.int32)])
         ends = offset[place] + length
-        order = np.argsort(ends.astype(np.int32), kind="stable")
+        order = np.argsort(ends, kind="stable").astype(np.int32)
         place, token, length, ends = place[order], token[order], length[order], ends[order]
         last = np.full(len(letters) + 1, -1, dtype=np.int64)
         back = np.zeros(len(letters) + 1, dtype=np.int64)
@@ -309,6 +310,23 @@ def encode_texts(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",),
     return per_text(docs, text, list(keep), ENCODED, encoder(path))
 
 
+def decoder(path: str) -> Callable[[np.ndarray, np.ndarray], list[str]]:
+    """A function from the ids of lists after one another, and their lengths, to texts."""
+    model = pieces(path)
+    size = np.array([len(o) for o in model.out] + [0], dtype=np.int64)
+    flat = np.frombuffer(b"".join(model.out), dtype=np.uint8)
+    begin = np.cumsum(size) - size
+
+    def decode(ids: np.ndarray, many: np.ndarray) -> list[str]:
+        ends = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(many)])]
+        raw = flat[ragged(begin[ids], size[ids])].tobytes()
+        # The mark put before a text is a space at first.
+        parts = (raw[a:b].removeprefix(b" ") for a, b in zip(ends[:-1], ends[1:], strict=True))
+        return [part.decode("utf-8", "replace") for part in parts]
+
+    return decode
+
+
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``encoded``, and the text ``out`` of its lists of ids.
 
@@ -320,30 +338,44 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", out: str = "deco
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
-        size = np.array([len(o) for o in model.out] + [0], dtype=np.int64)
-        flat = np.frombuffer(b"".join(model.out), dtype=np.uint8)
-        begin = np.cumsum(size) - size
+        decode = decoder(path)
+        control = pieces(path).size
         for batch in batches:
             column = batch.columns[at]
-            some = column.flatten().fill_null(model.size).to_numpy(zero_copy_only=False).astype(np.int64)
-            many = np.diff(column.offsets.to_numpy()) if column.null_count == 0 else None
-            if many is None:
-                many = np.array([0 if v is None else v for v in column.value_lengths().to_pylist()], dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(size[some])])[np.concatenate([[0], np.cumsum(many)])]
-            raw = flat[ragged(begin[some], size[some])].tobytes()
-            texts = [
-                None if is_null else raw[a:b].removeprefix(b" ").decode("utf-8", "replace")
-                for a, b, is_null in zip(ends[:-1], ends[1:], column.is_null().to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            flat = column.flatten().fill_null(control).to_numpy(zero_copy_only=False).astype(np.int64)
+            many = np.array([n or 0 for n in column.value_lengths().to_pylist()], dtype=np.int64)
+            texts = pa.array(decode(flat, many), pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 
     return arrow(encoded, run, schema)
 
 
+DECODED = T.StructType(
+    [*ENCODED.fields, T.StructField("decoded", T.StringType()), T.StructField("same", T.BooleanType())]
+)
+
+
 def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids of every text, the text decoded from them, and whether both texts are equal (null for null)."""
-    encoded = encode_texts(docs.select(f"`{id_column}`", F.col(f"`{text}`").alias("text")), path, [id_column, "text"], "text")
-    decoded = decode_ids(encoded, path)
-    same = (F.col("text") == F.col("decoded")).alias("same")
-    return decoded.select(f"`{id_column}`", "ids", "n_ids", "decoded", same)
+    """Ids of every whole text, the text decoded from them, and whether both texts are equal; no shuffle.
+
+    Null texts give nulls, empty ones an empty list and text. Repeated rows each give a row, a null id stays
+    null, other columns are not read, and an empty table gives no rows.
+    """
+
+    def start() -> Callable:
+        encode, decode = Encoder(path), decoder(path)
+
+        def make(texts: Sequence[bytes | None]) -> list[pa.Array]:
+            plain = [(t or b"").decode("utf-8", "replace") for t in texts]
+            ids, many = encode(plain)
+            back = decode(ids, many)
+            null = np.array([t is None for t in texts], dtype=bool)
+            same = np.array([a == b for a, b in zip(plain, back, strict=True)], dtype=bool)
+            return [
+                lists(ids, many, null), pa.array(many, mask=null), pa.array(back, pa.string(), mask=null),
+                pa.array(same, mask=null),
+            ]
+
+        return make
+
+    return per_text(docs, text, [id_column], DECODED, start)
