@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.texts import arrow, blocks, utf8
+from tidemark.llm.texts import arrow, blocks, saved, utf8
 from tidemark.llm.urls import host_and_path
 
 # Comments, declarations, tags, text. An element of RAW holds no tags; what is cut off at the end still counts.
@@ -29,6 +29,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
+UNSEEN = frozenset("script style noscript template".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 BOXES = frozenset("body article main section div td".split())
@@ -52,6 +53,9 @@ WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+BROADCAST_TOKENS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Deduction:
     """A class belongs to a host's template if its tokens stand on ``share`` of the pages and on ``pages`` at least.
@@ -120,10 +124,10 @@ def runs(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
             if any(e.name == name for e in stack):
                 while stack.pop().name != name:
                     pass
-                if name not in INLINE:
+                if name not in INLINE and name not in UNSEEN:
                     yield "break", 0, 0, False, False
             continue
-        block = name not in INLINE
+        block = name not in INLINE and name not in UNSEEN
         if block:
             yield "break", 0, 0, False, False
             if name not in VOID and any(e.name == "p" for e in stack):
@@ -154,7 +158,7 @@ def runs(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
 
 
 def main_text(page: str, template: frozenset[int] = frozenset(), main: int | None = None) -> str:
-    """Text of the slots outside the template's own text and outside parts that are never the article.
+    """Text of the slots outside parts that are never the article; blocks of the template's own text alone are left out.
 
     Slots are taken inside the template's main element if the page has it, else inside articles, else anywhere.
     """
@@ -166,17 +170,20 @@ def main_text(page: str, template: frozenset[int] = frozenset(), main: int | Non
     for scope in ("main", "article", "page"):
         out: list[str] = []
         held: list[str] = []
-        for kind, token, around, dropped, inside in tokens:
+        own = False
+        for kind, token, around, dropped, inside in [*tokens, ("break", 0, 0, False, False)]:
             if kind == "break":
-                out.append(" ".join("".join(held).split()))
-                held = []
-            elif kind[0] == "=" and not dropped and (token == 0 or token not in template):
+                if own:
+                    out.append(" ".join("".join(held).split()))
+                held, own = [], False
+            elif kind[0] == "=" and not dropped:
                 if scope == "page" or (inside if scope == "article" else around in under):
                     held.append(kind[1:])
-        out.append(" ".join("".join(held).split()))
-        if any(out):
+                    own = own or (token != 0 and token not in template)
+        out = [block for block in out if block]
+        if out:
             break
-    return "\n".join(filter(None, out))
+    return "\n".join(out)
 
 
 def signed(values: list[int]) -> np.ndarray:
@@ -289,7 +296,12 @@ def page_texts(
     rows = pages.select(
         F.col(f"`{id_column}`").alias(id_column), F.col(f"`{url}`").alias(url), F.col(f"`{html}`").alias("page html"), F.xxhash64(name).alias("page host")
     )
-    known = templates(classes(pages, id_column, url, html, how), how).withColumnRenamed("host", "page host")
+    tokens = saved(classes(pages, id_column, url, html, how), "tokens")
+    known = saved(templates(tokens, how).withColumnRenamed("host", "page host"), "templates")
+    # The tokens decide: few templates go to all executors, and the pages need no shuffle.
+    size = known.agg(F.coalesce(F.sum(F.size("template") + 2), F.lit(0))).first()[0]
+    if size <= BROADCAST_TOKENS:
+        known = F.broadcast(known)
     joined = rows.join(known, "page host", "left")
     joined = joined.select(f"`{id_column}`", f"`{url}`", "page html", "template", "main")
     schema = T.StructType([*joined.schema.fields[:2], *RESULT.fields])
