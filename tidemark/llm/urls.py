@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.texts import arrow, saved
@@ -69,7 +69,7 @@ class Bloom:
 
     def positions(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Row i: the i-th position of each key, from its two 64-bit hashes."""
-        one = mixed(one.view(np.uint64) + np.uint64(self.level * 2 + 1) * np.uint64(0x9E3779B97F4A7C15))
+        one = mixed(one.view(np.uint64) + np.uint64((self.level * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         two = mixed(two.view(np.uint64) ^ one) | np.uint64(1)
         steps = np.arange(self.hashes, dtype=np.uint64)[:, None]
         return (one + steps * two) % np.uint64(self.bits)
@@ -90,7 +90,7 @@ def hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
 
 
-def filled(spark: SparkSession, keys: DataFrame, plan: Bloom) -> Bloom:
+def filled(keys: DataFrame, plan: Bloom) -> Bloom:
     """The filter with the bits of all keys. Each task joins its own bits first; the driver gets the words."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,6 @@ def cascade(universe: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Blo
     Level 0 encodes the listed keys, level 1 the others that pass it, level 2 the listed keys that
     pass level 1, and so on until none pass.
     """
-    spark = universe.sparkSession
     rows = saved(universe.select("listed", *hashed(F.col("key"))), "keys")
     sides = [rows.where("listed"), rows.where("NOT listed")]
     counts = [side.count() for side in sides]
@@ -141,9 +140,9 @@ def cascade(universe: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> tuple[Blo
         plan = sized(len(levels), *counts)
         if sum(level.bits for level in [*levels, plan]) > 8 * max_bytes:
             return None
-        levels.append(filled(spark, sides[0], plan))
+        levels.append(filled(sides[0], plan))
         # Those that pass are the next level's keys; the keys just encoded are then the others.
-        sides = [passing(sides[1], levels[-1]), sides[0]]
+        sides = [saved(passing(sides[1], levels[-1]), "keys"), sides[0]]
         counts = [sides[0].count(), counts[0]]
     return tuple(levels)
 
