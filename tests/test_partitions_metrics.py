@@ -258,7 +258,7 @@ def test_periods_without_an_average_are_left_out(spark):
 
 def test_registration_adds_new_partitions_only(spark, tmp_path):
     location = f"{tmp_path}/it's"
-    schema = T.StructType().add("s", "struct<`b c`:int>").add("day", "string")
+    schema = T.StructType().add("s", T.StructType().add("b c", T.IntegerType())).add("day", "string")
 
     def put(day, value):
         spark.range(1).selectExpr(f"named_struct('b c', {value}) AS s").write.json(f"{location}/day={day}")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import time
 from pathlib import Path
 
@@ -104,6 +105,36 @@ def test_latest_skips_old_files_but_not_those_of_a_pause(spark, tmp_path):
         streaming.stream_source(spark, f"{tmp_path}/in", SCHEMA, start="yesterday")
 
 
+def test_latest_passes_the_history_in_one_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"{i}.json").write_text(f'{{"a":{i}}}\n')
+        os.utime(folder / f"{i}.json", (1_600_000_000, 1_600_000_000))
+
+    def run():
+        stream = streaming.stream_source(
+            spark, str(folder), SCHEMA, start="latest", max_files=1, marker=f"{tmp_path}/marker"
+        )
+        query = streaming.stream_to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/ck", available_now=True)
+        query.awaitTermination()
+        return len({p["batchId"] for p in query.recentProgress})
+
+    assert run() == 1
+    assert spark.read.schema(SCHEMA).parquet(f"{tmp_path}/out").count() == 0
+
+
+def test_stream_with_keys_writes_few_files_per_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(40):
+        (tmp_path / f"in/{i}.json").write_text("".join(f'{{"a":{j}}}\n' for j in range(3)))
+    stream = streaming.stream_source(spark, f"{tmp_path}/in", SCHEMA).withColumn("k", F.col("a"))
+    query = streaming.stream_to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/ck", ["k"], available_now=True)
+    query.awaitTermination()
+    folders = [f for f in (tmp_path / "out").iterdir() if f.name.startswith("k=")]
+    assert len(folders) == 3 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+
+
 def test_batch_size_limit(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(4):

@@ -51,13 +51,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             _local_root = tempfile.mkdtemp(prefix="tidemark-")
         root = _local_root
     path = f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _made.setdefault(spark.conf.get("spark.app.id", ""), []).append(path)
     return path
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch folders of this session. Results that still read them can then not be used any more."""
     context = spark.sparkContext
-    for path in _made.pop(context.applicationId, []):
+    for path in _made.pop(spark.conf.get("spark.app.id", ""), []):
         folder = context._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
