@@ -4,9 +4,9 @@
 2. Retained values, rarest first, make inverted lists. Two sets that are near enough share so many
    retained values that they meet in the lists of their rarest ones, so only these are made.
 3. In each list every node is compared with the list's first; links join nodes to groups.
-4. Pairs of a list that are still in different groups are compared: in short lists where the lists
-   that they share are enough, in long lists (in blocks) where the union sketch says that they may be near.
-5. Every link is confirmed on the full sets.
+4. Pairs of a list that are still in different groups are compared: those of short lists where the lists
+   that they share are enough, those of long lists in blocks around the group that most of a list belongs to.
+5. Of the pairs, those whose union sketch says that they may be near are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tidemark.llm.texts import arrow, per_text, saved
 
 CACHED = 1_000_000
+TOP = np.iinfo(np.int64).max
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -34,19 +35,18 @@ class Nearness:
 
     A sketch keeps ``k`` values. Of the k least values of the union of two linked sets, ``least`` or more are
     in both but for a chance of about 1 in 200,000 at exactly 80 percent. Lists of up to ``short`` nodes are
-    joined as pairs of ids; longer ones are compared in blocks of ``block`` nodes by ``wide`` values,
-    of which ``wide_least`` or more are in both. ``shared`` short lists are asked of a pair.
+    joined as pairs of ids, and ``shared`` such lists are asked of a pair; longer ones are compared in blocks
+    of ``block`` nodes or ``block_values`` shingles.
     """
 
     words: int = 2
     percent: int = 80
     k: int = 64
     least: int = 36
-    wide: int = 256
-    wide_least: int = 174
     shared: int = 4
     short: int = 16
     block: int = 2048
+    block_values: int = 1 << 20
     broadcast_rows: int = 1_000_000
 
 
@@ -147,22 +147,94 @@ def near_enough(a: str, b: str, how: Nearness) -> Column:
     return (F.col(a) * 100 >= F.col(b) * how.percent) & (F.col(b) * 100 >= F.col(a) * how.percent)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, how: Nearness) -> DataFrame:
-    """The pairs (a, b) whose full sets are near enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("full").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("full").alias("set_b"))
-    both = pairs.join(one, "a").join(two, "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.where(100 * common >= how.percent * union).select("a", "b")
+def rare(df: DataFrame, how: Nearness) -> DataFrame:
+    """A table of ids that is sent to all executors if its rows, which are counted, are few."""
+    return F.broadcast(df) if df.count() <= how.broadcast_rows else df
+
+
+def with_sets(rows: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
+    """``rows`` with the full set of each ``node`` as an array ``full``, made anew from its text."""
+    full = T.StructType([T.StructField("full", T.ArrayType(T.LongType()))])
+    wanted = texts.join(rare(rows.select("node").distinct(), how), "node")
+    return per_text(wanted, "text", ["node"], full, full_sets(how.words)).join(rare(rows, how), "node")
+
+
+def grouped(
+    keys: Sequence[str], work: Callable[[Iterator[tuple[bool, pa.RecordBatch]]], Iterator[pa.RecordBatch]]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives ``work`` the rows of a task in runs of equal keys: pairs of whether a new group begins, and a part of it."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+        last = None
+        for batch in batches:
+            values = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, len(values)], strict=True):
+                if start < stop:
+                    key = tuple(values[start])
+                    yield key != last, batch.slice(start, stop - start)
+                    last = key
+
+    return lambda batches: work(parts(batches))
+
+
+def pairs_of(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> pa.RecordBatch:
+    none = np.zeros(0, dtype=np.int64)
+    columns = [pa.array(np.concatenate([none, *x])) for x in (a, b)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+
+def near_leader(how: Nearness) -> Callable:
+    """Pairs of a group's leader, its first row, and the members that are near it. Rows are held one batch at a time."""
+
+    def work(parts: Iterator[tuple[bool, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+        leader, one = 0, np.zeros(0, dtype=np.int64)
+        for begins, rows in parts:
+            node, (flat, ends) = rows.column("node").to_numpy(), flat_lists(rows.column("full"))
+            if begins:
+                leader, one = int(node[0]), flat[ends[0] : ends[1]]
+            found = []
+            for i in range(int(begins), len(node)):
+                two = flat[ends[i] : ends[i + 1]]
+                low = np.union1d(one[: how.k], two[: how.k])[: how.k]
+                shared = np.isin(low, one[: how.k]) & np.isin(low, two[: how.k])
+                if len(low) < how.k or shared.sum() >= how.least:
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * both >= how.percent * (len(one) + len(two) - both):
+                        found.append(node[i])
+            yield pairs_of([np.full(len(found), leader)], [np.array(found, dtype=np.int64)])
+
+    return grouped(["a", "part"], work)
+
+
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists after one another, and where each begins."""
+    ends = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), ends - ends[0]
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
+    """The pairs (a, b) whose union sketch says that they may be near, and whose full sets are.
+
+    Sets travel once, to the group of their a; a group of many is split and its leader goes to each part.
+    """
+    parts = F.ceil(F.count("*").over(W.partitionBy("a")) / how.block).cast("int")
+    rows = pairs.select("a", "b", parts.alias("parts"))
+    members = rows.select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("turn"), F.col("b").alias("node"))
+    leaders = members.select("a", "part", F.lit(0).alias("turn"), F.col("a").alias("node")).distinct()
+    asked = saved(members.union(leaders), "pairs")
+    keys = ["a", "part", "turn"]
+    dealt = with_sets(asked, texts, how).repartition("a", "part").sortWithinPartitions(*keys)
+    return arrow(dealt.select(*keys, "node", "full"), near_leader(how), "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """Least node reachable (node, label) of all nodes that have a link.
+    """Least node reachable (node, label) of all nodes that have a link; links may repeat.
 
     Each round takes the least label among the neighbours, then the label of that label.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = links.select(F.inline(F.array(F.struct("a", "b"), turned)))
     edges = saved(both.distinct(), "links")
     labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
@@ -176,94 +248,94 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def union_sketch(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, size: int, how: Nearness) -> np.ndarray:
+def union_sketch(one: np.ndarray, many: np.ndarray, how: Nearness) -> np.ndarray:
     """Whether each of ``many`` sketches (rows of sorted values, filled up with the largest) may be near ``one``.
 
-    Where both sets are whole in their sketches, the estimate is their Jaccard similarity itself.
+    The k least values of the union show the similarity of the sets: ``least`` of them or more are in both.
+    A union of fewer values is all there is of both sets.
     """
-    top = np.iinfo(np.int64).max
-    one = one[one < top]
+    one = one[one < TOP]
     at = np.minimum(np.searchsorted(one, many), len(one) - 1)
-    common = (one[at] == many) & (many < top)
-    # The union's k-th value is the least of those up to which k distinct values are seen.
-    count, all_common = (many < top).sum(axis=1), common.sum(axis=1)
-    union = len(one) + count - all_common
-    whole = (size <= how.wide) & (sizes <= how.wide)
-    exact = all_common * 100 >= how.percent * union
-    rank = np.searchsorted(one, many, side="right")  # values of one up to each value
-    seen = np.arange(1, many.shape[1] + 1) + rank - np.cumsum(common, axis=1)
-    estimate = (common & (seen <= how.wide)).sum(axis=1) >= how.wide_least
-    few = union < how.wide  # the union has fewer values than a sketch keeps
-    return np.where(whole | few, exact, estimate)
-
-
-def cross_pairs(how: Nearness) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of nodes of one list block that are in different groups and may be near by the union sketch.
-
-    Rows come sorted by (value, i, j): a block is held as a whole, and has 2 * ``block`` rows or so.
-    """
-    top = np.iinfo(np.int64).max
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
-        lists = rows.column("sketch").combine_chunks()
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        length = np.diff(lists.offsets.to_numpy())
-        many = np.full((len(node), max(length.max(initial=0), 1)), top, dtype=np.int64)
-        many[np.arange(many.shape[1]) < length[:, None]] = lists.flatten().to_numpy()
-        _, group, sizes = np.unique(label, return_inverse=True, return_counts=True)
-        largest = np.argmax(sizes)
-        a, b = [], []
-        for x in np.flatnonzero(group != largest):
+    common = (one[at] == many) & (many < TOP)
+    union = len(one) + (many < TOP).sum(axis=1) - common.sum(axis=1)
+    # Distinct values of both up to each value of the other.
+    seen = np.arange(1, many.shape[1] + 1) + np.searchsorted(one, many, side="right") - np.cumsum(common, axis=1)
+    shared = (common & (seen <= how.k)).sum(axis=1)
+    return np.where(union < how.k, shared * 100 >= how.percent * union, shared >= how.least)
+
+
+class Block:
+    """Nodes of one list: their groups, sketches, and their full sets as inverted lists of local numbers."""
+
+    def __init__(self, rows: pa.Table, how: Nearness):
+        self.node, label, self.n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
+        column = rows.column("full").combine_chunks()
+        flat, begin = flat_lists(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+        length = np.diff(begin)
+        _, self.value = np.unique(flat, return_inverse=True)
+        self.begin = begin
+        holder = np.repeat(np.arange(len(length)), length)
+        order = np.argsort(self.value, kind="stable")
+        self.holder = holder[order]
+        self.first = np.searchsorted(self.value[order], np.arange(self.value.max(initial=-1) + 2))
+        self.sketch = np.full((len(length), how.k), TOP, dtype=np.int64)
+        inside = np.arange(how.k) < length[:, None]
+        self.sketch[inside] = flat[(begin[:-1, None] + np.arange(how.k))[inside]]
+        _, self.group, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        self.largest = int(np.argmax(sizes))
+        self.how = how
+
+    def common(self, x: int) -> np.ndarray:
+        """Size of the intersection of the x-th set with each."""
+        own = self.value[self.begin[x] : self.begin[x + 1]]
+        many = self.first[own + 1] - self.first[own]
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1]) + np.repeat(self.first[own] - (ends - many), many)
+        return np.bincount(self.holder[at], minlength=len(self.node))
+
+    def links(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Confirmed links between nodes of different groups."""
+        how, n, a, b = self.how, self.n, [], []
+        for x in np.flatnonzero(self.group != self.largest):
             # Pairs outside the largest group are met from both sides: the smaller node leads.
-            other = (group != group[x]) & ((group == largest) | (node > node[x]))
-            other &= (n * 100 >= n[x] * how.percent) & (n[x] * 100 >= n * how.percent)
-            y = np.flatnonzero(other)
+            other = (self.group != self.group[x]) & ((self.group == self.largest) | (self.node > self.node[x]))
+            y = np.flatnonzero(other & (n * 100 >= n[x] * how.percent) & (n[x] * 100 >= n * how.percent))
+            if len(y):
+                y = y[union_sketch(self.sketch[x], self.sketch[y], how)]
             if len(y):
-                y = y[union_sketch(many[x], many[y], n[y], n[x], how)]
-                a.append(np.minimum(node[x], node[y]))
-                b.append(np.maximum(node[x], node[y]))
-        none = np.zeros(0, dtype=np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"]
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                both = self.common(x)[y]
+                y = y[100 * both >= how.percent * (n[x] + n[y] - both)]
+                a.append(np.minimum(self.node[x], self.node[y]))
+                b.append(np.maximum(self.node[x], self.node[y]))
+        return a, b
+
+
+def cross_links(how: Nearness) -> Callable:
+    """Links between different groups of one block, which is held as a whole."""
+
+    def work(parts: Iterator[tuple[bool, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("value", "i", "j")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for start, stop in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if start == stop:
-                    continue
-                if held and tuple(keys[start]) != key:
-                    yield pairs(pa.Table.from_batches(held))
-                    held = []
-                key = tuple(keys[start])
-                held.append(batch.slice(start, stop - start))
+        for begins, rows in parts:
+            if begins and held:
+                yield pairs_of(*Block(pa.Table.from_batches(held), how).links())
+                held = []
+            held.append(rows)
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield pairs_of(*Block(pa.Table.from_batches(held), how).links())
 
-    return run
+    return grouped(["hub", "i", "j"], work)
 
 
 def links_of(nodes: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
     """Confirmed links (a, b) that join all nodes which any links join. ``texts``: (node, text) of all documents."""
     lists = rarest(nodes, how)
     lists = saved(lists.withColumn("nodes", F.count("*").over(W.partitionBy("value"))).where("nodes > 1"), "lists")
-    found = lists.select("node").distinct()
-    if found.count() <= how.broadcast_rows:
-        found = F.broadcast(found)  # 8 bytes a row
-    full = T.StructType([T.StructField("full", T.ArrayType(T.LongType()))])
-    sets = saved(per_text(texts.join(found, "node"), "text", ["node"], full, full_sets(how.words)), "sets")
-
     ahead = lists.groupBy("value").agg(F.min_by(F.struct("node", "n"), "node").alias("first"))
     star = lists.join(ahead, "value").where("node > first.node").withColumn("m", F.col("first.n"))
     star = star.where(near_enough("n", "m", how)).groupBy(F.col("first.node").alias("a"), F.col("node").alias("b"))
     star = star.agg(F.count("*").alias("met"), F.min(F.least("n", "m")).alias("n"))
     star = star.where(F.col("met") >= F.least(F.lit(how.shared), least_shared(F.col("n"), how))).select("a", "b")
-    links = saved(confirmed(star, sets, how), "star")
+    links = saved(confirmed(star, texts, how), "star")
 
     labels = connected(links)
     marked = lists.join(labels, "node", "left").select("value", "node", "n", "nodes", F.coalesce("label", "node").alias("label"))
@@ -278,18 +350,23 @@ def links_of(nodes: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
     met = met.agg(F.count("*").alias("met"), F.max(F.greatest("x.n", "y.n")).alias("n"))
     met = met.where(F.col("met") >= F.least(F.lit(how.shared), least_shared(F.col("n"), how))).select("a", "b")
 
-    blocks = F.ceil(F.col("nodes") / how.block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    long = marked.where(F.col("nodes") > how.short).withColumn("mine", mine)
-    long = long.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("theirs"))
-    long = long.select(
-        "value", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "node", "n", "label"
-    )
-    narrow = sets.select("node", F.slice("full", 1, how.wide).alias("sketch"))
-    long = long.join(narrow, "node").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-    cross = arrow(long.select("value", "i", "j", "node", "n", "label", "sketch"), cross_pairs(how), "a long, b long")
-    rest = saved(met.union(cross).distinct(), "pairs")
-    return links.union(confirmed(rest, sets, how))
+    # Long lists of one group come together: the group that most of a list belongs to is its hub, and a node
+    # goes to a hub once, however many lists they share.
+    long = marked.where(F.col("nodes") > how.short)
+    counts = long.groupBy("value", "label").agg(F.count("*").alias("members"))
+    hubs = counts.groupBy("value").agg(F.max_by("label", F.struct("members", "label")).alias("hub"))
+    gathered = long.join(hubs, "value").select("hub", "node", "n", "label").distinct()
+    # Blocks of so many nodes, or so many values, that two of them fit in memory.
+    whole = W.partitionBy("hub")
+    nodes_of, values = F.count("*").over(whole), F.sum("n").over(whole)
+    gathered = gathered.withColumn("blocks", F.ceil(F.greatest(nodes_of / how.block, values / how.block_values)).cast("int"))
+    gathered = gathered.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    gathered = gathered.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("theirs"))
+    keys = [F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j")]
+    gathered = saved(gathered.select("hub", *keys, "node", "n", "label"), "hubs")
+    dealt = with_sets(gathered, texts, how).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    cross = arrow(dealt.select("hub", "i", "j", "node", "n", "label", "full"), cross_links(how), "a long, b long")
+    return links.union(confirmed(met, texts, how)).union(cross)
 
 
 def near_duplicates(
@@ -305,9 +382,10 @@ def near_duplicates(
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     read = saved(per_text(rows, "text", ["id"], SKETCH, sketches(how.words, how.k)), "sketches")
     same = ["n", "k1", "k2"]
-    nodes = read.where("n > 0 AND id IS NOT NULL").groupBy(*same)
-    nodes = saved(nodes.agg(F.min("id").alias("node"), F.min_by("sketch", "id").alias("sketch")), "nodes")
-    links = links_of(nodes, rows.where("id IS NOT NULL").select(F.col("id").alias("node"), "text"), how)
+    by_set = read.where("n > 0 AND id IS NOT NULL").groupBy(*same)
+    nodes = by_set.agg(F.min("id").alias("node"))
+    sketched = by_set.agg(F.min("id").alias("node"), F.min_by("sketch", "id").alias("sketch"))
+    links = links_of(sketched, rows.where("id IS NOT NULL").select(F.col("id").alias("node"), "text"), how)
     labels = nodes.select(*same, "node").join(connected(links), "node", "left")
     labels = labels.select(*same, F.coalesce("label", "node").alias("component_id"))
     full = read.select("id", *same).where("n > 0 AND id IS NOT NULL").join(labels, same)
