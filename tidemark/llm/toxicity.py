@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -27,8 +28,8 @@ class Training:
     fewer than ``min_docs`` of them hold have no weight.
     """
 
-    per_class: int = 3000
-    max_bytes: int = 16_384
+    per_class: int = 2000
+    max_bytes: int = 8_192
     min_docs: int = 3
     steps: int = 300
     rate: float = 0.5
@@ -101,10 +102,12 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
     owner = doc[np.flatnonzero(np.diff(sentence, prepend=-1))]
     # Distinct words of each sentence, and features of each word; features in few documents are left out.
     n = len(ids)
-    names: dict[bytes, int] = {}
-    of = [(i, names.setdefault(f, len(names))) for w, i in ids.items() if w for f in features(w)]
-    typed, feature = np.array(of, dtype=np.int64).reshape(-1, 2).T
+    of = (x for w, i in ids.items() if w for f in features(w) for x in (i, xxhash.xxh3_64_intdigest(f)))
+    typed, feature = np.fromiter(of, dtype=np.uint64).reshape(-1, 2).T
+    typed = typed.astype(np.int64)
+    names, feature = np.unique(feature, return_inverse=True)
     there = np.unique(doc * n + word)
+    del doc, ends
     begin = np.searchsorted(typed, np.arange(n + 1))
     many = np.diff(begin)[there % n]
     step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -112,6 +115,7 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
     share = np.where(y == 1, how.toxic_share / y.sum(), (1 - how.toxic_share) / (len(y) - y.sum()))
     in_docs = np.bincount(held % len(names), minlength=len(names))
     mass = np.bincount(held % len(names), weights=share[held // len(names)], minlength=len(names))
+    del held, step, many, there
     use = in_docs[feature] >= how.min_docs
     typed, feature = typed[use], feature[use]
     pair = np.unique(sentence * n + word)
@@ -127,7 +131,9 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
         rate = how.rate / (mass + how.damping)
         moved = weight - rate * pull
         weight = np.sign(moved) * np.maximum(np.abs(moved) - rate * how.l1, 0)
-    return Model({f: float(weight[i]) for f, i in names.items() if weight[i]}, how.prior)
+    found = {int(names[i]): float(weight[i]) for i in np.flatnonzero(weight)}
+    weights = {f: found[h] for w in ids if w for f in features(w) if (h := xxhash.xxh3_64_intdigest(f)) in found}
+    return Model(weights, how.prior)
 
 
 def scorer(model: Model, threshold: float = 0.5) -> Callable[[], Callable]:
