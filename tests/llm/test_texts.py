@@ -169,6 +169,28 @@ def test_page_texts_odd_rows(spark):
     assert pages.page_texts(df.limit(0)).collect() == []
 
 
+def texts_of_pages(spark, bodies, host="http://a.b"):
+    rows = [(i, f"{host}/{i}", body) for i, body in enumerate(bodies)]
+    found = pages.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found)]
+
+
+def test_page_texts_of_copies(spark):
+    def page(i, story, k):
+        text = "".join(f"<p>Story {story} part {j}." for j in range(k))
+        return f"<link href={i}><div>Home</div><div>{text}</div><div>All rights kept</div>"
+
+    def told(story, k):
+        return [f"Story {story} part {j}." for j in range(k)]
+
+    # A host of copies alone, and one with a group of copies of 40 percent that is longer than the other pages.
+    for text in texts_of_pages(spark, [page(i, 0, 20) for i in range(5)]):
+        assert [line for line in text.split("\n") if line.startswith("Story")] == told(0, 20)
+    mixed = [(0, 20)] * 4 + [(i, 5 + i) for i in range(1, 7)]
+    for text, (story, k) in zip(texts_of_pages(spark, [page(i, *m) for i, m in enumerate(mixed)]), mixed, strict=True):
+        assert text.split("\n") == told(story, k)
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 

@@ -54,12 +54,15 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 BROADCAST_TOKENS = 1_000_000
+ROOT = 0
 
 
 @dataclass(frozen=True)
 class Deduction:
     """A class belongs to a host's template if its tokens stand on ``share`` of the pages and on ``pages`` at least.
 
+    Pages of a host with the same text outside menus and the like are copies and count as one page.
+
     The main element holds ``mass`` of the text outside menus and the like.
     """
 
@@ -195,7 +198,7 @@ TOKENS = "array<struct<token:long,parent:long,is_text:boolean,box:boolean,depth:
 
 def tokens_of(page: str) -> list[tuple]:
     """Distinct tokens of a page: token, element around, is text, is a box, depth, characters of text inside, count."""
-    seen: dict[int, list] = {}
+    seen: dict[int, list] = {ROOT: [ROOT, False, False, 0, 0, 1]}
     for kind, token, around, dropped, _ in runs(page):
         if not token:
             continue
@@ -205,39 +208,47 @@ def tokens_of(page: str) -> list[tuple]:
             depth = seen[around][3] + 1 if around in seen else 0
             seen[token] = [around, kind[0] == "=", kind == "box", depth, 0, 1]
         if kind[0] == "=" and not dropped:
-            while around in seen:
+            while around != ROOT:
                 seen[around][4] += len(kind) - 1
                 around = seen[around][0]
     return [(token, *rest) for token, rest in seen.items()]
 
 
+def body_of(page: str) -> int:
+    """A hash of the page's text outside menus and the like: equal for copies of one article."""
+    texts = ("".join(kind[1:].split()) for kind, _, _, dropped, _ in runs(page) if kind[0] == "=" and not dropped)
+    return hashed("".join(texts)) >> 1
+
+
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
     names = "token parent is_text box depth mass n".split()
     for batch in batches:
         texts = utf8(batch.column("html"))
         for a, b in blocks(texts):
-            pages = [tokens_of((page or b"").decode("utf-8", "replace")) for page in texts[a:b]]
+            read = [(page or b"").decode("utf-8", "replace") for page in texts[a:b]]
+            pages = [tokens_of(page) for page in read]
             ends = pa.array(np.cumsum([0, *map(len, pages)]), pa.int32())
             columns = list(zip(*(t for page in pages for t in page), strict=True)) or [()] * len(kinds)
             columns[:2] = [signed(c) for c in columns[:2]]
             rows = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-            part = [batch.column(c).slice(a, b - a) for c in ("host", "page")]
+            part = [batch.column("host").slice(a, b - a), pa.array(map(body_of, read), pa.int64())]
             yield pa.RecordBatch.from_arrays([*part, pa.ListArray.from_arrays(ends, rows)], names=["host", "page", "tokens"])
 
 
-def classes(pages: DataFrame, id_column: str, url: str, html: str, how: Deduction = Deduction()) -> DataFrame:
+def classes(pages: DataFrame, url: str, html: str, how: Deduction = Deduction()) -> DataFrame:
     """Tokens of the equivalence classes that are frequent on their host.
 
     Columns host (a hash), token, parent, is_text, box, depth, mass, support and vector: tokens of a host
     with equal vectors occur equally often on every page. Vectors are sums of a hash of page and count.
+    Of copies on a host one is taken, as what only they share is their article.
     Rows of a host are spread by token, so that a host with a third of all pages is no hot group.
     """
     name, _ = host_and_path(F.col(f"`{url}`"))
     host = F.xxhash64(name).alias("host")
-    page = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{url}`"))
-    rows = pages.select(host, page.alias("page"), F.col(f"`{html}`").alias("html"))
+    rows = pages.select(host, F.col(f"`{html}`").alias("html"))
     found = arrow(rows, occurrences, f"host long, page long, tokens {TOKENS}")
+    found = found.groupBy("host", "page").agg(F.min_by("tokens", F.xxhash64("tokens")).alias("tokens"))
     each = found.select("host", "page", F.inline("tokens"))
     by_token = each.groupBy("host", "token").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"),
@@ -248,10 +259,11 @@ def classes(pages: DataFrame, id_column: str, url: str, html: str, how: Deductio
         F.min("depth").alias("depth"),
         F.sum("mass").alias("mass"),
     )
-    frequent = by_token.where(F.col("support") >= how.pages)
-    hosts = pages.select(host).groupBy("host").agg(F.count("*").alias("pages"))
-    joined = frequent.join(hosts, "host").where(F.col("support") >= how.share * F.col("pages"))
-    return joined.drop("pages")
+    frequent = saved(by_token.where(F.col("support") >= how.pages), "frequent")
+    # The root stands on every page.
+    hosts = frequent.where(F.col("token") == ROOT).select("host", F.col("support").alias("pages"))
+    joined = frequent.where(F.col("token") != ROOT).join(hosts, "host")
+    return joined.where(F.col("support") >= how.share * F.col("pages")).drop("pages")
 
 
 def templates(tokens: DataFrame, how: Deduction = Deduction()) -> DataFrame:
@@ -296,7 +308,7 @@ def page_texts(
     rows = pages.select(
         F.col(f"`{id_column}`").alias(id_column), F.col(f"`{url}`").alias(url), F.col(f"`{html}`").alias("page html"), F.xxhash64(name).alias("page host")
     )
-    tokens = saved(classes(pages, id_column, url, html, how), "tokens")
+    tokens = saved(classes(pages, url, html, how), "tokens")
     known = saved(templates(tokens, how).withColumnRenamed("host", "page host"), "templates")
     # The tokens decide: few templates go to all executors, and the pages need no shuffle.
     size = known.agg(F.coalesce(F.sum(F.size("template") + 2), F.lit(0))).first()[0]
