@@ -191,6 +191,18 @@ def test_page_texts_of_copies(spark):
         assert text.split("\n") == told(story, k)
 
 
+@pytest.mark.parametrize("name", ["div", "section", "article"])
+def test_page_texts_of_siblings(spark, name):
+    def body(i):
+        one, two = f"The longer part of story {i} stands here.", f"And {i} ends here."
+        front = "<div>New</div>" if i % 4 == 0 else ""
+        return f"{front}<div><{name} class=a><p>{one}</{name}><{name} class=b><p>{two}</{name}></div>", f"{one}\n{two}"
+
+    bodies = [body(i) for i in range(12)]
+    for text, (_, wanted) in zip(texts_of_pages(spark, [page for page, _ in bodies]), bodies, strict=True):
+        assert text.removeprefix("New\n") == wanted
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 

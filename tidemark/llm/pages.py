@@ -32,7 +32,6 @@ INLINE = frozenset(
 UNSEEN = frozenset("script style noscript template".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
-BOXES = frozenset("body article main section div td".split())
 HOLDERS = frozenset("ul ol dl table select body article main section div".split())
 NOT_TEXT = frozenset(
     "head script style noscript template iframe svg math object canvas form button select textarea input nav aside "
@@ -63,7 +62,7 @@ class Deduction:
 
     Pages of a host with the same text outside menus and the like are copies and count as one page.
 
-    The main element holds ``mass`` of the text outside menus and the like.
+    On hosts without a template, articles are a page's main part if they hold ``mass`` of its text.
     """
 
     share: float = 0.3
@@ -101,9 +100,8 @@ def not_article(name: str, attributes: str, inside: bool) -> bool:
 def runs(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
     """Tokens of a page in order: (kind, token, token of the element around, dropped, inside an article).
 
-    An element's token is a hash of its path with places among siblings of its name. Kinds are "tag", "box"
-    (the tag of an element that may hold the article), "break" (a block ends) and, for text with its
-    references decoded, the text itself with a leading "=".
+    An element's token is a hash of its path with places among siblings of its name. Kinds are "tag",
+    "break" (a block ends) and, for text with its references decoded, the text itself with a leading "=".
     """
     stack = [Element("", 0)]
     at, end = 0, len(page)
@@ -147,8 +145,7 @@ def runs(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
         top = stack[-1]
         top.count[name] = nth = top.count.get(name, 0) + 1
         token = hashed(top.token, name, nth)
-        box = name in BOXES and not top.inside and not top.dropped
-        yield "box" if box else "tag", token, top.token, top.dropped, top.inside
+        yield "tag", token, top.token, top.dropped, top.inside
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path", "g"):
             continue
         inside = top.inside or name in ("article", "main")
@@ -160,57 +157,50 @@ def runs(page: str) -> Iterator[tuple[str, int, int, bool, bool]]:
         stack.append(Element(name, token, dropped, inside))
 
 
-def main_text(page: str, template: frozenset[int] = frozenset(), main: int | None = None) -> str:
+def main_text(page: str, template: frozenset[int] | None = None, how: Deduction = Deduction()) -> str:
     """Text of the slots outside parts that are never the article; blocks of the template's own text alone are left out.
 
-    Slots are taken inside the template's main element if the page has it, else inside articles, else anywhere.
+    All slots of a page are taken. Only without a template, where text that does not change is not known,
+    the slots in articles are taken alone if they hold ``mass`` of the text.
     """
-    tokens = list(runs(page))
-    under = {main}
-    for kind, token, around, _, _ in tokens:
-        if kind in ("tag", "box") and around in under:
-            under.add(token)
-    for scope in ("main", "article", "page"):
-        out: list[str] = []
-        held: list[str] = []
-        own = False
-        for kind, token, around, dropped, inside in [*tokens, ("break", 0, 0, False, False)]:
-            if kind == "break":
-                if own:
-                    out.append(" ".join("".join(held).split()))
-                held, own = [], False
-            elif kind[0] == "=" and not dropped:
-                if scope == "page" or (inside if scope == "article" else around in under):
-                    held.append(kind[1:])
-                    own = own or (token != 0 and token not in template)
-        out = [block for block in out if block]
-        if out:
-            break
-    return "\n".join(out)
+    fixed = template or frozenset()
+    inner: list[str] = []
+    every: list[str] = []
+    held: list[str] = []
+    own = within = False
+    for kind, token, _, dropped, inside in [*runs(page), ("break", 0, 0, False, False)]:
+        if kind == "break":
+            block = " ".join("".join(held).split())
+            if own and block:
+                every.append(block)
+                if within:
+                    inner.append(block)
+            held, own, within = [], False, False
+        elif kind[0] == "=" and not dropped:
+            held.append(kind[1:])
+            own = own or (token != 0 and token not in fixed)
+            within = within or inside and token != 0
+    alone = template is None and sum(map(len, inner)) >= how.mass * sum(map(len, every))
+    return "\n".join(inner if alone else every)
 
 
 def signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
-TOKENS = "array<struct<token:long,parent:long,is_text:boolean,box:boolean,depth:int,mass:int,n:int>>"
+TOKENS = "array<struct<token:long,parent:long,is_text:boolean,n:int>>"
 
 
 def tokens_of(page: str) -> list[tuple]:
-    """Distinct tokens of a page: token, element around, is text, is a box, depth, characters of text inside, count."""
-    seen: dict[int, list] = {ROOT: [ROOT, False, False, 0, 0, 1]}
-    for kind, token, around, dropped, _ in runs(page):
+    """Distinct tokens of a page: token, element around, is text, count."""
+    seen: dict[int, list] = {ROOT: [ROOT, False, 1]}
+    for kind, token, around, _, _ in runs(page):
         if not token:
             continue
         if token in seen:
             seen[token][-1] += 1
         else:
-            depth = seen[around][3] + 1 if around in seen else 0
-            seen[token] = [around, kind[0] == "=", kind == "box", depth, 0, 1]
-        if kind[0] == "=" and not dropped:
-            while around != ROOT:
-                seen[around][4] += len(kind) - 1
-                around = seen[around][0]
+            seen[token] = [around, kind[0] == "=", 1]
     return [(token, *rest) for token, rest in seen.items()]
 
 
@@ -221,8 +211,8 @@ def body_of(page: str) -> int:
 
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
-    names = "token parent is_text box depth mass n".split()
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32())
+    names = "token parent is_text n".split()
     for batch in batches:
         texts = utf8(batch.column("html"))
         for a, b in blocks(texts):
@@ -239,8 +229,8 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(pages: DataFrame, url: str, html: str, how: Deduction = Deduction()) -> DataFrame:
     """Tokens of the equivalence classes that are frequent on their host.
 
-    Columns host (a hash), token, parent, is_text, box, depth, mass, support and vector: tokens of a host
-    with equal vectors occur equally often on every page. Vectors are sums of a hash of page and count.
+    Columns host (a hash), token, parent, is_text, support and vector: tokens of a host with equal vectors
+    occur equally often on every page. Vectors are sums of a hash of page and count.
     Of copies on a host one is taken, as what only they share is their article.
     Rows of a host are spread by token, so that a host with a third of all pages is no hot group.
     """
@@ -255,9 +245,6 @@ def classes(pages: DataFrame, url: str, html: str, how: Deduction = Deduction())
         F.count("*").alias("support"),
         F.min("parent").alias("parent"),
         F.bool_or("is_text").alias("is_text"),
-        F.bool_or("box").alias("box"),
-        F.min("depth").alias("depth"),
-        F.sum("mass").alias("mass"),
     )
     frequent = saved(by_token.where(F.col("support") >= how.pages), "frequent")
     # The root stands on every page.
@@ -266,13 +253,12 @@ def classes(pages: DataFrame, url: str, html: str, how: Deduction = Deduction())
     return joined.where(F.col("support") >= how.share * F.col("pages")).drop("pages")
 
 
-def templates(tokens: DataFrame, how: Deduction = Deduction()) -> DataFrame:
-    """One row per host (host, template, main).
+def templates(tokens: DataFrame) -> DataFrame:
+    """One row per host (host, template).
 
     A class is valid if all its tokens stand in elements of the class itself or of one other class: then it is
     nested in a slot of that class. A text belongs to the template if its class is valid and the element
-    around it is of the same class, that is, if the element never has another text. The main element is the
-    innermost box of a valid class whose slots hold ``mass`` of the host's text.
+    around it is of the same class, that is, if the element never has another text.
     """
     around = tokens.select("host", F.col("token").alias("parent"), F.col("vector").alias("outer"))
     nested = tokens.join(around, ["host", "parent"], "left").withColumn("outer", F.coalesce("outer", F.lit(0)))
@@ -281,14 +267,8 @@ def templates(tokens: DataFrame, how: Deduction = Deduction()) -> DataFrame:
         (F.coalesce(F.min(differs), F.lit(0)) == F.coalesce(F.max(differs), F.lit(0))).alias("valid")
     )
     rows = nested.join(valid.where("valid"), ["host", "vector"])
-    most = tokens.groupBy("host").agg(F.max("mass").alias("most"))
-    rows = rows.join(most, "host")
     text = F.when(F.col("is_text") & (F.col("outer") == F.col("vector")), F.col("token"))
-    large = F.col("box") & (F.col("mass") >= how.mass * F.col("most")) & (F.col("mass") > 0)
-    inner = F.when(large, F.struct("mass", -F.col("depth"), "token"))
-    return rows.groupBy("host").agg(
-        F.collect_set(text).alias("template"), F.min(inner)["token"].alias("main")
-    )
+    return rows.groupBy("host").agg(F.collect_set(text).alias("template"))
 
 
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -309,29 +289,28 @@ def page_texts(
         F.col(f"`{id_column}`").alias(id_column), F.col(f"`{url}`").alias(url), F.col(f"`{html}`").alias("page html"), F.xxhash64(name).alias("page host")
     )
     tokens = saved(classes(pages, url, html, how), "tokens")
-    known = saved(templates(tokens, how).withColumnRenamed("host", "page host"), "templates")
+    known = saved(templates(tokens).withColumnRenamed("host", "page host"), "templates")
     # The tokens decide: few templates go to all executors, and the pages need no shuffle.
-    size = known.agg(F.coalesce(F.sum(F.size("template") + 2), F.lit(0))).first()[0]
+    size = known.agg(F.coalesce(F.sum(F.size("template") + 1), F.lit(0))).first()[0]
     if size <= BROADCAST_TOKENS:
         known = F.broadcast(known)
     joined = rows.join(known, "page host", "left")
-    joined = joined.select(f"`{id_column}`", f"`{url}`", "page html", "template", "main")
+    joined = joined.select(f"`{id_column}`", f"`{url}`", "page html", "template")
     schema = T.StructType([*joined.schema.fields[:2], *RESULT.fields])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, frozenset[int]] = {}
+        kept: dict[tuple | None, frozenset[int] | None] = {None: None}
         for batch in batches:
-            texts, fixed, mains = utf8(batch.columns[2]), batch.columns[3], batch.columns[4].to_pylist()
+            texts, fixed = utf8(batch.columns[2]), batch.columns[3]
             for a, b in blocks(texts):
                 out = []
-                for page, known_tokens, main in zip(texts[a:b], fixed.slice(a, b - a).to_pylist(), mains[a:b], strict=True):
-                    key = tuple(known_tokens or ())
+                for page, known_tokens in zip(texts[a:b], fixed.slice(a, b - a).to_pylist(), strict=True):
+                    key = None if known_tokens is None else tuple(known_tokens)
                     if key not in kept:
                         if len(kept) > 1000:
-                            kept.clear()
+                            kept = {None: None}
                         kept[key] = frozenset(t % (1 << 64) for t in key)
-                    main = None if main is None else main % (1 << 64)
-                    out.append(main_text((page or b"").decode("utf-8", "replace"), kept[key], main))
+                    out.append(main_text((page or b"").decode("utf-8", "replace"), kept[key], how))
                 part = [c.slice(a, b - a) for c in batch.columns[:2]]
                 made = [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part, *made], names=schema.names)
