@@ -203,6 +203,23 @@ def test_page_texts_of_siblings(spark, name):
         assert text.removeprefix("New\n") == wanted
 
 
+@pytest.mark.parametrize("start", ["<div class='content with-sidebar'>", "<div class='no-comments post'>", "<div id=search-and-article>", "<form>"])
+def test_page_texts_in_named_wrappers(spark, start):
+    end = start[1:].split(" ")[0].split(">")[0]
+
+    def page(i):
+        return f"<body>{start}<p>Story {i} is told here.<p>And it ends {i}.<div class=sidebar>See {i}</div></{end}>"
+
+    wanted = [f"Story {i} is told here.\nAnd it ends {i}." for i in range(8)]
+    assert texts_of_pages(spark, [page(i) for i in range(8)]) == wanted
+    assert pages.main_text(page(3)) == wanted[3]
+    # Beside the teaser of another article, what most pages hold there decides.
+    told = texts_of_pages(spark, [page(i).replace("<body>", f"<body><article>T{i}</article>") for i in range(8)])
+    assert told == [f"T{i}\n{text}" for i, text in enumerate(wanted)]
+    # A name beside a short article still rules out.
+    assert pages.main_text("<article>ok</article><div class=ad>much longer than it</div>") == "ok"
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
