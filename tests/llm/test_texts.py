@@ -256,6 +256,22 @@ def test_toxicity_finds_the_sentence():
     assert both == pytest.approx(1 - (1 - one) * (1 - two))
 
 
+def test_toxicity_of_long_clean_texts():
+    clean = [b"The house is tall. We went out there.\nNice and fine", b"Trees are green. Birds sing here."] * 8
+    bad = [b"The house is tall. Q%d vile r%d. Birds sing" % (i, i) for i in range(8)]
+    bad += [b"Nice trees.\nS%d t%d vile.\nFine" % (i, i) for i in range(8)]
+    model = toxicity.fit([t + b" n%d." % i for i, t in enumerate(clean + bad)], [0] * 16 + [1] * 16)
+    code = b"\n\n".join(b"x%d = foo(%d) + bar" % (i, i) for i in range(100_000))
+    prose = b"\n".join([b"Trees are green.", b"We went out there.", b"It rains."] * 40_000)
+    rules = b"----\n\n***\n" * 50_000
+    score, predicted, n, worst, _, said = toxicity.scorer(model)()([code, prose, rules, code + b"\nA vile house.\n" + code])
+    assert list(predicted) == [0, 0, 0, 1] and list(score[:3]) == [0, 0, 0]
+    assert list(n) == [100_000, 120_000, 0, 200_001] and worst[3] == 100_000 and said[3] == "A vile house."
+    # Words that lean a little to the toxic side do not add up either.
+    leaning = toxicity.Model({b"rains": 2.0, b"vile": 9.0}, -8.0, toxicity.Training().level)
+    assert list(toxicity.scorer(leaning)()([b"It rains.\n" * 100_000, b"So vile."])[1]) == [0, 1]
+
+
 def test_classifiers_on_odd_rows(spark, odd):
     labels = spark.createDataFrame(
         [(i, q, q) for i in range(1, 20) for q in (0, 1, None)] + [(None, 1, 1)], "doc_id long, quality int, toxic int"

@@ -25,7 +25,8 @@ class Training:
     """Bounds of the training sample, and how the weights are fitted.
 
     ``per_class`` documents of each label at most, each of ``max_bytes`` at most; words that
-    fewer than ``min_docs`` of them hold have no weight.
+    fewer than ``min_docs`` of them hold have no weight. The prior is a bound for the fit of short documents;
+    when scoring, sentences of log-odds up to ``level`` add nothing, so that length alone makes nothing toxic.
     """
 
     per_class: int = 2000
@@ -37,14 +38,19 @@ class Training:
     l1: float = 0.0005
     prior: float = -8.0
     toxic_share: float = 0.3
+    level: float = -3.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-odds of a sentence: the prior, and the weights of the features of its distinct words."""
+    """Log-odds of a sentence: the prior, and the weights of the features of its distinct words.
+
+    Sentences of log-odds up to ``level`` are no evidence, however many a document has.
+    """
 
     weights: dict[bytes, float]
     prior: float
+    level: float
 
 
 FIELDS = T.StructType(
@@ -74,6 +80,11 @@ def sentences(ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.cumsum(first) - 1
 
 
+def worded(sentence: np.ndarray, has_word: np.ndarray) -> np.ndarray:
+    """Whether each token stands in a sentence with a word: blank lines and rules of marks are none."""
+    return np.bincount(sentence, weights=has_word)[sentence] > 0
+
+
 def features(word: bytes) -> list[bytes]:
     """The word itself, and its beginnings: compounds of one stem share them."""
     letters = word.decode()
@@ -89,7 +100,7 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
     """
     y = np.asarray(labels, dtype=np.float64)
     if not 0 < y.sum() < len(y):
-        return Model({}, how.prior)
+        return Model({}, how.prior, how.level)
     ids: dict[bytes, int] = {}
     word, ends, doc = [], [], []
     for i, text in enumerate(texts):
@@ -99,6 +110,9 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
         doc.append(np.full(len(split), i))
     word, ends, doc = np.concatenate(word), np.concatenate(ends), np.concatenate(doc)
     sentence = sentences(ends, doc)
+    kept = worded(sentence, word != ids.get(b"", -1))
+    word, doc = word[kept], doc[kept]
+    sentence = np.unique(sentence[kept], return_inverse=True)[1]
     owner = doc[np.flatnonzero(np.diff(sentence, prepend=-1))]
     # Distinct words of each sentence, and features of each word; features in few documents are left out.
     n = len(ids)
@@ -133,24 +147,25 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
         weight = np.sign(moved) * np.maximum(np.abs(moved) - rate * how.l1, 0)
     found = {int(names[i]): float(weight[i]) for i in np.flatnonzero(weight)}
     weights = {f: found[h] for w in ids if w for f in features(w) if (h := xxhash.xxh3_64_intdigest(f)) in found}
-    return Model(weights, how.prior)
+    return Model(weights, how.prior, how.level)
 
 
 def scorer(model: Model, threshold: float = 0.5) -> Callable[[], Callable]:
     def start() -> Callable:
         known: dict[bytes, int] = {}
-        weight, ends = [], []
+        weight, ends, bares = [], [], []
 
         def number(word: bytes) -> int:
             bare, end = normal(word)
             known[word] = at = len(weight)
             weight.append(sum(model.weights.get(f, 0.0) for f in features(bare)))
             ends.append(end)
+            bares.append(bare != b"")
             return at
 
         def make(texts: Sequence[bytes | None]) -> list:
             if len(known) > CACHED:
-                known.clear(), weight.clear(), ends.clear()
+                known.clear(), weight.clear(), ends.clear(), bares.clear()
             split = [tokens(t or b"") for t in texts]
             sizes = np.array([len(s) for s in split], dtype=np.int64)
             for word in set(chain.from_iterable(split)).difference(known):
@@ -160,8 +175,13 @@ def scorer(model: Model, threshold: float = 0.5) -> Callable[[], Callable]:
             begins = np.cumsum(sizes) - sizes
             n, clean = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
             worst, most = np.full(len(texts), -1, dtype=np.int64), np.full(len(texts), -np.inf)
+            at = np.zeros(0, dtype=np.int64)
             if len(ids):
                 sentence = sentences(np.array(ends, dtype=bool)[ids], doc)
+                at = np.flatnonzero(worded(sentence, np.array(bares, dtype=bool)[ids]))
+            if len(at):
+                ids, doc = ids[at], doc[at]
+                sentence = np.unique(sentence[at], return_inverse=True)[1]
                 # A word counts once in a sentence.
                 values = np.array(weight)[ids]
                 felt = np.flatnonzero(values)
@@ -170,7 +190,8 @@ def scorer(model: Model, threshold: float = 0.5) -> Callable[[], Callable]:
                 odds = model.prior + np.bincount(sentence[felt], weights=values[felt], minlength=sentence[-1] + 1)
                 first = np.flatnonzero(np.diff(sentence, prepend=-1))
                 owner = doc[first]
-                clean = np.bincount(owner, weights=np.logaddexp(0, odds), minlength=len(texts))
+                evidence = np.where(odds > model.level, np.logaddexp(0, odds), 0)
+                clean = np.bincount(owner, weights=evidence, minlength=len(texts))
                 n = np.bincount(owner, minlength=len(texts))
                 np.maximum.at(most, owner, odds)
                 top = np.flatnonzero(odds == most[owner])[::-1]
@@ -182,7 +203,8 @@ def scorer(model: Model, threshold: float = 0.5) -> Callable[[], Callable]:
                     said.append(None)
                     continue
                 stop = first[s + 1] if s + 1 < len(first) else len(ids)
-                part = split[i][first[s] - begins[i] : stop - begins[i]]
+                start = at[first[s]] - begins[i]
+                part = split[i][start : start + stop - first[s]]
                 said.append(b" ".join(w for w in part if w != BREAK).decode("utf-8", "replace"))
                 where[i] = s - np.searchsorted(owner, i)
             worst_score = np.where(where < 0, 0.0, 1 / (1 + np.exp(-most)))
@@ -215,7 +237,7 @@ def toxicity(
     """Score of every whole text, and its worst sentence (number from 0, score, text).
 
     Fitted on a bounded sample of the labelled rows that are not held out; scored in one pass
-    without a shuffle. Null and empty texts have no sentence and score 0; a null id stays null
+    without a shuffle. Texts without a word have no sentence and score 0; a null id stays null
     and is not held out; repeated rows each give a row; an empty table gives none. Null labels
     are not used, and other columns are not read.
     """
