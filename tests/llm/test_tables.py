@@ -111,6 +111,16 @@ def test_mix_of_odd_rows(spark):
     assert mixing.repeated(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("words", [100, 6000])
+def test_repeated_documents_meet_the_targets(spark, words):
+    n = 240_000 // words
+    table = docs(spark, [(i * 3 + k, f"w{i} " * words, s) for i in range(n) for k, s in enumerate("abc")])
+    found, target = defaultdict(int), plain_targets(dict.fromkeys("abc", n * words))
+    for r in mixing.repeated(table).collect():
+        found[r.source] += words
+    assert all(abs(found[s] - target[s]) <= words / 2 + 1 for s in "abc"), (found, target)
+
+
 # URLs
 
 

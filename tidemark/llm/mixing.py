@@ -180,16 +180,19 @@ def mix_sources(
     overlap = F.when(F.col("words").isNotNull(), F.greatest(high - low, F.lit(0)))
     met = met.withColumn("n_words", F.coalesce(overlap, F.lit(0)))
 
-    place = ["number", "bucket", "row", "id", "source", "size", "source_size", "target"]
-    by_turn = met.groupBy(*place, "turn").agg(F.sum("n_words").alias("taken"))
-    copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("long")
-    documents = by_turn.groupBy(*place).agg(F.sum("taken").alias("taken"), F.sum(copies).alias("copies"))
+    place = ["number", "bucket", "row", "begin", "id", "source", "size", "source_size", "target"]
+    documents = met.groupBy(*place).agg(F.sum("n_words").alias("taken"))
+    # A pass over a whole document counts if its middle comes before the target's end, whatever its length.
+    middle = F.col("begin") + F.col("size") / 2
+    turns = [F.when(middle < F.round("target") - t * F.col("source_size"), 1).otherwise(0) for t in range(plan.most)]
+    copies = F.when(F.col("size") > 0, sum(turns, F.lit(0))).otherwise(0).cast("long")
+    documents = documents.withColumn("copies", copies)
     pieces = met.where("n_words > 0").select(
         "shard", "id", "source", "turn", (low - F.col("begin")).alias("from_word"), "n_words"
     )
     shuffled = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "id", "turn", "from_word"), "id", "turn")
     return Mix(
-        documents.select(F.col("id").alias(id_column), *place[4:], "taken", "copies"),
+        documents.select(F.col("id").alias(id_column), *place[5:], "taken", "copies"),
         pieces.withColumn("position", F.row_number().over(shuffled)),
     )
 
@@ -227,17 +230,20 @@ def blocks_drawn(sources: DataFrame, block: int, plan: Plan) -> DataFrame:
 
 
 def repeated(docs: DataFrame, names: Sequence[str] = ("doc_id", "text", "source"), plan: Plan = Plan()) -> DataFrame:
-    """The documents as the mix takes them, whole: each as often as passes cover at least half of it.
+    """The documents as the mix takes them, whole: in the hash order of their source, up to its target of words.
 
-    Rows of equal id, source and size share their copies evenly.
+    So the words of a source differ from its target by half a document at most. Rows of equal id, source and
+    size share their copies evenly; where these do not divide, a hash of the text decides.
     """
     id_column, text, source = names
     mix = mix_sources(docs, id_column, text, source, plan).documents
     taken = mix.groupBy(F.col(id_column).alias("id"), "source", "size").agg(F.avg("copies").alias("copies"))
-    taken = taken.select("*", F.round("copies").cast("int").alias("times")).where("times > 0")
+    taken = taken.where("copies > 0")
     size = word_count(F.col(f"d.`{text}`"))
     same = F.col(f"d.`{id_column}`").eqNullSafe(F.col("t.id")) & (size == F.col("t.size"))
     same = same & F.col(f"d.`{source}`").cast("string").eqNullSafe(F.col("t.source"))
-    rows = docs.alias("d").join(taken.alias("t"), same)
-    turns = F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("t.turn")
-    return rows.select("d.*", turns).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chance = uniform(F.lit(plan.seed + 6), F.col(f"d.`{id_column}`"), F.col(f"d.`{text}`"))
+    times = F.floor(F.col("t.copies") + chance).cast("int")
+    rows = docs.alias("d").join(taken.alias("t"), same).select("d.*", times.alias("t.times")).where("`t.times` > 0")
+    turns = F.explode(F.sequence(F.lit(1), F.col("`t.times`"))).alias("t.turn")
+    return rows.select("*", turns).select(*[F.col(f"`{c}`") for c in docs.columns])
