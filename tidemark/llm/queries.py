@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, compression, discriminant, mixing, near, pages, pieces, toxicity, urls, vectors
+from tidemark.llm import (
+    bpe,
+    compression,
+    discriminant,
+    mixing,
+    near,
+    pages,
+    pieces,
+    secret_scan,
+    toxicity,
+    urls,
+    vectors,
+)
 
 BPE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -70,6 +82,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_top_k,
         op10_near_duplicates,
+        op11_secret_scan,
     )
 }
 
