@@ -12,6 +12,7 @@ from tidemark.llm import (
     bpe,
     compression,
     discriminant,
+    filter_audit,
     mixing,
     near,
     pages,
@@ -86,6 +87,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_top_k,
         op10_near_duplicates,
         op11_secret_scan,
+        op12_filter_audit,
     )
 }
 
@@ -149,4 +155,49 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op12_filter_audit": r"""
+        WITH words AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+            FROM documents
+        ), known AS (
+            SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+            FROM labels GROUP BY doc_id
+        ), masks AS (
+            SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+                + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+            FROM words
+        ), counts AS (
+            SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+            FROM masks LEFT JOIN known USING (doc_id) GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), places AS (
+            SELECT filter_order, unnest(range(1, 6)) AS step FROM orders
+        ), steps AS (
+            SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS b,
+                CAST(list_sum([1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, 6) IF i < step]) AS BIGINT) AS e
+            FROM places
+        ), cases AS (
+            SELECT c.*, filter_order, step, b, c.mask & b <> 0 AS fails, c.mask & coalesce(e, 0) <> 0 AS earlier
+            FROM counts c, steps
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+            CAST(sum(CASE WHEN NOT fails AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS kept,
+            CAST(sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS removed,
+            CAST(sum(CASE WHEN fails AND earlier THEN n ELSE 0 END) AS BIGINT) AS redundant,
+            CAST(sum(CASE WHEN mask = b THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+            CAST(sum(CASE WHEN fails AND NOT earlier THEN n * good ELSE 0 END) AS BIGINT) AS good_lost,
+            CAST(sum(CASE WHEN fails AND NOT earlier THEN n * toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+            CAST(sum(CASE WHEN fails THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
+        FROM cases GROUP BY part, filter_order, step
+    """,
 }
