@@ -80,9 +80,6 @@ def test_audit_in_any_order_of_files(spark, tmp_path, order):
     want = plain([row for i in order for row in FILES[i]], MARKS)
     made = filter_audit.filter_audit(spark, path, labels, batches=len(order))
     assert got(made) == want and made.count() == 600 * 5
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != (
-        filter_audit.STATE_SETTINGS["spark.sql.streaming.stateStore.providerClass"]
-    )
 
 
 def test_smaller_ids_retract_over_calls(spark, tmp_path):

@@ -9,18 +9,13 @@ smaller id arrives, the rows that stood for the text so far are taken back from
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import permutations
 from typing import NamedTuple
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.llm.texts import arrow, saved
+from tidemark.llm.texts import saved
 from tidemark.session import scratch_dir
 from tidemark.sources import object_listing
 
@@ -34,13 +29,9 @@ ORDERS = [
 ]
 N_ORDERS = len(ORDERS) // len(FILTERS)
 
-ARRIVALS = (
-    "text_key binary, mask int, part string, flags int, documents long, least long, at_least long, without_id long"
-)
-DELTAS = "part string, mask int, flags int, delta long"
-STATE = "least long, held string"
-# Rows of this many texts are combined before a task sends them on.
-COMBINED = 100_000
+COUNTERS = "part string, mask int, flags int, delta long"
+# Rows of a text: those of a batch, or those with its smallest id so far.
+TEXTS = "text_key binary, mask int, part string, flags int, least long, held long, added long, copies long"
 # The labels are dealt over this many tasks more, for ids that many rows have.
 SALTS = 8
 
@@ -68,93 +59,6 @@ def failures(text: Column, limits: Thresholds = Thresholds()) -> Column:
     return sum((F.when(fail, 1 << bit).otherwise(0) for bit, fail in enumerate(fails)), F.lit(0))
 
 
-def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one text, part and label flags as one, so that a text of many copies is a few rows of each task."""
-    held: dict[tuple, list] = {}
-    names = [f.split()[0] for f in ARRIVALS.split(", ")]
-
-    def sent() -> pa.RecordBatch:
-        keys = list(zip(*held)) or [[]] * 4
-        values = list(zip(*held.values())) or [[]] * 4
-        kinds = [pa.binary(), pa.int32(), pa.string(), pa.int32()] + [pa.int64()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip([*keys, *values], kinds)], names=names)
-
-    for batch in batches:
-        for number, *key in zip(*(c.to_pylist() for c in batch.columns)):
-            row = held.setdefault(tuple(key), [0, None, 0, 0])
-            row[0] += 1
-            if number is None:
-                row[3] += 1
-            elif row[1] is None or number < row[1]:
-                row[1], row[2] = number, 1
-            elif number == row[1]:
-                row[2] += 1
-        if len(held) >= COMBINED:
-            yield sent()
-            held.clear()
-    if held:
-        yield sent()
-
-
-def retracting(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters that the rows of a text make, those it takes back from earlier batches included."""
-    least, held = None, []
-    if state.exists:
-        least, text = state.get
-        held = json.loads(text)
-    columns = [f.split()[0] for f in ARRIVALS.split(", ")][1:]
-    rows = [row for frame in frames for row in frame[columns].itertuples(index=False, name=None)]
-    ids = [int(row[4]) for row in rows if not pd.isna(row[4])]
-    smallest = min([*ids, *([] if least is None else [least])], default=None)
-    deltas: dict[tuple[str, int, int], int] = {}
-
-    def count(part: str, mask: int, flags: int, n: int) -> None:
-        if n:
-            deltas[part, mask, flags] = deltas.get((part, mask, flags), 0) + n
-
-    if least is not None and smallest < least:
-        for part, mask, flags, n in held:
-            count(part, mask, flags, -n)
-            count(part, mask | COPY, flags, n)
-        held = []
-    kept = {(part, mask, flags): n for part, mask, flags, n in held}
-    for mask, part, flags, documents, number, at_least, without_id in rows:
-        first = int(at_least) if not pd.isna(number) and int(number) == smallest else 0
-        # Rows without an id are no copies of others, nor are others copies of them.
-        count(part, int(mask), int(flags), first + int(without_id))
-        count(part, int(mask) | COPY, int(flags), int(documents) - first - int(without_id))
-        if first:
-            place = (part, int(mask), int(flags))
-            kept[place] = kept.get(place, 0) + first
-    if smallest is not None:
-        state.update((smallest, json.dumps([[*place, n] for place, n in sorted(kept.items())])))
-    yield pd.DataFrame([(*place, n) for place, n in deltas.items()], columns=["part", "mask", "flags", "delta"])
-
-
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings that a query started inside takes along."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-# State grows with the number of texts: it is kept on disk, and a batch writes its changes only.
-STATE_SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-}
-
-
 def label_flags(labels: DataFrame) -> DataFrame:
     """(doc_id, flags): 1 for an id with quality 1, 2 for one with toxic 1, in any of its rows."""
     flags = F.max(F.when(F.col("quality") == 1, 1).otherwise(0)) + F.max(F.when(F.col("toxic") == 1, 2).otherwise(0))
@@ -162,7 +66,10 @@ def label_flags(labels: DataFrame) -> DataFrame:
 
 
 def arrivals(docs: DataFrame, flags: DataFrame, limits: Thresholds) -> DataFrame:
-    """Rows of :data:`ARRIVALS` of documents, a stream or not; no text is shuffled, only its digest."""
+    """Documents per text, part and flags: all, those without an id, the least id and how often it comes.
+
+    No text is shuffled, only its digest. Counts per id come first, so that a text of many copies is a row a task.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -173,8 +80,48 @@ def arrivals(docs: DataFrame, flags: DataFrame, limits: Thresholds) -> DataFrame
     spread = F.pmod(F.hash("text_key"), F.when(F.col("doc_id").isNull(), 1 << 20).otherwise(SALTS))
     salted = flags.select("*", F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("salt"))
     known = rows.withColumn("salt", spread).join(salted, ["doc_id", "salt"], "left")
-    known = known.select("doc_id", "text_key", "mask", "part", F.coalesce("flags", F.lit(0)).alias("flags"))
-    return arrow(known, combined, ARRIVALS)
+    known = known.withColumn("flags", F.coalesce("flags", F.lit(0)))
+    of_id = known.groupBy("doc_id", "salt", "text_key", "mask", "part", "flags").agg(F.count("*").alias("n"))
+    has_id = F.col("doc_id").isNotNull()
+    of_text = of_id.groupBy("text_key", "mask", "part", "flags").agg(
+        F.sum("n").alias("documents"),
+        F.sum(F.when(~has_id, F.col("n")).otherwise(0)).alias("without_id"),
+        F.min(F.when(has_id, F.struct("doc_id", "n"))).alias("first"),
+    )
+    return of_text.select(
+        *["text_key", "mask", "part", "flags", "documents", "without_id"],
+        F.col("first.doc_id").alias("least"),
+        F.coalesce("first.n", F.lit(0)).alias("at_least"),
+    )
+
+
+def updated(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """The state of all texts after a batch, and what the batch changes: rows of :data:`TEXTS`.
+
+    ``held`` documents with the smallest id of their text stand in the counter of their mask. Those of a batch are
+    ``added`` there or to the ``copies``. Where a smaller id has come, rows held so far are taken back from their
+    counter and become copies. Rows without an id are no copies of others, nor are others copies of them.
+    """
+    zero = F.lit(0).cast("long")
+    before = state.where("held > 0").select(
+        *["text_key", "mask", "part", "flags", "least"],
+        F.col("held").alias("at_least"),
+        zero.alias("documents"),
+        zero.alias("without_id"),
+        F.lit(True).alias("old"),
+    )
+    both = before.unionByName(rows.withColumn("old", F.lit(False)))
+    both = both.withColumn("smallest", F.min("least").over(Window.partitionBy("text_key")))
+    stands = F.col("least").eqNullSafe(F.col("smallest"))
+    held = F.when(stands, F.col("at_least")).otherwise(0)
+    taken_back = F.when(F.col("old") & ~stands, F.col("at_least")).otherwise(0)
+    fresh = F.when(F.col("old"), 0).otherwise(held + F.col("without_id"))
+    return both.select(
+        *["text_key", "mask", "part", "flags", "least"],
+        held.alias("held"),
+        (fresh - taken_back).alias("added"),
+        (F.when(F.col("old"), 0).otherwise(F.col("documents") - held - F.col("without_id")) + taken_back).alias("copies"),
+    )
 
 
 def file_stream(spark: SparkSession, path: str, batches: int) -> DataFrame:
@@ -190,33 +137,41 @@ def count_masks(
 ) -> DataFrame:
     """Documents per part, mask and label flags, once the stream has taken all there is.
 
-    A batch writes its changes of the counters to a folder of its own, so that a repeated one leaves no copy. With a
-    ``checkpoint`` folder a later call goes on with the files that came since.
+    The state of the texts is a table, of which each batch writes the next version: one row per text, part and flags,
+    joined by a shuffle on the text. Batches write to folders of their own from the version before, so that one that
+    is run again leaves the same. With a ``checkpoint`` folder a later call goes on with the files that came since.
     """
     spark = stream.sparkSession
     root = checkpoint or scratch_dir(spark, "filter-audit")
-    counters = f"{root}/counters"
-    spark.createDataFrame([], DELTAS).write.mode("overwrite").parquet(f"{counters}/batch=-1")
-    rows = arrivals(stream, saved(label_flags(labels), "label-flags"), limits)
-    deltas = rows.groupBy("text_key").applyInPandasWithState(
-        retracting, DELTAS, STATE, "update", GroupStateTimeout.NoTimeout
-    )
-
-    def write(batch: DataFrame, number: int) -> None:
-        sums = batch.groupBy("part", "mask", "flags").agg(F.sum("delta").alias("delta"))
-        sums.coalesce(4).write.mode("overwrite").parquet(f"{counters}/batch={number}")
-
-    with settings(spark, STATE_SETTINGS):
-        query = (
-            deltas.writeStream.foreachBatch(write)
-            .outputMode("update")
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
+    counters, texts = f"{root}/counters", f"{root}/texts"
+    for path, schema in ((f"{counters}/batch=-1", COUNTERS), (f"{texts}/batch=-1", TEXTS)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    flags = saved(label_flags(labels), "label-flags")
+
+    def take(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(TEXTS).parquet(f"{texts}/batch={number - 1}")
+        now = f"{texts}/batch={number}"
+        updated(before, arrivals(batch, flags, limits)).write.mode("overwrite").parquet(now)
+        changes = F.inline(
+            F.array(
+                F.struct(F.col("mask"), F.col("added").alias("delta")),
+                F.struct(F.col("mask").bitwiseOR(F.lit(COPY)).alias("mask"), F.col("copies").alias("delta")),
+            )
         )
+        changed = session.read.schema(TEXTS).parquet(now).where("added <> 0 OR copies <> 0")
+        sums = changed.select("part", "flags", changes).groupBy("part", "mask", "flags").agg(F.sum("delta").alias("delta"))
+        sums.write.mode("overwrite").parquet(f"{counters}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(take)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
-    sums = spark.read.parquet(counters).groupBy("part", "mask", "flags").agg(F.sum("delta").alias("n"))
-    return sums.where("n <> 0")
+    sums = spark.read.schema(f"{COUNTERS}, batch long").parquet(counters)
+    return sums.groupBy("part", "mask", "flags").agg(F.sum("delta").alias("n")).where("n <> 0")
 
 
 def interactions(counts: DataFrame) -> DataFrame:
