@@ -16,6 +16,7 @@ from tidemark.llm import (
     mixing,
     near,
     pages,
+    phrases,
     pieces,
     secret_scan,
     toxicity,
@@ -91,6 +92,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_near_duplicates,
         op11_secret_scan,
         op12_filter_audit,
+        op13_phrases,
     )
 }
 
@@ -200,4 +206,54 @@ ORACLE: dict[str, str] = {
             CAST(sum(CASE WHEN fails THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
         FROM cases GROUP BY part, filter_order, step
     """,
+    "op13_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), one AS (
+            SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM words) GROUP BY ALL
+        ), sizes AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang
+        ), two AS (
+            SELECT lang, x, y, count(*) AS f FROM (
+                SELECT lang, unnest([w[i] FOR i IN range(1, len(w))]) AS x, unnest([w[i + 1] FOR i IN range(1, len(w))]) AS y
+                FROM words)
+            GROUP BY ALL HAVING count(*) >= 10
+        ), three AS (
+            SELECT lang, x, y, z, count(*) AS f FROM (
+                SELECT lang, unnest([w[i] FOR i IN range(1, len(w) - 1)]) AS x,
+                    unnest([w[i + 1] FOR i IN range(1, len(w) - 1)]) AS y,
+                    unnest([w[i + 2] FOR i IN range(1, len(w) - 1)]) AS z
+                FROM words)
+            GROUP BY ALL HAVING count(*) >= 10
+        ), longer AS (
+            SELECT lang, x, y, max(f) AS f FROM (
+                SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three)
+            GROUP BY ALL
+        ), cuts AS (
+            SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, p.f AS l, q.f AS r, 1 AS k
+            FROM two t JOIN one p ON t.lang = p.lang AND t.x = p.x JOIN one q ON t.lang = q.lang AND t.y = q.x
+                LEFT JOIN longer g ON t.lang = g.lang AND t.x = g.x AND t.y = g.y
+            WHERE g.f IS NULL OR 100 * g.f < 50 * t.f
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, p.f, q.f, 1
+            FROM three t JOIN one p ON t.lang = p.lang AND t.x = p.x
+                JOIN two q ON t.lang = q.lang AND t.y = q.x AND t.z = q.y
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, p.f, q.f, 2
+            FROM three t JOIN two p ON t.lang = p.lang AND t.x = p.x AND t.y = p.y
+                JOIN one q ON t.lang = q.lang AND t.z = q.x
+        ), scores AS (
+            SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+        ), best AS (
+            SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+            phrase, a, l, r, n, score
+        FROM best JOIN sizes USING (lang)
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
 }
