@@ -5,7 +5,7 @@ Queries share landed copies: a copy is written once per session and data folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,11 +113,28 @@ def landed_documents(spark: SparkSession, sf_dir: str) -> str:
     return landed_copy(spark, sf_dir, "landed_documents", write)
 
 
-UPLOADED = {
-    "automobile": ["c_custkey", "c_name"],
-    "building": ["c_mktsegment", "c_nationkey", "c_custkey"],
-}
+UPLOADED = {"building": ["c_mktsegment", "c_nationkey", "c_custkey"]}
 WHOLE_UPLOAD = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+# A value of a million characters.
+LONG_VALUE = 1_000_000
+
+
+def quoted_name(key: Column, name: Column) -> Column:
+    """A name as uploads may write it: plain, with text after a closing quote, never closed, or very long."""
+    kind = F.pmod(key, F.lit(5))
+    return (
+        F.when(F.pmod(key, F.lit(1000)) == 7, F.concat(F.lit('"'), F.repeat(F.lit(',""'), F.lit(LONG_VALUE)), F.lit('"')))
+        .when(kind == 0, F.concat(F.lit('"'), name, F.lit('"x')))
+        .when(kind == 1, F.concat(F.lit('"'), name, F.lit(", open")))
+        .when(kind == 2, F.concat(name, F.lit('"y"')))
+        .otherwise(name)
+    )
+
+
+def _write_lines(lines: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """Text of a column as lines below its name as a header line, as they are; ``keys`` become folders."""
+    writer = lines.write.mode("append").option("header", True).option("sep", "\u0001").option("quote", "")
+    (writer.partitionBy(*keys) if keys else writer).csv(path)
 
 
 def landed_uploads(spark: SparkSession, sf_dir: str) -> str:
@@ -127,10 +144,13 @@ def landed_uploads(spark: SparkSession, sf_dir: str) -> str:
         segment = F.lower("c_mktsegment").alias("segment")
         customer = table(spark, sf_dir, "customer").select("*", segment)
         groups = [(F.col("segment") == name, columns) for name, columns in UPLOADED.items()]
-        groups.append((~F.col("segment").isin(*UPLOADED), WHOLE_UPLOAD))
+        groups.append((~F.col("segment").isin("automobile", *UPLOADED), WHOLE_UPLOAD))
         for chosen, columns in groups:
             rows = customer.filter(chosen).select(*columns, "segment").hint("rebalance", F.col("segment"))
             rows.write.mode("append").partitionBy("segment").option("header", True).csv(f"{path}/uploads")
+        line = F.concat_ws(",", F.col("c_custkey").cast("string"), quoted_name(F.col("c_custkey"), F.col("c_name")))
+        lines = customer.filter(F.col("segment") == "automobile").select(line.alias("c_custkey,c_name"), "segment")
+        _write_lines(lines, f"{path}/uploads", ["segment"])
 
     return landed_copy(spark, sf_dir, "landed_uploads", write)
 
@@ -140,9 +160,10 @@ def landed_ragged(spark: SparkSession, sf_dir: str) -> str:
 
     def write(path: str) -> None:
         key, kind = F.col("c_custkey").cast("string"), F.pmod("c_custkey", F.lit(7))
-        line = F.concat_ws(",", key, F.when(kind != 1, F.col("c_name")), F.when(kind == 0, F.lit("more")))
-        rows = table(spark, sf_dir, "customer").select(line.alias("c_custkey,c_name"))
-        rows.write.option("header", True).option("sep", "\u0001").csv(path)
+        name = quoted_name(F.col("c_custkey"), F.col("c_name"))
+        more = F.when((kind == 0) & (F.pmod("c_custkey", F.lit(5)) != 1), F.lit("more"))
+        line = F.concat_ws(",", key, F.when(kind != 1, name), more)
+        _write_lines(table(spark, sf_dir, "customer").select(line.alias("c_custkey,c_name")), path)
 
     return landed_copy(spark, sf_dir, "landed_ragged", write)
 

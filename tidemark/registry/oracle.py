@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.operators.detections import OBJECT_NAMES
 from tidemark.operators.orders import CATEGORIES, CUSTOMER_WEIGHTS
+from tidemark.registry.inputs import LONG_VALUE
 
 _PARTS = "strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day"
 _HOUR = "strftime(ts, '%H') AS hour"
@@ -42,6 +43,9 @@ _SCORES = """SELECT vec_id, CAST(label * 8 + i % 8 AS DOUBLE) AS class,
 _BEST = f"SELECT vec_id, class, max(score) AS score FROM ({_SCORES}) WHERE score > 0.15 GROUP BY vec_id, class"
 _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(OBJECT_NAMES))
 
+_UPLOADED_NAME = f"""CASE WHEN c_custkey % 1000 = 7 THEN repeat(',"', {LONG_VALUE}) WHEN c_custkey % 5 = 0 THEN c_name || 'x'
+  WHEN c_custkey % 5 = 1 THEN c_name || ', open' WHEN c_custkey % 5 = 2 THEN c_name || '"y"' ELSE c_name END"""
+
 
 def _draw(seed: int, number: int) -> str:
     digits = f"substr(sha256(CAST(o_orderkey AS VARCHAR) || '-{seed}'), {1 + 10 * number}, 10)"
@@ -79,10 +83,12 @@ ORACLE: dict[str, str] = {
     "scan_partitioned_json": _RAW,
     "scan_inferred_json": """SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, 'k' AS fields
       FROM events GROUP BY ALL""",
-    "scan_ragged_csv": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
-      CASE WHEN c_custkey % 7 <> 1 THEN c_name END AS c_name,
-      CASE c_custkey % 7 WHEN 0 THEN concat(c_custkey, '|', c_name, '|more') WHEN 1 THEN CAST(c_custkey AS VARCHAR)
-      END AS all_values FROM customer""",
+    "scan_ragged_csv": f"""WITH c AS (SELECT c_custkey AS k, {_UPLOADED_NAME} AS name FROM customer)
+      SELECT CAST(k AS VARCHAR) AS c_custkey, CASE WHEN k % 7 <> 1 THEN name END AS c_name,
+      CASE WHEN k % 7 = 1 THEN CAST(k AS VARCHAR) WHEN k % 7 = 0 AND k % 5 <> 1 THEN concat(k, '|', name, '|more')
+      END AS all_values FROM c""",
+    "scan_headed_documents": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source,
+      CAST(n_chars AS VARCHAR) AS n_chars, 'doc_id,text,lang,source,n_chars' AS headers FROM documents""",
     "scan_csv_header": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source,
       CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
     "decode_typed_attributes": """SELECT s_suppkey,
@@ -212,10 +218,10 @@ ORACLE: dict[str, str] = {
       FROM events GROUP BY 1, 2""",
     "refreshed_tables": """SELECT 'tidemark_' || event_type AS name, count(*) AS records FROM events
       WHERE event_type IN ('click', 'error') GROUP BY event_type""",
-    "ingested_uploads": """SELECT 'extracted' AS status, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'c_custkey,c_name'
+    "ingested_uploads": f"""SELECT 'extracted' AS status, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'c_custkey,c_name'
         WHEN 'BUILDING' THEN 'c_mktsegment,c_nationkey,c_custkey'
         ELSE 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' END AS headers,
-      CASE c_mktsegment WHEN 'AUTOMOBILE' THEN concat_ws(',', c_custkey, c_name)
+      CASE c_mktsegment WHEN 'AUTOMOBILE' THEN concat_ws(',', c_custkey, {_UPLOADED_NAME})
         WHEN 'BUILDING' THEN concat_ws(',', c_mktsegment, c_nationkey, c_custkey)
         ELSE concat_ws(',', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) END AS data
       FROM customer WHERE lower(c_mktsegment) <> 'machinery'

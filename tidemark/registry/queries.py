@@ -63,6 +63,14 @@ def scan_csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.scan_csv_header(spark, inputs.landed_documents(spark, sf_dir), multi_line=True)
 
 
+@_query
+def scan_headed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over many lines, in files that are split; the header is that of each file."""
+    rows = sources.scan_headed_files(spark, inputs.landed_documents(spark, sf_dir), multi_line=True)
+    names = ("doc_id", "text", "lang", "source", "n_chars")
+    return rows.select(*[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)], "headers")
+
+
 @_query
 def scan_ragged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sources.scan_csv_header(spark, inputs.landed_ragged(spark, sf_dir), ragged="all_values")

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "_corrupt_record"
-
 
 def scan_partitioned_json(
     spark: SparkSession,
@@ -56,12 +54,103 @@ def scan_inferred_json(spark: SparkSession, path: str, sampling_ratio: float = 1
     return spark.read.option("samplingRatio", str(sampling_ratio)).json(path)
 
 
+# Patterns of comma-separated text. Every repetition is possessive, so that long values need neither time nor stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_CLOSED = rf'(?:{_QUOTED}"[^,]*+|(?!")[^,]*+),'
+_OPENS = rf'(?:{_CLOSED})*+{_QUOTED}\z'
+
+
 def csv_values(record: Column) -> Column:
-    """Values of one comma-separated record of any number of values. Quoted values lose their quotes."""
-    value = r',("(?:[^"]|"")*"|[^,]*)'
-    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(value), F.lit(1))
-    bare = lambda v: F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(found, lambda v: F.when(v.rlike(r'(?s)^".*"$'), bare(v)).otherwise(v))
+    """Values of one comma-separated record of any number of values, as the usual readers take them.
+
+    A value that starts with a quote goes on to the next single quote, and two quotes in it stand for one. Text
+    after the closing quote belongs to the value, a quote inside an unquoted value is text, and a quoted value that
+    is never closed takes the rest of the record. Every character but the quotes around values is kept.
+    """
+    found = F.regexp_extract_all(
+        F.concat(F.lit(","), record), F.lit(rf',({_QUOTED}"?+[^,]*+|[^,]*+)'), F.lit(1)
+    )
+    parts = rf'(?s)\A"({_QUOTED[1:]})"?+(.*+)\z'
+
+    def value(raw: Column) -> Column:
+        inside = F.replace(F.regexp_extract(raw, parts, 1), F.lit('""'), F.lit('"'))
+        return F.when(raw.startswith('"'), F.concat(inside, F.regexp_extract(raw, parts, 2))).otherwise(raw)
+
+    return F.transform(found, value)
+
+
+def _running(df: DataFrame, keys: Sequence[str], order: str, opens: str, stays: str) -> DataFrame:
+    """Whether each row starts and ends inside a quoted value, once for each way its group may start.
+
+    ``opens`` says whether a row that starts outside ends inside, ``stays`` whether one that starts inside does. A
+    row either sets the state whatever it was, turns it round, or leaves it; so the state after a row follows from the
+    last one that set it and the number of turns since. Adds ``out_before``, ``out_after``, ``in_before`` and ``in_after``.
+    """
+    ordered = Window.partitionBy(*keys).orderBy(order)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    turns = F.sum((F.col(opens) & ~F.col(stays)).cast("int")).over(so_far)
+    df = df.withColumn("_turns", turns)
+    sets = F.when(F.col(opens) == F.col(stays), F.struct(F.col(opens).alias("to"), F.col("_turns").alias("at")))
+    df = df.withColumn("_set", F.last(sets, ignorenulls=True).over(so_far))
+    turned = F.pmod(F.col("_turns") - F.coalesce("_set.at", F.lit(0)), F.lit(2)) == 1
+    for name, start in (("out", False), ("in", True)):
+        df = df.withColumn(f"{name}_after", F.coalesce("_set.to", F.lit(start)) != turned)
+    for name, start in (("out", False), ("in", True)):
+        df = df.withColumn(f"{name}_before", F.coalesce(F.lag(f"{name}_after").over(ordered), F.lit(start)))
+    return df.drop("_turns", "_set")
+
+
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """Records of lines ``(object, block, line, value)``: a quoted value may go on over lines, and over blocks of a file.
+
+    No block knows how it starts, so each is read for both cases. What a whole block does to either case is one small
+    row; combined in the order of the file, these rows settle how each block starts. Lines of one record meet by the
+    place of its first line; most lines are records of their own and are not moved for that.
+    """
+    inside = rf'\A{_QUOTED[1:]}(?:\z|"[^,]*+,{_OPENS})'
+    opens, stays = F.col("value").rlike(rf"\A{_OPENS}"), F.col("value").rlike(inside)
+    lines = _running(lines.withColumns({"_opens": opens, "_stays": stays}), ["object", "block"], "line", "_opens", "_stays")
+    lines = lines.drop("_opens", "_stays")
+
+    def start(before: str) -> Column:
+        return F.max(F.when(~F.col(before), F.col("line")))
+
+    blocks = lines.groupBy("object", "block").agg(
+        F.max_by("out_after", "line").alias("_opens"),
+        F.max_by("in_after", "line").alias("_stays"),
+        start("out_before").alias("_out_start"),
+        start("in_before").alias("_in_start"),
+    )
+    blocks = _running(blocks, ["object"], "block", "_opens", "_stays")
+    # A file starts outside.
+    last = F.when(F.col("out_before"), F.col("_in_start")).otherwise(F.col("_out_start"))
+    last = F.when(last.isNotNull(), F.struct(F.col("block").alias("block"), last.alias("line")))
+    earlier = Window.partitionBy("object").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_last", last).select(
+        "object", "block", F.col("out_before").alias("_inside"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
+    )
+    lines = lines.join(blocks, ["object", "block"])
+    for side in ("before", "after"):
+        known = F.when(F.col("_inside"), F.col(f"in_{side}")).otherwise(F.col(f"out_{side}"))
+        lines = lines.withColumn(f"_{side}", known)
+    alone = ~F.col("_before") & ~F.col("_after")
+    single = lines.filter(alone).select("object", "block", "line", "value")
+    so_far = Window.partitionBy("object", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.when(~F.col("_before"), F.struct("block", "line"))
+    spread = lines.filter(~alone).withColumn("_first", F.coalesce(F.last(here, ignorenulls=True).over(so_far), "_carried"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    spread = spread.groupBy("object", "_first").agg(F.array_join(parts.getField("value"), "\n").alias("value"))
+    return single.unionByName(spread.select("object", "_first.block", "_first.line", "value"))
+
+
+def _records(lines: DataFrame, multi_line: bool) -> DataFrame:
+    """Records ``(object, block, line, value)`` of lines ``(object, block, at, value)``; empty lines are none.
+
+    A line is known by the start of its block and its number there, which any scan of the file gives alike.
+    """
+    number = F.row_number().over(Window.partitionBy("object", "block").orderBy("at"))
+    lines = lines.withColumn("line", number).drop("at")
+    return (_joined_records(lines) if multi_line else lines).filter(F.col("value") != "")
 
 
 def scan_csv_header(
@@ -75,7 +164,8 @@ def scan_csv_header(
 
     With ``multi_line`` quoted values may span lines, and each file is one unit of work; without it large
     files are split. A record with fewer values than the header gets nulls for the rest, one with more
-    would lose them: name a column ``ragged`` to keep all values of such records there, as an array.
+    would lose them: name a column ``ragged`` to keep all values of such records there, as an array. Values are then
+    those of :func:`scan_headed_files`, large files are split with ``multi_line`` too, and empty values are null.
     Files whose header differs from the first one raise instead of mixing columns; see
     :func:`scan_headed_files` for files with headers of their own.
     """
@@ -93,9 +183,27 @@ def scan_csv_header(
     rows = reader().csv(path)
     if ragged is None:
         return rows
-    schema = T.StructType([*rows.schema.fields, T.StructField(CORRUPT, T.StringType())])
-    marked = reader().schema(schema).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    return marked.withColumn(ragged, csv_values(F.col(CORRUPT))).drop(CORRUPT)
+    names = rows.columns
+    reader_text = spark.read.option("recursiveFileLookup", recursive)
+    lines = reader_text.text(path).select(
+        F.col("_metadata.file_path").alias("object"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    headed = _headed(_records(lines, multi_line))
+    other = ~csv_values(F.col("headers")).eqNullSafe(F.array(*[F.lit(n) for n in names]))
+    same = F.when(other, F.raise_error(F.concat(F.lit("another header in "), "object")).cast("boolean")).otherwise(True)
+    values = [F.nullif(F.get("fields", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]
+    return headed.filter(same).select(*values, F.when(F.size("fields") != len(names), F.col("fields")).alias(ragged))
+
+
+def _headed(records: DataFrame) -> DataFrame:
+    """Rows ``(object, headers, fields)``: the first record of each object is the header of the others."""
+    place = F.struct("block", "line")
+    first = records.groupBy("object").agg(F.min(place).alias("_first"), F.min_by("value", place).alias("headers"))
+    rows = records.join(first, "object").filter(place != F.col("_first"))
+    return rows.select("object", "headers", csv_values(F.col("value")).alias("fields"))
 
 
 def scan_headed_files(
@@ -105,30 +213,19 @@ def scan_headed_files(
 
     All files are read in one scan, however many headers there are; records may have any number of
     values. ``only`` is a table of the wanted files in one column, as paths below ``path``: the semi join with it comes
-    before anything else, and no names pass through the driver. ``headers`` is the first line of the file,
-    ``fields`` the values of a record. With ``multi_line`` quoted values may span lines; a file is then one row at first.
+    before anything else, and no names pass through the driver. ``headers`` is the first record of the file,
+    ``fields`` the values of a record (see :func:`csv_values`). With ``multi_line`` quoted values may span lines; line
+    ends in them are line feeds. Large files are split either way. A quote that is never closed makes the rest of its
+    file one value.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     name = F.substring_index(name, f"{path.rstrip('/')}/", -1).alias("object")
-    if multi_line:
-        record = r'(?:[^"\r\n]|"(?:[^"]|"")*")+'
-        files = reader.text(path, wholetext=True).select(name, "value")
-        if only is not None:
-            files = files.join(only.toDF("object"), "object", "left_semi")
-        files = files.select("object", F.regexp_extract_all("value", F.lit(record), F.lit(0)).alias("records"))
-        headed = files.select("object", F.get("records", F.lit(0)).alias("headers"), F.posexplode("records").alias("at", "record"))
-        rows = headed.filter("at > 0")
-    else:
-        order = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at")
-        lines = reader.text(path).select(name, order, "value").filter(F.trim("value") != "")
-        if only is not None:
-            lines = lines.join(only.toDF("object"), "object", "left_semi")
-        # The first line of a file has the lowest number of its first block.
-        first = lines.groupBy("object").agg(F.min("at").alias("first"), F.min_by("value", "at").alias("headers"))
-        rows = lines.join(first, "object").filter(~F.col("at").eqNullSafe(F.col("first")))
-        rows = rows.withColumnRenamed("value", "record")
-    return rows.select("object", "headers", csv_values(F.col("record")).alias("fields"))
+    order = F.monotonically_increasing_id().alias("at")
+    lines = reader.text(path).select(name, F.col("_metadata.file_block_start").alias("block"), order, "value")
+    if only is not None:
+        lines = lines.join(only.toDF("object"), "object", "left_semi")
+    return _headed(_records(lines, multi_line))
 
 
 def object_listing(spark: SparkSession, path: str) -> DataFrame:
