@@ -1,7 +1,7 @@
 """Column-level building blocks."""
 
 from tidemark.functions.draws import hash_uniform, weighted_choice
-from tidemark.functions.json_text import is_one_value
+from tidemark.functions.json_text import is_one_value, may_go_on, one_object, one_variant
 from tidemark.functions.once import computed_once
 from tidemark.functions.partitions import (
     TIME_KEYS,
@@ -19,6 +19,9 @@ __all__ = [
     "computed_once",
     "hash_uniform",
     "is_one_value",
+    "may_go_on",
+    "one_object",
+    "one_variant",
     "partition_path",
     "path_value",
     "path_values",

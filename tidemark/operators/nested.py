@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.json_text import is_one_value
+from tidemark.functions.json_text import one_variant
 from tidemark.functions.once import computed_once
-from tidemark.session import scratch_dir
+from tidemark.session import scratch_dir, session_settings
 
 # More columns than this are better read as rows of paths.
 MAX_COLUMNS = 2_000
@@ -144,11 +144,11 @@ def flatten_paths(df: DataFrame, id_col: str, json_col: str, max_depth: int | No
     value is kept under a null path. With ``max_depth`` each level is one generator in one stage, and what lies
     below is kept as JSON text. Without it, passes of a few levels go on until nothing is nested: each writes
     what it made to the shared folder, and the next opens only what is still nested. Nothing is shuffled,
-    and the plan of a pass does not grow with the data.
+    and the plan of a pass does not grow with the data. Of a repeated key the last one counts.
     """
     text = F.col(json_col)
     rows = df.filter(text.isNotNull()).select(F.col(id_col).alias("_id"), text.alias("_text"))
-    rows = computed_once(rows, "_v", F.when(is_one_value(F.col("_text")), F.try_parse_json("_text")))
+    rows = computed_once(rows, "_v", one_variant(F.col("_text")))
     parsed = F.col("_v").isNotNull()
     rows = rows.select("_id", F.when(parsed, "").alias("_path"), F.when(~parsed, F.col("_text")).alias("_text"), "_v")
     if max_depth is not None:
@@ -159,7 +159,8 @@ def flatten_paths(df: DataFrame, id_col: str, json_col: str, max_depth: int | No
     while True:
         path = scratch_dir(df.sparkSession, "flatten")
         opened = _opened(rows, LEVELS_PER_PASS)
-        opened.withColumn("_nested", nested).write.parquet(path)
+        with session_settings(df.sparkSession, {"spark.sql.variant.allowDuplicateKeys": "true"}):
+            opened.withColumn("_nested", nested).write.parquet(path)
         made = df.sparkSession.read.schema(opened.schema.add("_nested", "boolean")).parquet(path)
         part = _paths(made.filter(~F.col("_nested")).drop("_nested"), id_col)
         done = part if done is None else done.union(part)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.json_text import is_one_value
+from tidemark.functions.json_text import one_object
 from tidemark.functions.once import computed_once
 
 # Layout of a queue body, of the notice inside it, and of a row event.
@@ -31,8 +31,8 @@ def unnest_notifications(
     for the caller to reject. ``first_only`` takes just the first record of each notice.
     ``keep_body`` keeps the body too, so that a reject can be read again.
     """
-    message = F.when(is_one_value(F.col(body)), F.from_json(F.col(body), BODY_SCHEMA)).getField("Message")
-    records = F.when(is_one_value(F.col("_message")), F.from_json("_message", NOTICE_SCHEMA)).getField("Records")
+    message = one_object(F.col(body), BODY_SCHEMA).getField("Message")
+    records = one_object(F.col("_message"), NOTICE_SCHEMA).getField("Records")
     if first_only:
         records = F.slice(records, 1, 1)
     keep = [c for c in df.columns if keep_body or c != body]

@@ -84,6 +84,8 @@ def event_lines(events: DataFrame) -> DataFrame:
     head = F.concat(F.lit('{"event_id":'), number, F.lit(',"event_type":"'), "event_type", F.lit('","value":'))
     kind = F.pmod("event_id", F.lit(7))
     good = F.concat(head, F.col("value").cast("string"), F.lit("}"))
+    # Some repeat a key; the last one counts.
+    good = F.when(F.pmod("event_id", F.lit(11)) == 4, F.concat(F.lit('{"event_type":"first","value":0.5,'), F.substr(good, F.lit(2)))).otherwise(good)
     line = (
         F.when(kind == 2, F.concat(good, good))
         .when(kind == 3, F.concat(head, F.lit('"oops"}')))
@@ -228,6 +230,7 @@ def change_records(orders: DataFrame) -> DataFrame:
         F.when(kind == 0, F.concat(F.lit("not json "), F.col("o_orderkey").cast("string")))
         .when(kind == 1, '{"Records":null}')
         .when(kind == 2, '{"Records":[]} tail')
+        .when(kind == 3, F.concat(F.lit('{"Records":null,'), F.substr(F.to_json(F.struct(records.alias("Records"))), F.lit(2))))
         .otherwise(F.to_json(F.struct(records.alias("Records"))))
     )
     return orders.select("o_orderkey", body.alias("body"))

@@ -16,10 +16,11 @@ _RAW = (
 )
 _ID = "CAST(event_id AS VARCHAR)"
 _HEAD = f"""'{{"event_id":' || {_ID} || ',"event_type":"' || event_type || '","value":'"""
-_GOOD = f"({_HEAD} || CAST(value AS VARCHAR) || '}}')"
+_PLAIN = f"({_HEAD} || CAST(value AS VARCHAR) || '}}')"
+_GOOD = f"""CASE WHEN event_id % 11 = 4 THEN '{{"event_type":"first","value":0.5,' || substr({_PLAIN}, 2) ELSE {_PLAIN} END"""
 _LINES = f"""SELECT event_id, event_type, value, event_id % 7 AS kind,
   CASE event_id % 7 WHEN 3 THEN {_HEAD} || '"oops"}}' WHEN 5 THEN 'event ' || {_ID}
-  WHEN 2 THEN {_GOOD} || {_GOOD} WHEN 6 THEN {_GOOD} || ' tail' ELSE {_GOOD} END AS line FROM events"""
+  WHEN 2 THEN ({_GOOD}) || ({_GOOD}) WHEN 6 THEN ({_GOOD}) || ' tail' ELSE ({_GOOD}) END AS line FROM events"""
 _ROUTED = f"""SELECT CASE WHEN kind IN (0, 1, 4) THEN event_id END AS event_id,
   CASE WHEN kind IN (0, 1, 4) THEN event_type END AS event_type,
   CASE WHEN kind IN (0, 1, 4) THEN value END AS value,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +20,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # As in other JSON readers, the last of a repeated key counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 _local_root: str | None = None
@@ -36,6 +40,19 @@ def build_session(
     return builder.getOrCreate()
 
 
+@contextmanager
+def session_settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Settings for what runs inside; the session has its own again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """Fresh folder path below the shared folder named by ``spark.checkpoint.dir``.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.json_text import is_one_value
+from tidemark.functions.json_text import one_object
 from tidemark.functions.once import computed_once
 from tidemark.functions.typed_attributes import NUMBER_TAG, attribute_schema
 
@@ -33,11 +33,10 @@ def scan_change_images(df: DataFrame, body: str = "body") -> tuple[DataFrame, Da
 
     ``body`` is JSON text holding an array ``Records``; other columns are kept on both sides. A body
     without that array, or with text after its value, is unreadable and stays as it is. An empty
-    array has no records and is no reject.
+    array has no records and is no reject. Of a repeated key the last one counts.
     """
-    parsed = F.when(is_one_value(F.col(body)), F.from_json(F.col(body), CHANGE_RECORD_SCHEMA))
     keep = [c for c in df.columns if c != body]
-    read = computed_once(df, "_records", parsed.getField("Records"))
+    read = computed_once(df, "_records", one_object(F.col(body), CHANGE_RECORD_SCHEMA).getField("Records"))
     exploded = read.select(*keep, F.explode("_records").alias("_record"))
     images = exploded.select(
         *keep,

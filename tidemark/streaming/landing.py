@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tidemark.functions.json_text import is_one_value
+from tidemark.functions.json_text import STRICT, is_one_value, may_go_on
 from tidemark.functions.once import computed_once
 from tidemark.functions.partitions import time_parts
 
@@ -51,10 +51,11 @@ def _parse_records(df: DataFrame, schema: T.StructType, value: str) -> DataFrame
     """Add the parsed record ``_r`` and the flag ``_failed``."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parse = F.from_json(F.col(value), with_corrupt, options)
-    parsed = computed_once(df, "_r", F.when(is_one_value(F.col(value)), parse))
-    failed = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
-    return parsed.select("*", failed.alias("_failed"))
+    parsed = computed_once(df, "_r", F.from_json(F.col(value), with_corrupt, {**STRICT, **options}))
+    wrong = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
+    # What comes after the object is looked at only where something may.
+    failed = F.when(wrong, True).when(may_go_on(F.col(value)), ~is_one_value(F.col(value))).otherwise(False)
+    return computed_once(parsed, "_failed", failed)
 
 
 def _split_records(
@@ -71,7 +72,7 @@ def route_malformed(
 
     A record fails when it is not exactly one JSON value (also when more text follows the
     value) or when any field has the wrong type.
-    Unknown fields are ignored, missing ones are null. Other columns are kept on
+    Unknown fields are ignored, missing ones are null, of a repeated key the last one counts. Other columns are kept on
     both sides; failed records keep their text.
     """
     keep = [c for c in df.columns if c != value]
