@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import operators as ops
 from tidemark import sources, streaming
-from tidemark.functions import is_one_value, may_go_on, one_object, one_variant
+from tidemark.functions import ends_there, is_one_value, may_go_on, one_object, one_variant
 
 ONE = ['{"a":1}', ' {"a":1,"b":{"a":2}}\n', "[1,[2]]", "5", '"x"', "null", '{"a":1,"a":2}', '{"a":"]}"}', "{}", "[]", '"] , ["']
 NOT_ONE = [
@@ -21,6 +21,13 @@ def test_one_value(spark):
     assert got == {**dict.fromkeys(ONE, True), **dict.fromkeys(NOT_ONE, False)}
 
 
+def test_ends_there(spark):
+    """Texts that a parser takes by their first value; single quotes are for the parser to reject."""
+    df = spark.createDataFrame([(t,) for t in ONE + NOT_ONE], "t string")
+    got = {r.t for r in df.where(ends_there(F.col("t"))).collect()}
+    assert got - {"{'a':1}", "NaN"} == set(ONE)
+
+
 def test_one_variant(spark):
     df = spark.createDataFrame([(t,) for t in ONE + NOT_ONE], "t string")
     got = df.select("t", F.to_json(one_variant(F.col("t"))).alias("v")).where("v IS NOT NULL")

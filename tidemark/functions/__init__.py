@@ -1,7 +1,7 @@
 """Column-level building blocks."""
 
 from tidemark.functions.draws import hash_uniform, weighted_choice
-from tidemark.functions.json_text import is_one_value, may_go_on, one_object, one_variant
+from tidemark.functions.json_text import ends_there, is_one_value, may_go_on, one_object, one_variant
 from tidemark.functions.once import computed_once
 from tidemark.functions.partitions import (
     TIME_KEYS,
@@ -17,6 +17,7 @@ __all__ = [
     "TIME_KEYS",
     "attribute_schema",
     "computed_once",
+    "ends_there",
     "hash_uniform",
     "is_one_value",
     "may_go_on",

@@ -32,6 +32,12 @@ def is_one_value(text: Column) -> Column:
     return F.coalesce(F.get(whole, F.lit(0)), F.lit(False))
 
 
+def ends_there(text: Column) -> Column:
+    """Whether nothing comes after the first JSON value of a text, which is passed over, not made."""
+    sealed = _sealed(text, F.concat(F.lit('"'), _mark(text), F.lit('"')))
+    return F.coalesce(F.get_json_object(sealed, "$[1]") == _mark(text), F.lit(False))
+
+
 def one_object(text: Column, fields: str) -> Column:
     """The fields (a struct type) of a text that is exactly one JSON object, else null; parsed once."""
     inner = fields.strip().removeprefix("struct<").removesuffix(">")

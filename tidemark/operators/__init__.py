@@ -18,7 +18,14 @@ from tidemark.operators.metrics import (
     period_averages,
 )
 from tidemark.operators.nested import flatten_columns, flatten_paths
-from tidemark.operators.notices import read_notices, require_fields, row_to_event, split_images, unnest_notifications
+from tidemark.operators.notices import (
+    distinct_notices,
+    read_notices,
+    require_fields,
+    row_to_event,
+    split_images,
+    unnest_notifications,
+)
 from tidemark.operators.orders import clean_orders, order_fields, revenue_by_state, synthetic_orders, top_sku
 from tidemark.operators.partitions import (
     SENSOR_RANGES,
@@ -36,6 +43,7 @@ from tidemark.operators.profile import table_profile
 from tidemark.operators.shape import apply_mapping, drop_null_fields, resolve_choice
 
 __all__ = [
+    "distinct_notices",
     "OBJECT_NAMES",
     "SENSOR_RANGES",
     "alarm_states",

@@ -12,7 +12,7 @@ from tidemark.functions.json_text import one_object
 from tidemark.functions.once import computed_once
 
 # Layout of a queue body, of the notice inside it, and of a row event.
-BODY_SCHEMA = "struct<Message: string>"
+BODY_SCHEMA = "struct<Message: string, Records: string>"
 NOTICE_SCHEMA = (
     "struct<Records: array<struct<s3: struct<object: struct<key: string>, "
     "bucket: struct<name: string, arn: string>>>>>"
@@ -26,12 +26,14 @@ def unnest_notifications(
 ) -> DataFrame:
     """One row ``(key, bucket, arn)`` per object named in a queue body; other columns are kept.
 
-    The body is JSON whose ``Message`` is JSON again. A body without a message or
+    The body is JSON whose ``Message`` is JSON again, or it is the notice itself. A body without a message or
     without records, or one that is not exactly one JSON value, gives one row of nulls,
     for the caller to reject. ``first_only`` takes just the first record of each notice.
     ``keep_body`` keeps the body too, so that a reject can be read again.
     """
-    message = one_object(F.col(body), BODY_SCHEMA).getField("Message")
+    outer = one_object(F.col(body), BODY_SCHEMA)
+    bare = lambda o: F.when(o.getField("Records").isNotNull(), F.col(body))
+    message = F.get(F.transform(F.array(outer), lambda o: F.coalesce(o.getField("Message"), bare(o))), F.lit(0))
     records = one_object(F.col("_message"), NOTICE_SCHEMA).getField("Records")
     if first_only:
         records = F.slice(records, 1, 1)
@@ -52,6 +54,21 @@ def read_notices(df: DataFrame, body: str = "body", first_only: bool = False) ->
     return kept.drop(body), rejected
 
 
+def distinct_notices(
+    df: DataFrame, ts: str, within: str = "1 hour", body: str = "body", first_only: bool = False
+) -> DataFrame:
+    """Objects with key, bucket and arn, each once though queues get notices twice (wrapped and bare, or again).
+
+    On a stream a notice counts as the same if it comes within the given time of the first, by ``ts``; what is kept
+    for that is bounded by this time, and rows later than it are left out. On a batch all of one object are the same.
+    """
+    identity = ["key", "bucket", "arn"]
+    kept, _ = require_fields(unnest_notifications(df, body, first_only), identity)
+    if df.isStreaming:
+        return kept.withWatermark(ts, within).dropDuplicatesWithinWatermark(identity)
+    return kept.dropDuplicates(identity)
+
+
 def require_fields(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Split into rows with every field present and the rest. Empty text counts as present."""
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])

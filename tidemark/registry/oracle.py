@@ -214,6 +214,17 @@ ORACLE: dict[str, str] = {
       b AS (SELECT *, CAST(sum(CAST(average > 60 AS INTEGER)) OVER (PARTITION BY event_type ORDER BY period
         ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS breaches FROM p)
       SELECT period, event_type, round(average, 6) AS average, breaches, breaches >= 2 AS alarm FROM b""",
+    "stream_alarm": """WITH p AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS period, event_type, avg(value) AS average
+        FROM events GROUP BY 1, 2),
+      b AS (SELECT *, CAST(sum(CAST(average > 60 AS INTEGER)) OVER (PARTITION BY event_type ORDER BY period
+        ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS breaches FROM p)
+      SELECT period, event_type, round(average, 6) AS average, breaches, breaches >= 2 AS alarm FROM b
+      WHERE period + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
+    "stream_since": f"""SELECT * FROM ({_RAW}) WHERE strptime(ts, '%Y-%m-%d %H:%M:%S') >=
+      (SELECT date_trunc('hour', max(ts) - INTERVAL 36 HOURS) FROM events)""",
+    "land_sized": _RAW,
+    "distinct_notices": f"""SELECT DISTINCT doc_id, key, bucket, arn FROM ({_NOTICES})
+      WHERE key <> '' AND bucket IS NOT NULL AND arn IS NOT NULL""",
     "curated_events": """SELECT event_type, day(ts) AS day, count(*) AS records,
       min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS first_datetime, max(value) AS max_value, false AS has_note
       FROM events GROUP BY 1, 2""",

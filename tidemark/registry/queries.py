@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,9 +123,37 @@ def stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, _event_stream(spark, sf_dir), "stream_source")
 
 
+@_query
+def stream_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the folders from 36 hours before the last one, in bounded batches; older folders are not listed."""
+    last = _events(spark, sf_dir).agg(F.max("ts")).first()[0]
+    schema = T.StructType(EVENT_SCHEMA.fields + TEXT_PARTITIONS.fields)
+    stream = streaming.stream_source(
+        spark,
+        inputs.landed_events(spark, sf_dir),
+        schema,
+        max_bytes=streaming.BUFFER_BYTES,
+        arrival_keys=tuple(TIME_KEYS),
+        since=last - timedelta(hours=36),
+    )
+    return _drained(spark, stream, "stream_since")
+
+
 # Sinks
 
 
+@_query
+def land_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events landed in batches; days before the 10th are closed and compacted, the others are read as they came."""
+    root = scratch_dir(spark, "land_sized")
+    stream = streaming.stream_source(spark, inputs.landed_records(spark, sf_dir), EVENT_SCHEMA, max_files=1)
+    stream = ops.time_partition_columns(stream, "ts")
+    keys = ("year", "month", "day")
+    streaming.land_sized(stream, f"{root}/out", f"{root}/checkpoint", keys, available_now=True).awaitTermination()
+    streaming.compact_landed(spark, f"{root}/out", stream.schema, keys, F.col("day") < "10")
+    return streaming.read_landed(spark, f"{root}/out", stream.schema, keys)
+
+
 @_query
 def write_partitioned_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "parquet")
@@ -357,6 +386,21 @@ def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Unnest and generate
 
 
+@_query
+def distinct_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue that gets each notice wrapped and, a second later, bare: one row per object."""
+    path = scratch_dir(spark, "doubled")
+    wrapped = inputs.notices(table(spark, sf_dir, "documents")).withColumn("ts", F.timestamp_seconds("doc_id"))
+    bare = wrapped.withColumns(
+        {"body": F.get_json_object("body", "$.Message"), "ts": F.timestamp_seconds(F.col("doc_id") + 1)}
+    )
+    both = wrapped.unionByName(bare.filter("body IS NOT NULL"))
+    both.write.parquet(path)
+    stream = streaming.stream_source(spark, path, both.schema, data_format="parquet")
+    found = ops.distinct_notices(stream, "ts", "1 hour").filter("key <> ''").select("doc_id", "key", "bucket", "arn")
+    return _drained(spark, found, "distinct_notices")
+
+
 @_query
 def unnest_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.unnest_notifications(inputs.notices(table(spark, sf_dir, "documents")))
@@ -496,6 +540,20 @@ def m_of_n_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(alarm.select(_ntz("period"), "event_type", average, "breaches", "alarm"), "breaches")
 
 
+@_query
+def stream_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same alarm on a stream of the events, for the periods that the watermark closes."""
+    schema = _events(spark, sf_dir).schema
+    rows = streaming.stream_source(spark, sf_dir, schema, data_format="parquet", glob="events.parquet")
+    rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    root, keys = scratch_dir(spark, "stream_alarm"), ["event_type"]
+    streaming.stream_alarm(
+        rows, "ts", "value", f"{root}/out", f"{root}/checkpoint", "10 minutes", keys, available_now=True
+    ).awaitTermination()
+    alarm = streaming.read_alarms(spark, f"{root}/out", rows, "ts", "value", keys)
+    return alarm.select(_ntz("period"), "event_type", F.round("average", 6).alias("average"), "breaches", "alarm")
+
+
 # Whole jobs
 
 

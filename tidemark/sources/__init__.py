@@ -1,6 +1,7 @@
 """Batch sources."""
 
 from tidemark.sources.files import (
+    later_folders,
     object_listing,
     projected_glob,
     scan_csv_header,
@@ -12,6 +13,7 @@ from tidemark.sources.records import decode_typed_attributes, scan_change_images
 
 __all__ = [
     "decode_typed_attributes",
+    "later_folders",
     "object_listing",
     "projected_glob",
     "scan_change_images",

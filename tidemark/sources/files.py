@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.partitions import TIME_KEYS
+
 
 def scan_partitioned_json(
     spark: SparkSession,
@@ -45,6 +48,28 @@ def projected_glob(values: Mapping[str, Sequence[str] | None]) -> str:
     return "/".join(parts)
 
 
+# Last month of a year, day of a month and hour of a day.
+LAST_VALUES = {"month": 12, "day": 31, "hour": 23}
+YEARS_AHEAD = 30
+
+
+def later_folders(at: datetime, keys: Sequence[str] = tuple(TIME_KEYS)) -> str:
+    """Glob of the ``key=value`` time folders at or after a time, from year down to any of the keys.
+
+    It names the later years (:data:`YEARS_AHEAD`), then the later months of this one and so on, about a hundred
+    patterns in all. A listing that follows it never opens an earlier folder, however many there are.
+    """
+    wanted, same = [], []
+    for level, key in enumerate(keys):
+        now, width = getattr(at, key), TIME_KEYS[key][1]
+        first = now if level == len(keys) - 1 else now + 1
+        last = LAST_VALUES.get(key, now + YEARS_AHEAD)
+        below = [f"{k}=*" for k in keys[level + 1 :]]
+        wanted += ["/".join([*same, f"{key}={v:0{width}d}", *below]) for v in range(first, last + 1)]
+        same.append(f"{key}={now:0{width}d}")
+    return "{" + ",".join(wanted) + "}"
+
+
 def scan_inferred_json(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> DataFrame:
     """JSON lines without a declared schema.
 

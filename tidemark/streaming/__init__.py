@@ -1,5 +1,6 @@
 """Structured Streaming sources and landing."""
 
+from tidemark.streaming.alarms import read_alarms, stream_alarm
 from tidemark.streaming.landing import (
     BUFFER_BYTES,
     BUFFER_INTERVAL,
@@ -8,14 +9,20 @@ from tidemark.streaming.landing import (
     stream_raw_backup,
     stream_to_parquet,
 )
+from tidemark.streaming.sized import compact_landed, land_sized, read_landed
 from tidemark.streaming.sources import order_stream, stream_source, topic_source
 
 __all__ = [
     "BUFFER_BYTES",
     "BUFFER_INTERVAL",
+    "compact_landed",
+    "land_sized",
     "land_stream",
     "order_stream",
+    "read_alarms",
+    "read_landed",
     "route_malformed",
+    "stream_alarm",
     "stream_raw_backup",
     "stream_source",
     "stream_to_parquet",

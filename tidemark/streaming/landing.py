@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cache
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.json_text import STRICT, is_one_value, may_go_on
+from tidemark.functions.json_text import STRICT, ends_there, may_go_on
 from tidemark.functions.once import computed_once
 from tidemark.functions.partitions import time_parts
+from tidemark.streaming.batches import batch_folder, each_batch, triggered
 
 # Buffering of the landing stream.
 BUFFER_INTERVAL = "60 seconds"
@@ -21,10 +21,6 @@ BUFFER_BYTES = 128 * 1024 * 1024
 CORRUPT = "_corrupt_record"
 
 
-def _triggered(writer: DataStreamWriter, interval: str, available_now: bool) -> DataStreamWriter:
-    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-
-
 def stream_to_parquet(
     stream: DataFrame,
     path: str,
@@ -39,12 +35,12 @@ def stream_to_parquet(
     (``max_bytes=BUFFER_BYTES``).
     """
     if keys:
-        # Else every task of a batch writes into every folder. A batch is bounded, so a hot folder is too.
+        # Else every task of a batch writes into every folder. Where a batch fills one folder, use land_sized.
         stream = stream.repartition(*keys)
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if keys:
         writer = writer.partitionBy(*keys)
-    return _triggered(writer, interval, available_now).start()
+    return triggered(writer, interval, available_now).start()
 
 
 def _parse_records(df: DataFrame, schema: T.StructType, value: str) -> DataFrame:
@@ -54,7 +50,7 @@ def _parse_records(df: DataFrame, schema: T.StructType, value: str) -> DataFrame
     parsed = computed_once(df, "_r", F.from_json(F.col(value), with_corrupt, {**STRICT, **options}))
     wrong = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
     # What comes after the object is looked at only where something may.
-    failed = F.when(wrong, True).when(may_go_on(F.col(value)), ~is_one_value(F.col(value))).otherwise(False)
+    failed = F.when(wrong, True).when(may_go_on(F.col(value)), ~ends_there(F.col(value))).otherwise(False)
     return computed_once(parsed, "_failed", failed)
 
 
@@ -79,10 +75,6 @@ def route_malformed(
     return _split_records(_parse_records(df, schema, value), schema, value, keep)
 
 
-def _batch_folder(path: str, stream_id: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/stream_id={stream_id}/batch_id={batch_id}"
-
-
 def stream_raw_backup(
     batch: DataFrame,
     path: str,
@@ -98,7 +90,7 @@ def stream_raw_backup(
     """
     parts = time_parts(F.current_timestamp() if arrival is None else arrival)
     lines = batch.select(F.col(value).alias("value"), *[c.alias(k) for k, c in parts.items()])
-    lines.write.mode("overwrite").partitionBy(*parts).text(_batch_folder(path, stream_id, batch_id))
+    lines.write.mode("overwrite").partitionBy(*parts).text(batch_folder(path, stream_id, batch_id))
 
 
 def land_stream(
@@ -121,25 +113,20 @@ def land_stream(
     Spark keeps in the checkpoint, as a new checkpoint counts its batches from zero.
     """
 
-    @cache
-    def stream_id() -> str:
-        return stream.sparkSession.read.json(f"{checkpoint}/metadata").first().id
-
-    def land(batch: DataFrame, batch_id: int) -> None:
+    def land(batch: DataFrame, stream_id: str, batch_id: int) -> None:
         arrived = F.current_timestamp() if arrival is None else arrival
         stamped = batch.select(F.col(value).alias("value"), arrived.alias("_arrived"))
         parsed = _parse_records(stamped, schema, "value").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            stream_raw_backup(parsed, raw, stream_id(), batch_id, arrival=F.col("_arrived"))
+            stream_raw_backup(parsed, raw, stream_id, batch_id, arrival=F.col("_arrived"))
             good, bad = _split_records(parsed, schema, "value", ["_arrived"])
             keys = time_parts(F.col("_arrived"))
             for part, path, data_format in ((good, curated, "parquet"), (bad, failed, "text")):
                 rows = part.withColumns(keys).drop("_arrived")
                 rows.write.format(data_format).mode("overwrite").partitionBy(*keys).save(
-                    _batch_folder(path, stream_id(), batch_id)
+                    batch_folder(path, stream_id, batch_id)
                 )
         finally:
             parsed.unpersist()
 
-    writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
-    return _triggered(writer, interval, available_now).start()
+    return each_batch(stream, checkpoint, land, interval, available_now)
