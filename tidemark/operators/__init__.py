@@ -10,6 +10,7 @@ from tidemark.operators.detections import (
     label_lookup,
     score_threshold,
 )
+from tidemark.operators.drift import field_types, merged_schema, schema_drift
 from tidemark.operators.metrics import (
     alarm_states,
     m_of_n_alarm,
@@ -43,6 +44,9 @@ from tidemark.operators.profile import table_profile
 from tidemark.operators.shape import apply_mapping, drop_null_fields, resolve_choice
 
 __all__ = [
+    "field_types",
+    "merged_schema",
+    "schema_drift",
     "distinct_notices",
     "OBJECT_NAMES",
     "SENSOR_RANGES",

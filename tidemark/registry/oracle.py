@@ -44,6 +44,10 @@ _SCORES = """SELECT vec_id, CAST(label * 8 + i % 8 AS DOUBLE) AS class,
 _BEST = f"SELECT vec_id, class, max(score) AS score FROM ({_SCORES}) WHERE score > 0.15 GROUP BY vec_id, class"
 _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(OBJECT_NAMES))
 
+_DRIFT = """SELECT strftime(ts, '%Y-%m-%d') AS day, unnest(['id', 'mixed', 'real', 'none', 'more']) AS field,
+  unnest(CASE WHEN day(ts) % 2 = 1 THEN ['BIGINT', 'BIGINT', 'BIGINT', 'VOID']
+    ELSE ['BIGINT', 'STRING', 'DOUBLE', 'VOID', 'OBJECT'] END) AS type FROM events"""
+_DRIFT = f"SELECT * FROM ({_DRIFT}) WHERE type IS NOT NULL"
 _UPLOADED_NAME = f"""CASE WHEN c_custkey % 1000 = 7 THEN repeat(',"', {LONG_VALUE}) WHEN c_custkey % 5 = 0 THEN c_name || 'x'
   WHEN c_custkey % 5 = 1 THEN c_name || ', open' WHEN c_custkey % 5 = 2 THEN c_name || '"y"' ELSE c_name END"""
 
@@ -214,6 +218,19 @@ ORACLE: dict[str, str] = {
       b AS (SELECT *, CAST(sum(CAST(average > 60 AS INTEGER)) OVER (PARTITION BY event_type ORDER BY period
         ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS breaches FROM p)
       SELECT period, event_type, round(average, 6) AS average, breaches, breaches >= 2 AS alarm FROM b""",
+    "try_records": """SELECT o_orderkey, CASE WHEN o_orderkey % 20 <> 0 THEN o_custkey END AS customer,
+      CASE WHEN o_orderkey % 20 = 0 THEN 3 WHEN o_orderkey % 20 = 1 THEN greatest(2, 1 + o_custkey % 3)
+        ELSE 1 + o_custkey % 3 END AS tries,
+      CASE WHEN o_orderkey % 20 = 0 THEN 'dead' ELSE 'done' END AS state,
+      CASE WHEN o_orderkey % 20 = 0 THEN 'no customer' END AS cause FROM orders""",
+    "run_scripts": """SELECT event_type, count(*) AS records, CAST(3 AS BIGINT) AS run_1, CAST(0 AS BIGINT) AS run_2
+      FROM events GROUP BY event_type""",
+    "field_types": f"SELECT day, field, type, count(*) AS records FROM ({_DRIFT}) GROUP BY ALL",
+    "schema_drift": f"""WITH t AS (SELECT DISTINCT day, field, type FROM ({_DRIFT})),
+      d AS (SELECT count(DISTINCT day) AS partitions FROM t)
+      SELECT field, CASE field WHEN 'real' THEN 'DOUBLE' WHEN 'mixed' THEN 'STRING' ELSE min(type) END AS merged,
+        partitions, count(*) AS holding, count(DISTINCT type) AS kinds FROM t, d GROUP BY field, partitions
+      HAVING count(*) < partitions OR count(DISTINCT type) > 1""",
     "stream_alarm": """WITH p AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS period, event_type, avg(value) AS average
         FROM events GROUP BY 1, 2),
       b AS (SELECT *, CAST(sum(CAST(average > 60 AS INTEGER)) OVER (PARTITION BY event_type ORDER BY period

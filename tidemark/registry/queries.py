@@ -78,6 +78,27 @@ def scan_ragged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("all_values", F.array_join("all_values", "|"))
 
 
+def _drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON per day, with a field that some days lack and one whose type changes."""
+    day, number = F.date_format("ts", "yyyy-MM-dd"), F.col("event_id").cast("string")
+    odd = F.pmod(F.dayofmonth("ts"), F.lit(2)) == 1
+    mixed = F.when(odd, number).otherwise(F.concat(F.lit('"'), number, F.lit('"')))
+    real = F.when(odd, number).otherwise(F.concat(number, F.lit(".5")))
+    more = F.when(odd, F.lit("")).otherwise(F.lit(',"more":{"x":[1]}'))
+    text = F.concat(F.lit('{"id":'), number, F.lit(',"mixed":'), mixed, F.lit(',"real":'), real, more, F.lit(',"none":null}'))
+    return _events(spark, sf_dir).select(day.alias("day"), text.alias("json"))
+
+
+@_query
+def field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.field_types(_drifting(spark, sf_dir), "json", ["day"])
+
+
+@_query
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.schema_drift(ops.field_types(_drifting(spark, sf_dir), "json", ["day"]), ["day"])
+
+
 @_query
 def decode_typed_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lng = F.when(F.col("s_nationkey") == 1, "n/a").otherwise(F.col("s_acctbal").cast("string"))
@@ -154,6 +175,48 @@ def land_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.read_landed(spark, f"{root}/out", stream.schema, keys)
 
 
+@_query
+def try_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose customers become known from round to round; some never are, some are repaired after the first."""
+    path = scratch_dir(spark, "ledger")
+    kind = F.pmod("o_orderkey", F.lit(20))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("right"))
+    broken = F.when(kind == 0, F.lit(None)).when(kind == 1, -1).otherwise(F.col("right")).alias("customer")
+    fresh = orders.select("o_orderkey", broken)
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"))
+
+    def attempt(number: int) -> Callable[[DataFrame], DataFrame]:
+        known = customers.filter(F.pmod("customer", F.lit(3)) < number).withColumn("_known", F.lit(True))
+        cause = F.when(F.col("customer").isNull(), "no customer").when(F.col("_known").isNull(), "unknown customer")
+        return lambda rows: rows.join(known, "customer", "left").withColumn("cause", cause)
+
+    for number in (1, 2, 3):
+        repairs = None
+        if number == 2:
+            failed = streaming.read_ledger(spark, path, fresh.schema).filter("customer = -1").select("o_orderkey", "record_id")
+            repairs = failed.join(orders, "o_orderkey").withColumnRenamed("right", "customer")
+        # Records come again in every round; they are tried once a round all the same.
+        streaming.try_records(spark, path, fresh, attempt(number), number, repairs)
+    return streaming.read_ledger(spark, path, fresh.schema).select("o_orderkey", "customer", "tries", "state", "cause")
+
+
+@_query
+def run_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made by numbered scripts and counted; a second run of the scripts has nothing to do."""
+    root = scratch_dir(spark, "scripts")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_SCHEMA.fields + TEXT_PARTITIONS.fields)
+    scripts = {
+        "scripted/10_drop.ddl": "DROP TABLE IF EXISTS tidemark_scripted",
+        "scripted/20_create.ddl": f"CREATE TABLE tidemark_scripted ({columns}) USING json "
+        f"PARTITIONED BY ({', '.join(TIME_KEYS)}) LOCATION '${{LOCATION}}'",
+        "scripted/30_partitions.ddl": "MSCK REPAIR TABLE tidemark_scripted",
+    }
+    values = {"scripted": {"LOCATION": inputs.landed_events(spark, sf_dir)}}
+    ran = [sinks.run_scripts(spark, scripts, f"{root}/log", values) for _ in range(2)]
+    counted = spark.table("tidemark_scripted").groupBy("event_type").agg(F.count("*").alias("records"))
+    return counted.select("*", *[F.lit(len(r)).cast("bigint").alias(f"run_{i}") for i, r in enumerate(ran, 1)])
+
+
 @_query
 def write_partitioned_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "parquet")

@@ -9,6 +9,7 @@ from tidemark.streaming.landing import (
     stream_raw_backup,
     stream_to_parquet,
 )
+from tidemark.streaming.retries import read_ledger, try_records
 from tidemark.streaming.sized import compact_landed, land_sized, read_landed
 from tidemark.streaming.sources import order_stream, stream_source, topic_source
 
@@ -21,10 +22,12 @@ __all__ = [
     "order_stream",
     "read_alarms",
     "read_landed",
+    "read_ledger",
     "route_malformed",
     "stream_alarm",
     "stream_raw_backup",
     "stream_source",
     "stream_to_parquet",
     "topic_source",
+    "try_records",
 ]
