@@ -213,6 +213,8 @@ ORACLE: dict[str, str] = {
       FROM (SELECT *, epoch_ms(arrived) - epoch_ms(ts) AS lag FROM e) GROUP BY 1, 2""",
     "top_sku": """SELECT l_partkey, count(*) AS sold FROM lineitem GROUP BY l_partkey
       ORDER BY sold DESC, l_partkey LIMIT 10""",
+    "stream_top": """SELECT l_partkey, count(*) AS sold FROM lineitem GROUP BY l_partkey
+      ORDER BY sold DESC, l_partkey LIMIT 10""",
     "m_of_n_alarm": """WITH p AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS period, event_type, avg(value) AS average
         FROM events GROUP BY 1, 2),
       b AS (SELECT *, CAST(sum(CAST(average > 60 AS INTEGER)) OVER (PARTITION BY event_type ORDER BY period

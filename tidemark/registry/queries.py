@@ -593,6 +593,17 @@ def top_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.top_sku(table(spark, sf_dir, "lineitem"), "l_partkey", 10)
 
 
+@_query
+def stream_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts sold most, from a stream: a bounded summary, then exact counts of what it cannot rule out."""
+    sold = table(spark, sf_dir, "lineitem").select("l_partkey")
+    rows = streaming.stream_source(spark, sf_dir, sold.schema, data_format="parquet", glob="lineitem.parquet")
+    root = scratch_dir(spark, "stream_top")
+    streaming.stream_top(rows, "l_partkey", f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    summary = streaming.read_summary(spark, f"{root}/out", sold.schema["l_partkey"].dataType)
+    return streaming.exact_top(summary, sold, "l_partkey", 10)
+
+
 # Windows
 
 
