@@ -276,6 +276,6 @@ def test_entry_lists_every_operator(spark):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= names and len(QUERIES) == 13
     assert set(entry.oracle_sql()) <= names
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
