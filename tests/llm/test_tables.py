@@ -246,6 +246,32 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near.near_duplicates(table.limit(0)).collect() == [] and near.keep_first(table.limit(0)).collect() == []
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id on different texts joins what is near either; the stage goes by texts and loses none."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b), (4, c), (4, ""), (5, None), (5, "")]
+    rows = [(i, t, "s") for i, t in rows]
+    found = near.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [
+        (1, 29, 1), (2, 29, 1), (2, 30, 1), (3, 29, 1), (4, 0, 4), (4, 29, 4), (5, 0, 5), (5, 0, 5)
+    ]
+    kept = near.keep_first(docs(spark, rows))
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, a), (2, b), (4, ""), (4, c), (5, "")]
+    assert kept.columns == docs(spark, rows).columns
+
+
+def test_one_id_on_many_texts_joins_no_strangers(spark):
+    """Groups of near texts under one id stay groups for the stage; in the query all are one document."""
+    texts = [" ".join(f"t{k}_{i}" for i in range(20 + k % 7)) for k in range(60)]
+    rows = [(7, t, "s") for t in texts] + [(100 + k, t.upper(), "s") for k, t in enumerate(texts)]
+    rows += [(1, texts[5] + " more", "s"), (2, texts[9], "s")]
+    found = near.near_duplicates(docs(spark, rows)).collect()
+    assert {r.component_id for r in found} == {1} and len(found) == len(rows)
+    kept = near.keep_first(docs(spark, rows)).collect()
+    expected = {(7, t) for k, t in enumerate(texts) if k not in (5, 9)} | {(1, texts[5] + " more"), (2, texts[9])}
+    assert {(r.doc_id, r.text) for r in kept} == expected and len(kept) == len(texts)
+
+
 # Pipeline
 
 

@@ -92,7 +92,7 @@ SKETCH = T.StructType(
 )
 
 
-def sketches(words: int, k: int) -> Callable[[], Callable]:
+def sketches(words: int, k: int | None) -> Callable[[], Callable]:
     def start() -> Callable:
         shingles = shingler(words)
 
@@ -111,10 +111,16 @@ def sketches(words: int, k: int) -> Callable[[], Callable]:
     return start
 
 
+SET = T.StructType([*SKETCH.fields[1:3], T.StructField("full", T.ArrayType(T.LongType()))])
+
+
 def full_sets(words: int) -> Callable[[], Callable]:
+    """The digests of a set as in its sketch, and the set: a sketch of as many values as there are."""
+    every = sketches(words, None)
+
     def start() -> Callable:
-        shingles = shingler(words)
-        return lambda texts: [arrays([shingles(t or b"") for t in texts])]
+        make = every()
+        return lambda texts: make(texts)[1:]
 
     return start
 
@@ -125,6 +131,10 @@ def least_shared(n: Column, how: Nearness) -> Column:
     return F.when(n * 100 <= how.k * how.percent, whole).otherwise(F.least(whole, F.lit(how.least)))
 
 
+# What a set is found by again.
+NAME = ["id", "k1", "k2"]
+
+
 def rarest(nodes: DataFrame, how: Nearness) -> DataFrame:
     """Inverted lists (value, node, n): of each node the retained values it can be found by.
 
@@ -153,10 +163,12 @@ def rare(df: DataFrame, how: Nearness) -> DataFrame:
 
 
 def with_sets(rows: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
-    """``rows`` with the full set of each ``node`` as an array ``full``, made anew from its text."""
-    full = T.StructType([T.StructField("full", T.ArrayType(T.LongType()))])
-    wanted = texts.join(rare(rows.select("node").distinct(), how), "node")
-    return per_text(wanted, "text", ["node"], full, full_sets(how.words)).join(rare(rows, how), "node")
+    """``rows`` with the full set as an array ``full``, made anew from the text.
+
+    A row names its set by an id that has it and by the digests of the set, as an id may have several texts.
+    """
+    wanted = texts.join(rare(rows.select("id").distinct(), how), "id")
+    return per_text(wanted, "text", ["id"], SET, full_sets(how.words)).join(rare(rows, how), ["id", "k1", "k2"])
 
 
 def grouped(
@@ -213,7 +225,7 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), ends - ends[0]
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
     """The pairs (a, b) whose union sketch says that they may be near, and whose full sets are.
 
     Sets travel once, to the group of their a; a group of many is split and its leader goes to each part.
@@ -222,7 +234,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
     rows = pairs.select("a", "b", parts.alias("parts"))
     members = rows.select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("turn"), F.col("b").alias("node"))
     leaders = members.select("a", "part", F.lit(0).alias("turn"), F.col("a").alias("node")).distinct()
-    asked = saved(members.union(leaders), "pairs")
+    asked = saved(members.union(leaders).join(nodes.select("node", *NAME), "node"), "pairs")
     keys = ["a", "part", "turn"]
     dealt = with_sets(asked, texts, how).repartition("a", "part").sortWithinPartitions(*keys)
     return arrow(dealt.select(*keys, "node", "full"), near_leader(how), "a long, b long")
@@ -327,7 +339,10 @@ def cross_links(how: Nearness) -> Callable:
 
 
 def links_of(nodes: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
-    """Confirmed links (a, b) that join all nodes which any links join. ``texts``: (node, text) of all documents."""
+    """Confirmed links (a, b) that join all nodes which any links join.
+
+    ``nodes``: (node, id, n, k1, k2, sketch), one per set. ``texts``: (id, text) of all documents.
+    """
     lists = rarest(nodes, how)
     lists = saved(lists.withColumn("nodes", F.count("*").over(W.partitionBy("value"))).where("nodes > 1"), "lists")
     ahead = lists.groupBy("value").agg(F.min_by(F.struct("node", "n"), "node").alias("first"))
@@ -335,7 +350,7 @@ def links_of(nodes: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
     star = star.where(near_enough("n", "m", how)).groupBy(F.col("first.node").alias("a"), F.col("node").alias("b"))
     star = star.agg(F.count("*").alias("met"), F.min(F.least("n", "m")).alias("n"))
     star = star.where(F.col("met") >= F.least(F.lit(how.shared), least_shared(F.col("n"), how))).select("a", "b")
-    links = saved(confirmed(star, texts, how), "star")
+    links = saved(confirmed(star, nodes, texts, how), "star")
 
     labels = connected(links)
     marked = lists.join(labels, "node", "left").select("value", "node", "n", "nodes", F.coalesce("label", "node").alias("label"))
@@ -356,6 +371,7 @@ def links_of(nodes: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
     counts = long.groupBy("value", "label").agg(F.count("*").alias("members"))
     hubs = counts.groupBy("value").agg(F.max_by("label", F.struct("members", "label")).alias("hub"))
     gathered = long.join(hubs, "value").select("hub", "node", "n", "label").distinct()
+    gathered = gathered.join(nodes.select("node", *NAME), "node")
     # Blocks of so many nodes, or so many values, that two of them fit in memory.
     whole = W.partitionBy("hub")
     nodes_of, values = F.count("*").over(whole), F.sum("n").over(whole)
@@ -363,10 +379,50 @@ def links_of(nodes: DataFrame, texts: DataFrame, how: Nearness) -> DataFrame:
     gathered = gathered.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     gathered = gathered.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("theirs"))
     keys = [F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j")]
-    gathered = saved(gathered.select("hub", *keys, "node", "n", "label"), "hubs")
+    gathered = saved(gathered.select("hub", *keys, "node", *NAME, "n", "label"), "hubs")
     dealt = with_sets(gathered, texts, how).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     cross = arrow(dealt.select("hub", "i", "j", "node", "n", "label", "full"), cross_links(how), "a long, b long")
-    return links.union(confirmed(met, texts, how)).union(cross)
+    return links.union(confirmed(met, nodes, texts, how)).union(cross)
+
+
+def numbered_sets(read: DataFrame) -> DataFrame:
+    """One row (node, id, n, k1, k2, sketch) per set that is not empty; ``id`` is the least that has it.
+
+    The number is given once and written, so that it stands for the set whatever ids share it or have others.
+    """
+    by_set = read.where("n > 0 AND id IS NOT NULL").groupBy("n", "k1", "k2")
+    sets = by_set.agg(F.min("id").alias("id"), F.min_by("sketch", "id").alias("sketch"))
+    return saved(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Columns (n, k1, k2, first) of every set: the name of the set with the least id that links lead to."""
+    name = F.struct(*NAME)
+    joined = connected(links)
+    first = joined.join(nodes.select("node", *NAME), "node").groupBy("label").agg(F.min(name).alias("first"))
+    found = joined.join(first, "label").select("node", "first")
+    return nodes.join(found, "node", "left").select("n", "k1", "k2", F.coalesce("first", name).alias("first"))
+
+
+def several_sets(read: DataFrame) -> DataFrame:
+    """Ids with texts of different sets, the empty one included."""
+    key = F.struct("n", "k1", "k2")
+    ids = read.where("id IS NOT NULL").groupBy("id").agg(F.min(key).alias("least"), F.max(key).alias("most"))
+    return saved(ids.where("least <> most").select("id"), "several-sets")
+
+
+def own_links(read: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of one id: from the first to each other one."""
+    rows = read.join(several_sets(read), "id").where("n > 0").select("id", "n", "k1", "k2").distinct()
+    held = rows.join(nodes.select("node", "n", "k1", "k2"), ["n", "k1", "k2"]).select("id", "node")
+    first = held.groupBy("id").agg(F.min("node").alias("a"))
+    return held.join(first, "id").where("a < node").select("a", F.col("node").alias("b"))
+
+
+def sketched(docs: DataFrame, id_column: str, text: str, how: Nearness) -> tuple[DataFrame, DataFrame]:
+    """The (id, text) of every row, and its (id, n, k1, k2, sketch)."""
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    return rows, saved(per_text(rows, "text", ["id"], SKETCH, sketches(how.words, how.k)), "sketches")
 
 
 def near_duplicates(
@@ -375,19 +431,15 @@ def near_duplicates(
     """Columns (id, n_shingles, component_id, kept) of every row.
 
     Null texts and texts without words have an empty set, which is linked with nothing. A row whose id
-    is null has no component and is kept. Rows that repeat an id are rows of one document if their
-    texts are near; all rows of the least id of a component are kept. Ids must fit a long. An empty
-    table gives no rows, and other columns are not read.
+    is null has no component and is kept. Rows that repeat an id are rows of one document: what is
+    linked with one of its texts is linked with the others, an empty one excepted. All rows of the least id
+    of a component are kept. Ids must fit a long. An empty table gives no rows, and other columns are not read.
     """
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    read = saved(per_text(rows, "text", ["id"], SKETCH, sketches(how.words, how.k)), "sketches")
+    rows, read = sketched(docs, id_column, text, how)
     same = ["n", "k1", "k2"]
-    by_set = read.where("n > 0 AND id IS NOT NULL").groupBy(*same)
-    nodes = by_set.agg(F.min("id").alias("node"))
-    sketched = by_set.agg(F.min("id").alias("node"), F.min_by("sketch", "id").alias("sketch"))
-    links = links_of(sketched, rows.where("id IS NOT NULL").select(F.col("id").alias("node"), "text"), how)
-    labels = nodes.select(*same, "node").join(connected(links), "node", "left")
-    labels = labels.select(*same, F.coalesce("label", "node").alias("component_id"))
+    nodes = numbered_sets(read)
+    links = links_of(nodes, rows.where("id IS NOT NULL"), how).union(own_links(read, nodes))
+    labels = components(nodes, links).select(*same, F.col("first.id").alias("component_id"))
     full = read.select("id", *same).where("n > 0 AND id IS NOT NULL").join(labels, same)
     bare = read.select("id", *same).where("n = 0 OR id IS NULL").withColumn("component_id", F.col("id"))
     out = full.select("id", "n", "component_id").union(bare.select("id", "n", "component_id"))
@@ -400,12 +452,24 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text: str = "text", how: Nearness = Nearness()) -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, all columns; one row of each id.
+    """One row of ``docs`` of each group of near texts, all columns: one of the least id in the group.
 
-    Rows without an id stay.
+    Texts decide, not ids: an id with texts of several groups may stay for each of them, and no group is lost. Of
+    the rows without words one of each id stays. Rows without an id stay. An empty table gives none.
     """
-    found = near_duplicates(docs, id_column, text, how).where(F.col("kept") & F.col(id_column).isNotNull())
-    kept = found.select(F.col(id_column).alias("kept id")).distinct()
+    rows, read = sketched(docs, id_column, text, how)
+    nodes = numbered_sets(read)
+    firsts = components(nodes, links_of(nodes, rows.where("id IS NOT NULL"), how)).select("first.*").distinct()
+    bare = read.where("n = 0 AND id IS NOT NULL").select(*NAME).distinct()
+    names = {"id": "kept id", "k1": "kept k1", "k2": "kept k2"}
+    kept = saved(firsts.union(bare).withColumnsRenamed(names), "firsts")
     same = F.col(f"`{id_column}`").cast("long") == F.col("`kept id`")
-    rows = docs.join(kept, same, "left_semi").dropDuplicates([id_column])
-    return rows.union(docs.where(F.col(f"`{id_column}`").isNull()))
+    mixed = several_sets(read).withColumnRenamed("id", "kept id")
+    # An id of one set needs no second look at its texts.
+    plain = docs.join(kept, same, "left_semi").join(mixed, same, "left_anti").dropDuplicates([id_column])
+    digests = T.StructType([T.StructField(f"kept {f.name}", f.dataType) for f in SET.fields])
+    doubtful = docs.join(mixed, same, "left_semi")
+    doubtful = per_text(doubtful.withColumn("kept text", F.col(f"`{text}`")), "kept text", docs.columns, digests, full_sets(how.words))
+    doubtful = doubtful.withColumn("kept id", F.col(f"`{id_column}`").cast("long")).join(kept, list(names.values()), "left_semi")
+    doubtful = doubtful.dropDuplicates(list(names.values())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return plain.union(doubtful).union(docs.where(F.col(f"`{id_column}`").isNull()))
