@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,18 @@ def test_near_duplicates(spark, how):
     check(spark, rows, how)
 
 
+def test_links_of_a_block_join_each_group_once():
+    """All nodes of a block are near each other: as many links as groups but one, whatever the pairs."""
+    rows = pa.table(
+        {"node": list(range(50)), "label": [0] * 10 + list(range(10, 50)), "n": [40] * 50, "full": [sorted([*range(39), 100 + i]) for i in range(50)]}
+    )
+    a, b = near.Block(rows, near.Nearness()).links()
+    joined = near.Block(rows, near.Nearness()).group
+    for x, y in zip(a, b, strict=True):
+        joined[joined == joined[y]] = joined[x]
+    assert len(a) == 40 and len(set(joined)) == 1
+
+
 def test_near_duplicates_of_a_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     found = QUERIES["op10_near_duplicates"](spark, "/root/testdata/sf0.001").collect()

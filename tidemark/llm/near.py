@@ -190,9 +190,8 @@ def grouped(
     return lambda batches: work(parts(batches))
 
 
-def pairs_of(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> pa.RecordBatch:
-    none = np.zeros(0, dtype=np.int64)
-    columns = [pa.array(np.concatenate([none, *x])) for x in (a, b)]
+def pairs_of(a: Sequence[int], b: Sequence[int]) -> pa.RecordBatch:
+    columns = [pa.array(np.array(x, dtype=np.int64)) for x in (a, b)]
     return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
 
@@ -214,7 +213,7 @@ def near_leader(how: Nearness) -> Callable:
                     both = len(np.intersect1d(one, two, assume_unique=True))
                     if 100 * both >= how.percent * (len(one) + len(two) - both):
                         found.append(node[i])
-            yield pairs_of([np.full(len(found), leader)], [np.array(found, dtype=np.int64)])
+            yield pairs_of([leader] * len(found), found)
 
     return grouped(["a", "part"], work)
 
@@ -305,20 +304,27 @@ class Block:
         at = np.arange(ends[-1]) + np.repeat(self.first[own] - (ends - many), many)
         return np.bincount(self.holder[at], minlength=len(self.node))
 
-    def links(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Confirmed links between nodes of different groups."""
+    def links(self) -> tuple[list[int], list[int]]:
+        """Confirmed links that join all nodes of the block which any confirmed links join.
+
+        A link joins two groups at once, so that no more links leave the block than it has groups.
+        """
         how, n, a, b = self.how, self.n, [], []
-        for x in np.flatnonzero(self.group != self.largest):
+        group, largest = self.group.copy(), self.group == self.largest
+        for x in np.flatnonzero(~largest):
             # Pairs outside the largest group are met from both sides: the smaller node leads.
-            other = (self.group != self.group[x]) & ((self.group == self.largest) | (self.node > self.node[x]))
+            other = (group != group[x]) & (largest | (self.node > self.node[x]))
             y = np.flatnonzero(other & (n * 100 >= n[x] * how.percent) & (n[x] * 100 >= n * how.percent))
             if len(y):
                 y = y[union_sketch(self.sketch[x], self.sketch[y], how)]
             if len(y):
                 both = self.common(x)[y]
                 y = y[100 * both >= how.percent * (n[x] + n[y] - both)]
-                a.append(np.minimum(self.node[x], self.node[y]))
-                b.append(np.maximum(self.node[x], self.node[y]))
+                joined, first = np.unique(group[y], return_index=True)
+                for z in y[first]:
+                    a.append(min(self.node[x], self.node[z]))
+                    b.append(max(self.node[x], self.node[z]))
+                group[np.isin(group, joined)] = group[x]
         return a, b
 
 
