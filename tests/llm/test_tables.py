@@ -183,6 +183,32 @@ def test_top_k_with_coarse_cells(spark):
     assert fine == coarse
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Different vectors of one id are rows of their own; copies of one vector are no hot group."""
+    rows = [(20, [1.0, 0.0]), (21, [1.0, 0.0]), (21, [3.0, 0.0]), (22, [-1.0, 0.0]), (40, [0.0, 1.0]), (40, [0.0, 2.0])]
+    rows += [(i, [0.5, 0.25]) for i in range(1001, 1200) if i % 20]
+    good = [(n, i, [math.floor(64 * x) for x in v]) for n, (i, v) in enumerate(rows)]
+    expected = []
+    for n, i, v in good:
+        if i % 20 == 0:
+            scores = sorted((-(v[0] * w[0] + v[1] * w[1]), j) for m, j, w in good if m != n)[:4]
+            expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    for bits in (1, 6):
+        found = vectors.top_k(df, F.col("vec_id") % 20 == 0, k=4, bits=bits, candidate_block=9)
+        assert sorted(tuple(r) for r in found.collect()) == sorted(expected)
+
+
+def test_few_exact_vectors_are_read(spark):
+    """The cells of the query leave less than a tenth of all pairs to exact vectors."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = vectors.whole_numbers(table, F.col("vec_id") % 20 == 0, "vec_id", "embedding", 64)
+    (known,) = vectors.passes(rows, 1000)
+    pairs = vectors.candidates(vectors.approximations(rows, 20, 6), spark.sparkContext.broadcast(known), 20, 8192)
+    n = sum(len(numbers) for numbers, _, _ in known.values())
+    assert n * 20 <= pairs.count() < 0.1 * n * table.count()
+
+
 # Near-duplicates
 
 
