@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from collections import Counter
@@ -13,9 +14,11 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, compression, discriminant, pages, pieces, toxicity
+from tidemark.llm.labels import sampled_texts
 from tidemark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -236,6 +239,47 @@ def test_toxicity_on_held_out_documents(spark):
     assert accuracy(spark, "op6_toxicity", "toxic", "/root/testdata/sf0.1") > 0.97
 
 
+def test_toxicity_is_the_noisy_or_of_the_model(spark):
+    """Scores of the query, sentence by sentence in plain Python from the weights of the model."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels, "doc_id", "text", "toxic")
+    assert len(model.weights) > 20
+
+    def plain(text):
+        clean, words, some = 1.0, set(), False
+
+        def ended():
+            odds = model.prior + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(toxicity.normal(w)[0]))
+            return 1.0 if not some or odds <= model.level else 1 / (1 + math.exp(odds))
+
+        for line in text.replace("\x1e", " ").split("\n"):
+            for word in line.encode().split():
+                bare, end = toxicity.normal(word)
+                words.add(word)
+                some = some or bare != b""
+                if end:
+                    clean, words, some = clean * ended(), set(), False
+            clean, words, some = clean * ended(), set(), False
+        return 1 - clean
+
+    scored = {r.doc_id: r.score for r in QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.01").collect()}
+    wanted = {r.doc_id: plain(r.text or "") for r in docs.select("doc_id", "text").collect()}
+    assert scored == pytest.approx(wanted, abs=1e-9) and sum(x > 0.5 for x in wanted.values()) > 20
+
+
+def test_sample_of_labelled_texts(spark):
+    """Only ids that have a text that is short enough take a place; an id takes one, with its least text."""
+    docs = [(i, f"text {i}", "x") for i in range(50)] + [(7, f"again {i}", "x") for i in range(3000)]
+    docs += [(i, "long" * 100, "x") for i in range(50, 60)] + [(None, "none", "x"), (61, None, "x"), (11, "long" * 100, "x")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, label string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    known = [i for i in range(50) if not held_out(i)]
+    found = sampled_texts(docs, labels, "doc_id", "text", "toxic", 40, 100).collect()
+    assert sorted(map(tuple, found)) == sorted((i % 2, "again 0" if i == 7 else f"text {i}") for i in known)
+    few = sampled_texts(docs, labels, "doc_id", "text", "toxic", 5, 100).collect()
+    assert sorted(r.label for r in few) == [0] * 5 + [1] * 5 and set(few) <= set(found)
+
+
 def test_quality_on_held_out_documents(spark):
     assert accuracy(spark, "op7_quality", "quality", "/root/testdata/sf0.1") > 0.98
 

@@ -25,14 +25,15 @@ def sampled_texts(
 ) -> DataFrame:
     """Columns (label, text) of at most ``per_class`` labelled documents of each class.
 
-    Those with the smallest hash of the id are taken, among texts of at most ``max_bytes`` bytes, so
-    that the sample is bounded and the same in every run. No row takes part twice.
+    Those with the smallest hash of the id are taken, among ids that have a text of at most ``max_bytes``
+    bytes, so that the sample is bounded and the same in every run. An id takes part once, with the least of such texts.
     """
-    known = training_labels(labels, id_column, label)
+    rows = docs.select(F.col(f"`{id_column}`").alias(id_column), F.col(f"`{text}`").alias("text"))
+    rows = rows.where(F.octet_length("text") <= max_bytes)
+    known = training_labels(labels, id_column, label).join(rows.select(id_column).distinct(), id_column)
     order = [F.xxhash64(id_column), F.col(id_column)]
     chosen = known.where("label = 0").orderBy(*order).limit(per_class)
     chosen = chosen.union(known.where("label = 1").orderBy(*order).limit(per_class))
-    rows = docs.select(F.col(f"`{id_column}`").alias(id_column), F.col(f"`{text}`").alias("text"))
-    rows = rows.where(F.octet_length("text") <= max_bytes)
     # The sample has a proven bound, so that it may be sent to every executor.
-    return rows.join(F.broadcast(chosen), id_column).select("label", "text").distinct()
+    found = rows.join(F.broadcast(chosen), id_column)
+    return found.groupBy(id_column, "label").agg(F.min("text").alias("text")).select("label", "text")

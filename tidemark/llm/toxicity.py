@@ -25,14 +25,16 @@ class Training:
     """Bounds of the training sample, and how the weights are fitted.
 
     ``per_class`` documents of each label at most, each of ``max_bytes`` at most; words that
-    fewer than ``min_docs`` of them hold have no weight. The prior is a bound for the fit of short documents;
-    when scoring, sentences of log-odds up to ``level`` add nothing, so that length alone makes nothing toxic.
+    fewer than ``min_docs`` of them hold have no weight. The prior is a bound for the fit of short documents.
+    Sentences of log-odds up to ``level`` add nothing, so that length alone makes nothing toxic. The first ``steps``
+    find the words, without that level; the last ``settled`` fit the very noisy-or that scores.
     """
 
     per_class: int = 2000
     max_bytes: int = 8_192
     min_docs: int = 3
     steps: int = 300
+    settled: int = 150
     rate: float = 0.5
     damping: float = 0.02
     l1: float = 0.0005
@@ -95,8 +97,9 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
     """Weights by proximal gradient on the noisy-or likelihood of the documents' labels.
 
     A document is clean if none of its sentences is toxic: -log P(clean) is the sum of
-    softplus(log-odds) of its sentences. The toxic documents have the weight ``toxic_share``
-    together. Without documents of both labels no word has a weight.
+    softplus(log-odds) of its sentences above the level. A toxic document that has none above it learns from
+    all its sentences. The toxic documents have the weight ``toxic_share`` together. Without
+    documents of both labels no word has a weight.
     """
     y = np.asarray(labels, dtype=np.float64)
     if not 0 < y.sum() < len(y):
@@ -135,12 +138,14 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
     pair = np.unique(sentence * n + word)
     at, word = pair // n, pair % n
     weight = np.zeros(len(names))
-    for _ in range(how.steps):
+    for step in range(how.steps + how.settled):
         by_word = np.bincount(typed, weights=weight[feature], minlength=n)
         odds = how.prior + np.bincount(at, weights=by_word[word], minlength=len(owner))
-        clean = np.bincount(owner, weights=np.logaddexp(0, odds), minlength=len(y))
+        live = odds > (how.level if step >= how.steps else -np.inf)
+        learns = live | (y == 1)[owner] & (np.bincount(owner, weights=live, minlength=len(y)) == 0)[owner]
+        clean = np.bincount(owner, weights=np.where(learns, np.logaddexp(0, odds), 0), minlength=len(y))
         slope = share * np.where(y == 1, -1 / np.expm1(np.clip(clean, 1e-9, 500)), 1.0)
-        push = (slope[owner] * np.exp(-np.logaddexp(0, -odds)))[at]
+        push = (slope[owner] * np.where(learns, np.exp(-np.logaddexp(0, -odds)), 0))[at]
         pull = np.bincount(feature, weights=np.bincount(word, weights=push, minlength=n)[typed], minlength=len(names))
         rate = how.rate / (mass + how.damping)
         moved = weight - rate * pull
