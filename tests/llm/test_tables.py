@@ -337,6 +337,29 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, made.collect()))
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null, empty, wordless and repeated documents, null ids and sources; then no documents at all."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    good = table.where("n_chars BETWEEN 400 AND 4000").orderBy("doc_id").limit(40)
+    none = F.lit(None)
+    odd = [good.limit(3), good.withColumn("text", none.cast("string")).limit(2), good.withColumn("text", F.lit("")).limit(2)]
+    odd += [good.withColumn("text", F.lit(" \n ")).limit(1), good.withColumn("doc_id", none.cast("long")).limit(2)]
+    odd += [good.withColumn("source", none.cast("string")).withColumn("doc_id", F.col("doc_id") + 10**9).limit(2)]
+    rows = good
+    for part in odd:
+        rows = rows.unionByName(part)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, docs_, marks in (("odd", rows, labels), ("none", rows.limit(0), labels.limit(0))):
+        folder = tmp_path / name
+        docs_.write.parquet(f"{folder}/documents.parquet")
+        marks.write.parquet(f"{folder}/labels.parquet")
+        made = corpus_pipeline.run(spark, str(folder)).collect()
+        # Nothing but documents with words comes out, and each text decodes to itself.
+        known = {r.doc_id for r in good.collect()}
+        assert {r.doc_id for r in made} <= known | {i + 10**9 for i in known} | {None} and all(r.same for r in made)
+        assert bool(made) == (name == "odd")
+
+
 def test_entry_lists_every_operator(spark):
     import __spark_entry__ as entry
 

@@ -147,7 +147,11 @@ def compression_bands(
 
 
 def keep_quality(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Null and empty texts and texts of few words go. Equal rows stay or go together; null ids do not
+    matter; an empty table gives no rows.
+    """
 
     def start() -> Callable:
         make = judge(rules)()

@@ -261,7 +261,12 @@ def keep_clean(
     how: Training = Training(),
     threshold: float = 0.5,
 ) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    Null and empty texts and texts without a word score 0 and stay. Equal rows have equal scores and
+    stay or go together; a null id does not matter. Without labels of both kinds all rows stay; an empty
+    table gives none.
+    """
     model = fit_toxicity(docs, labels, id_column, text, label, how)
 
     def start() -> Callable:
