@@ -122,6 +122,57 @@ def test_repeated_documents_meet_the_targets(spark, words):
     assert all(abs(found[s] - target[s]) <= words / 2 + 1 for s in "abc"), (found, target)
 
 
+def test_repeated_documents_come_as_the_tree_deals_them(spark, monkeypatch):
+    plan = mixing.Plan(block_words=64, shard_blocks=8)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    found = mixing.repeated(table, plan=plan).collect()
+    keyed = table.select("doc_id", *mixing.numbers("doc_id", "text", "source"), F.xxhash64("text").alias("print"))
+    keyed = keyed.select("id", "source", "size", "print", F.col("doc_id").alias("key"))
+    dealt = mixing.whole_documents(keyed, plan).collect()
+    assert sorted(r.doc_id for r in found) == sorted(r.key for r in dealt)
+
+    # Each shard stands in the rows in one piece and in its order.
+    by_shard = defaultdict(list)
+    for r in sorted(dealt, key=lambda r: (r.shard, r.position)):
+        by_shard[r.shard].append(r.key)
+    assert len(by_shard) >= 64 and [len(s) for s in by_shard.values()] == [
+        max(r.position for r in dealt if r.shard == k) for k in by_shard
+    ]
+    text = ",".join(str(r.doc_id) for r in found) + ","
+    assert all(",".join(map(str, s)) + "," in text for s in by_shard.values())
+    # A block's documents go together; shards have equal numbers of blocks but for one or two without documents.
+    homes, blocks = defaultdict(set), defaultdict(set)
+    for r in dealt:
+        homes[r.number, r.turn, r.block].add(r.shard)
+        blocks[r.shard].add((r.number, r.turn, r.block))
+    assert all(len(s) == 1 for s in homes.values())
+    assert max(map(len, blocks.values())) - min(map(len, blocks.values())) <= 2
+
+    # Another tree deals the same documents to other shards.
+    monkeypatch.setattr(mixing, "split", lambda quotas, shard, seed: F.transform(quotas, lambda q: F.floor(q / 2)))
+    again = mixing.repeated(table, plan=plan).collect()
+    assert sorted(again) == sorted(found) and again != found
+
+
+def test_repeated_documents_of_one_id_are_their_own(spark):
+    """Rows of one id, source and size with several texts, and rows equal but for another column."""
+    rows = [(None if i % 2 else 7, f"t{i} " * 100, s) for i in range(60) for s in "abc"]
+    table = docs(spark, rows).withColumn("n", F.col("text"))
+    table = table.unionByName(table.withColumn("n", F.lit("other")))
+    once = mixing.repeated(table).collect()
+    sizes = defaultdict(int)
+    for r in once:
+        sizes[r.source] += 100
+    target = plain_targets(dict.fromkeys("abc", 12_000))
+    assert all(abs(sizes[s] - target[s]) <= 51 for s in "abc")
+    times = defaultdict(int)
+    for r in once:
+        times[r.source, r.doc_id, r.text, r.n] += 1
+    # The first source reaches its most, twice its words; so all of its rows are there.
+    assert all(n <= 2 for n in times.values()) and len({k for k in times if k[0] == "a"}) == 120
+    assert [r.text for r in mixing.repeated(table.repartition(5, "text")).collect()] == [r.text for r in once]
+
+
 # URLs
 
 

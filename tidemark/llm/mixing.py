@@ -124,28 +124,21 @@ def shard_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return nodes.select((F.col("shard") - first).alias("shard"), F.posexplode("quotas").alias("number", "quota"))
 
 
-def mix_sources(
-    docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", plan: Plan = Plan()
-) -> Mix:
-    """The mix of all documents, the same in every run.
+def numbers(id_column: str, text: str, source: str) -> list[Column]:
+    """What the mix reads of a document: id, source and size."""
+    names = [F.col(f"`{id_column}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source")]
+    return [*names, word_count(F.col(f"`{text}`")).alias("size")]
 
-    The documents of a source stand in an order of hashes, and their words are counted through, so that
-    a block is a run of words. The blocks of ``most`` passes over the source are permuted within
-    each pass, and the first that make up the target are taken, the last in part. The tree deals out
-    how many blocks of each source a shard gets; it draws these from a second permutation, without
-    overlap, and puts its pieces in random order.
 
-    Null texts have no words and none are taken; a null source is a source of its own. Null ids and repeated
-    rows are documents of their own. An empty table gives no rows. Other columns are not read.
-    """
+def counted_through(rows: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, source, size, and columns that order rows of equal id and size) with the words of their source
+    before them (``begin``); the sources; the words of a block."""
     seed = plan.seed
-    names = [F.col(f"`{id_column}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source")]
-    rows = saved(docs.select(*names, word_count(F.col(f"`{text}`")).alias("size")), "sizes")
     n, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(plan.block_words, -(-plan.most * words // plan.max_blocks))
     buckets = max(1, -(-n // plan.bucket_rows))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
+    names, rows = rows.columns, rows.withColumn("bucket", bucket)
 
     by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sources = targets(by_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), plan)
@@ -155,7 +148,7 @@ def mix_sources(
 
     # Words of a source counted through: the bucket's offset, and the words before in the bucket.
     same = ["source", "bucket"]
-    order = W.partitionBy(*same).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size")
+    order = W.partitionBy(*same).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size", *names[3:])
     counted = rows.select(
         "*",
         F.row_number().over(order).alias("row"),
@@ -165,11 +158,29 @@ def mix_sources(
     known = known.select("a.source", "bucket", "offset", "source_size", "number", "target")
     placed = counted.alias("c").join(known.alias("k"), F.expr("c.source <=> k.source AND c.bucket = k.bucket"))
     placed = placed.select(
-        "id", "c.source", "size", "source_size", "target", "number", "c.bucket", "row",
+        *[f"c.{name}" for name in names], "source_size", "target", "number", "c.bucket", "row",
         (F.col("begin") + F.col("offset")).alias("begin"),
     )
+    return placed, sources, block
+
+
+def mix_sources(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", plan: Plan = Plan()
+) -> Mix:
+    """The mix of all documents, the same in every run.
 
-    drawn = blocks_drawn(sources, block, plan)
+    The documents of a source stand in an order of hashes, and their words are counted through, so that
+    a block is a run of words. The blocks of ``most`` passes over the source are permuted within
+    each pass, and the first that make up the target are taken, the last in part. The tree deals out
+    how many blocks of each source a shard gets; it draws these from a second permutation, without
+    overlap, and puts its pieces in random order.
+
+    Null texts have no words and none are taken; a null source is a source of its own. Null ids and repeated
+    rows are documents of their own. An empty table gives no rows. Other columns are not read.
+    """
+    rows = saved(docs.select(*numbers(id_column, text, source)), "sizes")
+    placed, sources, block = counted_through(rows, plan)
+    drawn = blocks_drawn(sources, equal_blocks(sources, block), plan)
     spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(plan.most - 1))).alias("turn"))
     covered = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))
     spread = spread.select("*", F.explode_outer(F.when(F.col("size") > 0, covered)).alias("block"))
@@ -182,37 +193,39 @@ def mix_sources(
 
     place = ["number", "bucket", "row", "begin", "id", "source", "size", "source_size", "target"]
     documents = met.groupBy(*place).agg(F.sum("n_words").alias("taken"))
-    # A pass over a whole document counts if its middle comes before the target's end, whatever its length.
-    middle = F.col("begin") + F.col("size") / 2
-    turns = [F.when(middle < F.round("target") - t * F.col("source_size"), 1).otherwise(0) for t in range(plan.most)]
-    copies = F.when(F.col("size") > 0, sum(turns, F.lit(0))).otherwise(0).cast("long")
-    documents = documents.withColumn("copies", copies)
     pieces = met.where("n_words > 0").select(
         "shard", "id", "source", "turn", (low - F.col("begin")).alias("from_word"), "n_words"
     )
-    shuffled = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "id", "turn", "from_word"), "id", "turn")
+    shuffled = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(plan.seed + 2), "id", "turn", "from_word"), "id", "turn")
     return Mix(
-        documents.select(F.col("id").alias(id_column), *place[5:], "taken", "copies"),
+        documents.select(F.col("id").alias(id_column), *place[5:], "taken"),
         pieces.withColumn("position", F.row_number().over(shuffled)),
     )
 
 
-def blocks_drawn(sources: DataFrame, block: int, plan: Plan) -> DataFrame:
-    """Blocks that the mix takes (number, turn, block, words, shard); at most about ``max_blocks`` rows."""
-    seed = plan.seed
+def equal_blocks(sources: DataFrame, block: int) -> DataFrame:
+    """The words of each source in blocks of that many, the last of a source with the rest."""
     last = F.floor((F.col("source_size") - 1) / block)
     rows = sources.where("source_size > 0").select(
+        "number", "source_size", "target", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")
+    )
+    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    return rows.select("number", "target", "block", length.alias("length"))
+
+
+def blocks_drawn(sources: DataFrame, blocks: DataFrame, plan: Plan) -> DataFrame:
+    """Of the ``blocks`` (number, target, block, length) those that the mix takes (number, turn, block, words, shard);
+    at most about ``max_blocks`` rows."""
+    seed = plan.seed
+    rows = blocks.select(
         "number",
-        "source_size",
         F.round("target").cast("long").alias("wanted"),
         F.explode(F.sequence(F.lit(0), F.lit(plan.most - 1))).alias("turn"),
-        last.alias("last"),
+        "block",
+        "length",
     )
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block"))
-    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     key = ["number", "turn", "block"]
     order = W.partitionBy("number").orderBy("turn", F.xxhash64(F.lit(seed + 3), *key), "block")
-    rows = rows.withColumn("length", length)
     before = F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("words", F.least(F.col("length"), F.col("wanted") - before)).where("words > 0")
     again = W.partitionBy("number").orderBy(F.xxhash64(F.lit(seed + 4), *key), "turn", "block")
@@ -229,21 +242,39 @@ def blocks_drawn(sources: DataFrame, block: int, plan: Plan) -> DataFrame:
     return rows.join(dealt, ["number", "rank"]).select(*key, "words", "shard")
 
 
+def whole_documents(rows: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """The mix in whole documents (key, number, size, turn, block, shard, position), from rows (id, source, size, print, key).
+
+    A document belongs to the block that its middle word lies in, whatever its length, and is taken in each pass
+    in which this block is drawn; its shard is the one the tree deals the block to. Of the last block of a source the
+    documents are taken whose middle comes before the target's end, so that a source has its target but for half
+    a document at most. Documents without words belong to no block.
+    """
+    placed, sources, block = counted_through(rows, plan)
+    middle = F.floor((F.col("begin") + F.floor(F.col("size") / 2)) / block)
+    placed = placed.where("size > 0").select("key", "number", "target", "size", "begin", middle.alias("block"))
+    placed = saved(placed, "placed")
+    blocks = placed.groupBy("number", "target", "block").agg(F.sum("size").alias("length"))
+    drawn = blocks_drawn(sources, blocks, plan)
+    before = W.partitionBy("number", "block").orderBy("begin").rowsBetween(W.unboundedPreceding, -1)
+    inside = placed.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    met = inside.join(drawn, ["number", "block"]).where(F.col("offset") + F.col("size") / 2 < F.col("words"))
+    unit = ["number", "begin", "turn"]
+    shuffled = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(plan.seed + 2), *unit), *unit)
+    return met.select("key", "number", "size", "turn", "block", "shard", F.row_number().over(shuffled).alias("position"))
+
+
 def repeated(docs: DataFrame, names: Sequence[str] = ("doc_id", "text", "source"), plan: Plan = Plan()) -> DataFrame:
-    """The documents as the mix takes them, whole: in the hash order of their source, up to its target of words.
+    """The documents as the mix takes them, whole, as often as their block is drawn: see :func:`whole_documents`.
 
-    So the words of a source differ from its target by half a document at most. Rows of equal id, source and
-    size share their copies evenly; where these do not divide, a hash of the text decides.
+    The rows come shard by shard, each shard in one partition and in its random order. Repeated rows are documents of
+    their own. Of rows of equal id, source and size, the hash of the text says which comes first.
     """
     id_column, text, source = names
-    mix = mix_sources(docs, id_column, text, source, plan).documents
-    taken = mix.groupBy(F.col(id_column).alias("id"), "source", "size").agg(F.avg("copies").alias("copies"))
-    taken = taken.where("copies > 0")
-    size = word_count(F.col(f"d.`{text}`"))
-    same = F.col(f"d.`{id_column}`").eqNullSafe(F.col("t.id")) & (size == F.col("t.size"))
-    same = same & F.col(f"d.`{source}`").cast("string").eqNullSafe(F.col("t.source"))
-    chance = uniform(F.lit(plan.seed + 6), F.col(f"d.`{id_column}`"), F.col(f"d.`{text}`"))
-    times = F.floor(F.col("t.copies") + chance).cast("int")
-    rows = docs.alias("d").join(taken.alias("t"), same).select("d.*", times.alias("t.times")).where("`t.times` > 0")
-    turns = F.explode(F.sequence(F.lit(1), F.col("`t.times`"))).alias("t.turn")
-    return rows.select("*", turns).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keys = [F.xxhash64(F.col(f"`{text}`")).alias("print"), F.monotonically_increasing_id().alias("key")]
+    # Keys hold for what a task wrote, so they are used only once written.
+    rows = saved(docs.select(whole, *numbers(id_column, text, source), *keys), "numbered")
+    dealt = whole_documents(rows.select("id", "source", "size", "print", "key"), plan)
+    rows = rows.select("doc", "key").join(dealt.select("key", "shard", "position"), "key")
+    return rows.repartition("shard").sortWithinPartitions("shard", "position").select("doc.*")
