@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -118,3 +119,44 @@ def test_filters_are_compact():
     found = phrases.merged([phrases.Counts(high, low, np.ones(len(keys), dtype=np.int64))])
     size = sum(len(f.runs) + len(f.remainders) + len(f.small) + len(f.large) for f in phrases.filters(found, 24, 3))
     assert size < 6 * len(keys)  # a key and a count as they are take 16 bytes
+
+
+@pytest.mark.parametrize("id_bits", [18, 30])
+def test_merging_holds_little_more_than_the_keys(id_bits):
+    """Bytes at most, a key that comes in: 24 for the key itself, and what merging holds beside."""
+    rng = np.random.default_rng(2)
+    bits = phrases.half_width(id_bits)
+
+    def part():
+        high, low = rng.integers(0, 1 << bits, (2, 250_000), dtype=np.uint64)
+        order = np.lexsort((low, high))
+        return phrases.Counts(high[order], low[order], np.ones(len(high), dtype=np.int64))
+
+    tracemalloc.start()
+    try:
+        parts = [part() for _ in range(4)]
+        tracemalloc.reset_peak()
+        # As a task does: the filters are made a few at a time from the merged keys.
+        n = sum(b.column("keys").to_numpy().sum() for b in phrases.as_rows(phrases.merged(parts, bits), bits, 12))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 1_000_000 and peak <= 62 * n
+
+
+def test_keys_of_a_block_hold_little():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 18, 500_000, dtype=np.uint64)
+    words[rng.random(len(words)) < 0.2] = 0
+    tracemalloc.start()
+    try:
+        made = phrases.phrase_keys(words, 18)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    n = sum(made.counts)
+    w = words.tolist()
+    want = Counter((0, *p) for p in zip(w, w[1:]) if all(p)) + Counter(p for p in zip(w, w[1:], w[2:]) if all(p))
+    columns = phrases.unpacked(*phrases.restored(made.high, made.low, phrases.half_width(18)), 18)
+    assert Counter(dict(zip(zip(*(c.tolist() for c in columns)), made.counts.tolist()))) == want
+    assert n == sum(want.values()) and peak <= 64 * n

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
-from itertools import count
+from itertools import batched, count
 from typing import NamedTuple
 
 import numpy as np
@@ -102,17 +102,80 @@ class Counts(NamedTuple):
     counts: np.ndarray
 
 
-def merged(parts: Sequence[Counts]) -> Counts:
-    """One run of keys out of several sorted ones; counts of equal keys are added."""
-    if not parts:
-        return Counts(*(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64)))
-    high, low, counts = (np.concatenate(c) for c in zip(*parts))
+def joined(parts: Sequence[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, dtype=kind)])
+
+
+def summed(columns: Sequence[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted columns without repeats; counts of equal rows are added."""
+    first = np.ones(len(counts), dtype=bool)
+    first[1:] = columns[0][1:] != columns[0][:-1]
+    for column in columns[1:]:
+        first[1:] |= column[1:] != column[:-1]
+    starts = np.flatnonzero(first)
+    return [c[starts] for c in columns], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def split_keys(whole: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return whole >> np.uint64(bits), whole & np.uint64((1 << bits) - 1)
+
+
+def merged(parts: list[Counts], bits: int = 64) -> Counts:
+    """One run of keys out of several; counts of equal keys are added. The list is emptied on the way, and columns
+    are put in order one at a time, so that little more than the parts is held. Halves that fit 64 bits together
+    are sorted as one number."""
+    if 2 * bits <= 64:
+        whole = joined([(p.high << np.uint64(bits)) | p.low for p in parts], np.uint64)
+        counts = joined([p.counts for p in parts], np.int64)
+        parts.clear()
+        order = np.argsort(whole, kind="stable")
+        whole = whole[order]
+        counts = counts[order]
+        del order
+        (whole,), counts = summed([whole], counts)
+        return Counts(*split_keys(whole, bits), counts)
+    high, low = joined([p.high for p in parts], np.uint64), joined([p.low for p in parts], np.uint64)
+    counts = joined([p.counts for p in parts], np.int64)
+    parts.clear()
     order = np.lexsort((low, high))
-    high, low, counts = high[order], low[order], counts[order]
-    first = np.ones(len(high), dtype=bool)
-    first[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    high = high[order]
+    low = low[order]
+    counts = counts[order]
+    del order
+    (high, low), counts = summed([high, low], counts)
+    return Counts(high, low, counts)
+
+
+SLICE = 1 << 16
+
+
+def phrase_keys(words: np.ndarray, id_bits: int) -> Counts:
+    """Permuted keys of the phrases of two and three words in a run of word numbers, where 0 parts phrases. They are
+    made a slice at a time, so that only the keys are held for the whole run."""
+    bits = half_width(id_bits)
+    two = (words[:-1] > 0) & (words[1:] > 0)
+    three = two[:-1] & two[1:]
+    n, one_number = np.count_nonzero(two) + np.count_nonzero(three), 2 * bits <= 64
+    halves = [np.empty(n, dtype=np.uint64) for _ in range(1 if one_number else 2)]
+    at = 0
+    for start in range(0, len(two), SLICE):
+        pair = start + np.flatnonzero(two[start : start + SLICE])
+        triple = start + np.flatnonzero(three[start : start + SLICE])
+        a = np.concatenate([np.zeros(len(pair), dtype=np.uint64), words[triple]])
+        b = np.concatenate([words[pair], words[triple + 1]])
+        c = np.concatenate([words[pair + 1], words[triple + 2]])
+        high, low = permuted(*packed((a, b, c), id_bits), bits)
+        for half, made in zip(halves, [(high << np.uint64(bits)) | low] if one_number else [high, low]):
+            half[at : at + len(made)] = made
+        at += len(high)
+    if not one_number:
+        return merged([Counts(*halves, np.ones(n, dtype=np.int64))], bits)
+    whole = halves[0]
+    whole.sort()
+    first = np.ones(n, dtype=bool)
+    first[1:] = whole[1:] != whole[:-1]
     starts = np.flatnonzero(first)
-    return Counts(high[starts], low[starts], np.add.reduceat(counts, starts) if len(starts) else counts)
+    return Counts(*split_keys(whole[starts], bits), np.diff(starts, append=n))
 
 
 def bytes_of(values: np.ndarray, bits: int) -> np.ndarray:
@@ -259,9 +322,9 @@ Rows = Iterator[pa.RecordBatch]
 
 
 def as_rows(found: Counts, bits: int, range_bits: int) -> Rows:
-    made = [(f.range, f.slot_bits, len(f.small), *f[2:]) for f in filters(found, bits, range_bits)]
-    for at in range(0, len(made), 64):
-        columns = [pa.array(list(c), k) for c, k in zip(zip(*made[at : at + 64]), KINDS)]
+    for made in batched(filters(found, bits, range_bits), 64):
+        rows = [(f.range, f.slot_bits, len(f.small), *f[2:]) for f in made]
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), KINDS)]
         yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
@@ -280,19 +343,6 @@ def phrase_counts(blocks: DataFrame, words: DataFrame, how: Mining, id_bits: int
     coded = coded.select("size", "codes", F.col("ids.at").alias("at"), F.col("ids.id").alias("id"))
     cuts = [*range(how.fan_bits, range_bits, how.fan_bits), range_bits]
 
-    def keys(codes: bytes, lookup: np.ndarray) -> Counts:
-        g = lookup[np.frombuffer(codes, "<i4")]
-        two = (g[:-1] > 0) & (g[1:] > 0)
-        pair, triple = np.flatnonzero(two), np.flatnonzero(two[:-1] & two[1:])
-        a = np.concatenate([np.zeros(len(pair), dtype=np.uint64), g[triple]])
-        b = np.concatenate([g[pair], g[triple + 1]])
-        c = np.concatenate([g[pair + 1], g[triple + 2]])
-        high, low = permuted(*packed((a, b, c), id_bits), bits)
-        if 2 * bits <= 64:
-            whole, counts = np.unique((high << np.uint64(bits)) | low, return_counts=True)
-            return Counts(whole >> np.uint64(bits), whole & np.uint64((1 << bits) - 1), counts.astype(np.int64))
-        return merged([Counts(high, low, np.ones(len(high), dtype=np.int64))])
-
     def build(batches: Rows) -> Rows:
         """Filters of the blocks of a task; those of several blocks are merged up to a bound."""
         held: list[Counts] = []
@@ -301,12 +351,11 @@ def phrase_counts(blocks: DataFrame, words: DataFrame, how: Mining, id_bits: int
                 size, codes, at, ids = (column[i] for column in batch.columns)
                 lookup = np.zeros(size.as_py() + 1, dtype=np.uint64)
                 lookup[at.values.to_numpy(zero_copy_only=False) + 1] = ids.values.to_numpy(zero_copy_only=False)
-                held.append(keys(codes.as_py(), lookup))
+                held.append(phrase_keys(lookup[np.frombuffer(codes.as_buffer(), "<i4")], id_bits))
                 if sum(len(c.low) for c in held) > how.filter_keys:
-                    yield from as_rows(merged(held), bits, cuts[0])
-                    held.clear()
+                    yield from as_rows(merged(held, bits), bits, cuts[0])
         if held:
-            yield from as_rows(merged(held), bits, cuts[0])
+            yield from as_rows(merged(held, bits), bits, cuts[0])
 
     def finer(coarse: int, fine: int) -> Callable[[Rows], Rows]:
         def run(batches: Rows) -> Rows:
@@ -320,20 +369,20 @@ def phrase_counts(blocks: DataFrame, words: DataFrame, how: Mining, id_bits: int
                     if sum(sizes.values()) > how.filter_keys:
                         most = max(sizes, key=sizes.__getitem__)
                         sizes.pop(most)
-                        yield from as_rows(merged(held.pop(most)), bits, fine)
-            for found in held.values():
-                yield from as_rows(merged(found), bits, fine)
+                        yield from as_rows(merged(held.pop(most), bits), bits, fine)
+            for place in list(held):
+                yield from as_rows(merged(held.pop(place), bits), bits, fine)
 
         return run
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, fresh = merged([]), []
+        held = [merged([])]
         for batch in batches:
             for _, found in from_rows(batch, bits, range_bits):
-                fresh.append(found)
-                if sum(len(c.low) for c in fresh) > max(how.range_keys // 2, len(run.low)):
-                    run, fresh = merged([run, *fresh]), []
-        run = merged([run, *fresh])
+                held.append(found)
+                if sum(len(c.low) for c in held[1:]) > max(how.range_keys // 2, len(held[0].low)):
+                    held.append(merged(held, bits))
+        run = merged(held, bits)
         often = run.counts >= how.least
         high, low = restored(run.high[often], run.low[often], bits)
         columns = [*(w.astype(np.int64) for w in unpacked(high, low, id_bits)), run.counts[often]]
