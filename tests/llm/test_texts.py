@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -284,6 +286,20 @@ def test_quality_on_held_out_documents(spark):
     assert accuracy(spark, "op7_quality", "quality", "/root/testdata/sf0.1") > 0.98
 
 
+def test_toxicity_fit_holds_no_table_of_all_features():
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=8)) for _ in range(5000)]
+    texts = [" ".join(draw.choices(words, k=400)).encode() for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        toxicity.fit(texts, [0, 1] * 500, toxicity.Training(steps=1, settled=1))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # About two million features, one for each document that has it, took 8 bytes each several times over.
+    assert peak < 12 * sum(map(len, texts))
+
+
 def test_toxicity_finds_the_sentence():
     clean = [b"The house is tall. We went out there.\nNice and fine", b"Trees are green. Birds sing here."] * 8
     bad = [b"The house is tall. Q%d vile r%d. Birds sing" % (i, i) for i in range(8)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import xxhash
@@ -12,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm.labels import held_out, sampled_texts
-from tidemark.llm.texts import filter_texts, per_text
+from tidemark.llm.texts import filter_texts, per_text, utf8
 
 BREAK = b"\x1e"
 EDGES = b".,;:!?\"'()[]{}<>*#%$&|-_/\\=+~`"
 CACHED = 1_000_000
 SHORTEST, LONGEST = 4, 7
+SLICE = 64
 
 
 @dataclass(frozen=True)
@@ -105,38 +107,44 @@ def fit(texts: Sequence[bytes], labels: Sequence[int], how: Training = Training(
     if not 0 < y.sum() < len(y):
         return Model({}, how.prior, how.level)
     ids: dict[bytes, int] = {}
-    word, ends, doc = [], [], []
-    for i, text in enumerate(texts):
+    word, ends, sizes = [], [], []
+    for text in texts:
         split = [normal(w) for w in tokens(text)]
-        word.append(np.array([ids.setdefault(w, len(ids)) for w, _ in split], dtype=np.int64))
+        word.append(np.array([ids.setdefault(w, len(ids)) for w, _ in split], dtype=np.int32))
         ends.append(np.array([e for _, e in split], dtype=bool))
-        doc.append(np.full(len(split), i))
-    word, ends, doc = np.concatenate(word), np.concatenate(ends), np.concatenate(doc)
-    sentence = sentences(ends, doc)
+        sizes.append(len(split))
+    word, doc = np.concatenate(word), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    sentence = sentences(np.concatenate(ends), doc)
     kept = worded(sentence, word != ids.get(b"", -1))
-    word, doc = word[kept], doc[kept]
-    sentence = np.unique(sentence[kept], return_inverse=True)[1]
-    owner = doc[np.flatnonzero(np.diff(sentence, prepend=-1))]
+    word, doc, sentence = word[kept], doc[kept], sentence[kept]
+    begins = np.diff(sentence, prepend=-1) != 0
+    sentence, owner = np.cumsum(begins) - 1, doc[begins]
+    del ends, kept, begins
     # Distinct words of each sentence, and features of each word; features in few documents are left out.
     n = len(ids)
     of = (x for w, i in ids.items() if w for f in features(w) for x in (i, xxhash.xxh3_64_intdigest(f)))
     typed, feature = np.fromiter(of, dtype=np.uint64).reshape(-1, 2).T
     typed = typed.astype(np.int64)
     names, feature = np.unique(feature, return_inverse=True)
-    there = np.unique(doc * n + word)
-    del doc, ends
-    begin = np.searchsorted(typed, np.arange(n + 1))
-    many = np.diff(begin)[there % n]
-    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    held = np.unique(np.repeat(there // n, many) * len(names) + feature[np.repeat(begin[there % n], many) + step])
     share = np.where(y == 1, how.toxic_share / y.sum(), (1 - how.toxic_share) / (len(y) - y.sum()))
-    in_docs = np.bincount(held % len(names), minlength=len(names))
-    mass = np.bincount(held % len(names), weights=share[held // len(names)], minlength=len(names))
-    del held, step, many, there
+    in_docs, mass = np.zeros(len(names), dtype=np.int64), np.zeros(len(names))
+    begin, pairs = np.searchsorted(typed, np.arange(n + 1)), []
+    # A slice of documents at a time: all features of all of them would be the most that the fit holds.
+    for start in range(0, len(y), SLICE):
+        a, b = np.searchsorted(doc, [start, start + SLICE])
+        there = np.unique(doc[a:b].astype(np.int64) * n + word[a:b])
+        many = begin[there % n + 1] - begin[there % n]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        held = np.repeat(there // n, many) * len(names) + feature[np.repeat(begin[there % n], many) + step]
+        by, held = np.divmod(np.unique(held), len(names))
+        np.add.at(in_docs, held, 1)
+        np.add.at(mass, held, share[by])
+        pairs.append(np.unique(sentence[a:b] * n + word[a:b]))
+    del doc, there, many, step, held, by, begin, sentence
     use = in_docs[feature] >= how.min_docs
     typed, feature = typed[use], feature[use]
-    pair = np.unique(sentence * n + word)
-    at, word = pair // n, pair % n
+    at, word = np.divmod(np.concatenate(pairs), n)
+    del pairs
     weight = np.zeros(len(names))
     for step in range(how.steps + how.settled):
         by_word = np.bincount(typed, weights=weight[feature], minlength=n)
@@ -224,10 +232,9 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, how: Training = Training()
 ) -> Model:
     rows = sampled_texts(docs, labels, id_column, text, label, how.per_class, how.max_bytes).toArrow()
-    texts = [t.encode() for t in rows.column("text").to_pylist()]
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    known = rows.column("label").to_pylist()
-    return fit([texts[i] for i in order], [known[i] for i in order], how)
+    pairs = sorted(zip(utf8(rows.column("text")), rows.column("label").to_pylist(), strict=True), key=itemgetter(0))
+    del rows
+    return fit([t for t, _ in pairs], [y for _, y in pairs], how)
 
 
 def toxicity(
