@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import filter_audit
+from tidemark.llm.texts import saved
 
 SCHEMA = "doc_id long, text string, lang string, n long, part string, mask string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -104,3 +105,13 @@ def test_one_file_and_an_empty_table(spark, tmp_path):
     write(spark, FILES[0], str(tmp_path / "some"))
     (one,) = (tmp_path / "some").glob("*.parquet")
     assert got(filter_audit.filter_audit(spark, str(one), labels)) == plain(FILES[0], [])
+
+
+def test_copies_of_labels_are_not_sent_through_the_driver(spark):
+    """Their file is small, and Spark does not count that each label comes once a salt."""
+    flags = saved(filter_audit.label_flags(spark.createDataFrame(MARKS, LABELS)), "label-flags")
+    docs = spark.createDataFrame([(i, t, lang, 1, "p", "m") for i, t, lang in FILES[0]], SCHEMA)
+    found = filter_audit.arrivals(docs, flags, filter_audit.Thresholds())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.agg(F.sum("documents")).first()[0] == len(FILES[0])

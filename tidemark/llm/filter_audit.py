@@ -69,6 +69,8 @@ def arrivals(docs: DataFrame, flags: DataFrame, limits: Thresholds) -> DataFrame
     """Documents per text, part and flags: all, those without an id, the least id and how often it comes.
 
     No text is shuffled, only its digest. Counts per id come first, so that a text of many copies is a row a task.
+    The join is a sort-merge join by hint: Spark takes the salted labels for as small as their file, and would send
+    all their copies through the driver.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -79,7 +81,7 @@ def arrivals(docs: DataFrame, flags: DataFrame, limits: Thresholds) -> DataFrame
     )
     spread = F.pmod(F.hash("text_key"), F.when(F.col("doc_id").isNull(), 1 << 20).otherwise(SALTS))
     salted = flags.select("*", F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("salt"))
-    known = rows.withColumn("salt", spread).join(salted, ["doc_id", "salt"], "left")
+    known = rows.withColumn("salt", spread).join(salted.hint("merge"), ["doc_id", "salt"], "left")
     known = known.withColumn("flags", F.coalesce("flags", F.lit(0)))
     of_id = known.groupBy("doc_id", "salt", "text_key", "mask", "part", "flags").agg(F.count("*").alias("n"))
     has_id = F.col("doc_id").isNotNull()
