@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -160,3 +162,24 @@ def test_keys_of_a_block_hold_little():
     columns = phrases.unpacked(*phrases.restored(made.high, made.low, phrases.half_width(18)), 18)
     assert Counter(dict(zip(zip(*(c.tolist() for c in columns)), made.counts.tolist()))) == want
     assert n == sum(want.values()) and peak <= 64 * n
+
+
+def test_blocks_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A row of a block has megabytes; readers hold a row group, and a page twice."""
+    kept, write = {}, phrases.saved
+
+    def saved(df, name, **how):
+        kept[name] = write(df, name, **how)
+        return kept[name]
+
+    monkeypatch.setattr(phrases, "saved", saved)
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(3_000)}" for _ in range(700_000))
+    df = spark.createDataFrame([(i, text, "en", "w", "p", 1) for i in range(9)], SCHEMA).coalesce(1)
+    made = phrases.collocations(df, how=phrases.Mining(block_bytes=3 << 20))
+    n = 9 * len(text.split())
+    assert made.agg({"n": "max"}).first()[0] == n and kept["blocks"].agg({"n_words": "sum"}).first()[0] == n
+    files = [f for path in kept["blocks"].inputFiles() for f in ds.dataset(path.removeprefix("file:")).get_fragments()]
+    sizes = [g.total_byte_size for f in files for g in f.row_groups]
+    assert sum(sizes) > 20 << 20 and max(sizes) < 12 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"  # the session has its own again

@@ -21,10 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.texts import arrow, saved, utf8
+from tidemark.session import session_settings
 
 # A-Z are lower-cased, these end a piece; words of a piece are parted by spaces and tabs.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 CUT = 0xFF  # never a byte of UTF-8
+# Blocks and filters are large rows, of which each task holds a batch, in the JVM and in Python.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 TABLE = bytes(CUT if b in ENDS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -125,9 +128,15 @@ def merged(parts: list[Counts], bits: int = 64) -> Counts:
     are put in order one at a time, so that little more than the parts is held. Halves that fit 64 bits together
     are sorted as one number."""
     if 2 * bits <= 64:
-        whole = joined([(p.high << np.uint64(bits)) | p.low for p in parts], np.uint64)
-        counts = joined([p.counts for p in parts], np.int64)
-        parts.clear()
+        n = at = sum(len(p.low) for p in parts)
+        whole, counts = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.int64)
+        while parts:  # each part goes as soon as it is copied
+            high, low, of_part = parts.pop()
+            here, at = slice(at - len(low), at), at - len(low)
+            np.left_shift(high, np.uint64(bits), out=whole[here])
+            whole[here] |= low
+            counts[here] = of_part
+        high = low = of_part = None
         order = np.argsort(whole, kind="stable")
         whole = whole[order]
         counts = counts[order]
@@ -170,12 +179,14 @@ def phrase_keys(words: np.ndarray, id_bits: int) -> Counts:
         at += len(high)
     if not one_number:
         return merged([Counts(*halves, np.ones(n, dtype=np.int64))], bits)
-    whole = halves[0]
+    whole, half = halves.pop(), None
     whole.sort()
     first = np.ones(n, dtype=bool)
     first[1:] = whole[1:] != whole[:-1]
     starts = np.flatnonzero(first)
-    return Counts(*split_keys(whole[starts], bits), np.diff(starts, append=n))
+    whole, counts = whole[starts], np.diff(starts, append=n)
+    del first, starts
+    return Counts(*split_keys(whole, bits), counts)
 
 
 def bytes_of(values: np.ndarray, bits: int) -> np.ndarray:
@@ -329,7 +340,8 @@ def as_rows(found: Counts, bits: int, range_bits: int) -> Rows:
 
 
 def from_rows(batch: pa.RecordBatch, bits: int, range_bits: int) -> Iterator[tuple[int, Counts]]:
-    for row in batch.to_pylist():
+    for i in range(batch.num_rows):
+        row = batch.slice(i, 1).to_pylist()[0]
         f = Filter(row["range"], row["slot_bits"], *(row[n] for n in NAMES[3:]))
         yield f.range, opened(f, bits, range_bits)
 
@@ -338,7 +350,7 @@ def phrase_counts(blocks: DataFrame, words: DataFrame, how: Mining, id_bits: int
     """(a, b, c, f): word numbers of the phrases with enough occurrences, with a = 0 for those of two words."""
     bits = half_width(id_bits)
     local = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
-    known = local.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("ids"))
+    known = local.join(words.hint("merge"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("ids"))
     coded = blocks.select("block", F.size("words").alias("size"), "codes").join(known, "block")
     coded = coded.select("size", "codes", F.col("ids.at").alias("at"), F.col("ids.id").alias("id"))
     cuts = [*range(how.fan_bits, range_bits, how.fan_bits), range_bits]
@@ -409,7 +421,9 @@ def collocations(
     table gives no rows. ``id_bits`` is the least width of a word number; more words make it wider. Up to 2^42
     frequent words fit a key.
     """
-    made = saved(blocks_of_words(docs, text, lang, how), "blocks")
+    spark = docs.sparkSession
+    with session_settings(spark, BATCHES):
+        made = saved(blocks_of_words(docs, text, lang, how), "blocks", large_rows=True)
     words = numbered_words(made, how.least)
     top_id, total = words.agg(F.max("id")).first()[0] or 0, made.agg(F.sum("n_words")).first()[0] or 0
     id_bits = max(id_bits, top_id.bit_length(), 2)
@@ -417,13 +431,14 @@ def collocations(
         raise ValueError(f"{top_id} word numbers do not fit three to a key")
     # Every word starts at most two phrases, so this bounds the keys of a range, of which each block has one at most.
     range_bits = min(max(0, (2 * total // how.range_keys)).bit_length(), half_width(id_bits))
-    phrases = saved(phrase_counts(made, words, how, id_bits, range_bits), "phrases")
+    with session_settings(spark, BATCHES):
+        phrases = saved(phrase_counts(made, words, how, id_bits, range_bits), "phrases")
 
     def named(column: str, rows: DataFrame) -> DataFrame:
         names = words.select(
             F.col("id").alias(column), F.col("word").alias(f"word_{column}"), F.col("f").alias(f"f_{column}"), "lang"
         )
-        return rows.join(names.drop("lang") if "lang" in rows.columns else names, column)
+        return rows.join((names.drop("lang") if "lang" in rows.columns else names).hint("merge"), column)
 
     pairs = phrases.where("a = 0").select("b", "c", "f")
     triples = phrases.where("a > 0")

@@ -84,8 +84,19 @@ def filter_texts(df: DataFrame, text: str, start: Callable[[], Callable]) -> Dat
     return arrow(df, run, df.schema)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once as Parquet below ``spark.checkpoint.dir`` and read again."""
+# Parquet counts a hundred rows before it looks at their size. With rows of megabytes, a page would be a whole file,
+# which its writer, its codec and its reader each hold at once.
+LARGE_ROWS = {
+    "parquet.page.size.row.check.min": 1,
+    "parquet.block.size.row.check.min": 1,
+    "parquet.page.size": 1 << 20,
+    "parquet.block.size": 8 << 20,
+}
+
+
+def saved(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """The same rows, written once as Parquet below ``spark.checkpoint.dir`` and read again; those with
+    ``large_rows`` in row groups and pages of few rows."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
